@@ -77,8 +77,23 @@ def true_range(high: Column, low: Column, close: Column, f: Frame = PAIR) -> Col
 
 
 def corr(a: Column, b: Column, n: int, f: Frame = PAIR) -> Column:
-    both = F.when(a.isNotNull() & b.isNotNull(), F.lit(1))
-    return clean(full(f.last(n), n, both, F.corr(a, b)))
+    """Pearson correlation over the last ``n`` bars with both sides known.
+
+    From the covariance and two deviations: the built-in divides by zero on a
+    frame where one side does not move, here such a frame is NULL.
+    """
+    w = f.last(n)
+    x, y = both(a, b, a), both(a, b, b)
+    spread = F.nullif(F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w), F.lit(0.0))
+    return F.when(F.count(x).over(w) >= n, F.covar_pop(x, y).over(w) / spread)
+
+
+def autocorr(x: Column, lagged: Column, n: int, f: Frame = PAIR) -> Column:
+    """Lag-1 autocorrelation inside the last ``n`` bars; the frame's first bar has no predecessor in it."""
+    w = f.last(n - 1)
+    a, b = both(x, lagged, x), both(x, lagged, lagged)
+    spread = F.nullif(F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w), F.lit(0.0))
+    return F.when(F.count(x).over(f.last(n)) >= n, F.covar_pop(a, b).over(w) / spread)
 
 
 def both(y: Column, x: Column, value: Column) -> Column:
@@ -157,20 +172,12 @@ def max_drawdown_of(values: Column) -> Column:
     return F.aggregate(values, start, step, lambda acc: acc["dd"])
 
 
-def normal_cdf(x: Column, terms: int = 160) -> Column:
-    """Standard normal distribution by the all-positive odd series about zero.
-
-    Accurate to double precision for |x| < 8 and saturated beyond; no Python.
-    """
-
-    def upper(t: Column) -> Column:
-        def step(acc: Column, k: Column) -> Column:
-            term = acc["term"] * t * t / (F.lit(2) * k + F.lit(1))
-            return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+# Odd-power series about zero: all terms positive, full precision for |v| < 8.
+_UPPER = """CASE WHEN abs(v) > 8 THEN 1D ELSE 0.5D + exp(-v * v / 2) / 2.5066282746310002D * aggregate(sequence(1, 160),
+ named_struct('term', abs(v), 'sum', abs(v)),
+ (acc, k) -> named_struct('term', acc.term * v * v / (2 * k + 1), 'sum', acc.sum + acc.term * v * v / (2 * k + 1)), acc -> acc.sum) END"""
 
-        series = F.aggregate(
-            F.sequence(F.lit(1), F.lit(terms)), F.struct(t.alias("term"), t.alias("sum")), step, lambda acc: acc["sum"]
-        )
-        return F.when(t > 8, F.lit(1.0)).otherwise(F.lit(0.5) + F.exp(-t * t / 2) / F.lit(2.5066282746310002) * series)
 
-    return let(x, lambda v: F.when(v >= 0, upper(v)).otherwise(1 - upper(-v)))
+def normal_cdf_sql(x: str) -> str:
+    """Standard normal distribution of an expression text, evaluated once, without Python."""
+    return f"element_at(transform(array({x}), v -> CASE WHEN v >= 0 THEN {_UPPER} ELSE 1D - ({_UPPER}) END), 1)"

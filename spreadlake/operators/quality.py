@@ -87,6 +87,6 @@ def spacing_report(df: DataFrame, f: Frame = PAIR) -> DataFrame:
 def correlations(df: DataFrame, cols: list[str], keys: tuple[str, ...] = ("pair",)) -> DataFrame:
     """Pairwise correlations as rows; one aggregate computes them all."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.groupBy(*keys).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    wide = df.groupBy(*keys).agg(*[F.expr(f"covar_pop(`{a}`, `{b}`) / nullif(stddev_pop(`{a}`) * stddev_pop(`{b}`), 0D)").alias(f"{a}|{b}") for a, b in pairs])
     entry = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("corr")) for a, b in pairs]
     return wide.select(*keys, F.explode(F.array(*entry)).alias("e")).select(*keys, "e.*")

@@ -232,14 +232,11 @@ def quality(df: DataFrame, signal: str, ret: str, window: int = 20, f: Frame = P
         }
     )
     x = F.col("_s")
-    # the first bar of the frame has no predecessor inside the frame
-    pairs = f.last(window - 1)
-    stable = R.clean(F.when(F.count(x).over(f.last(window)) >= window, F.corr(x, F.col("_lag")).over(pairs)))
     return df.withColumns(
         {
             "signal_to_noise": R.mean(x, window, f) / (R.std(x, window, f) + 1e-8),
             "predictive_power": R.corr(x, F.col("_next"), window, f),
-            "signal_stability": stable,
+            "signal_stability": R.autocorr(x, F.col("_lag"), window, f),
             "win_rate": R.mean(F.col("_win"), window, f),
             "signal_consistency": 1.0 - R.mean(F.col("_chg"), window, f),
         }

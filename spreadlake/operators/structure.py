@@ -16,20 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spreadlake.functions.rolling import let, normal_cdf
+from spreadlake.functions.rolling import normal_cdf_sql
 from spreadlake.series import OWN, PAIR, Frame, position, with_series_stats
 
 
-def mackinnon_p(t: Column) -> Column:
+def mackinnon_p(t: str) -> Column:
     """Approximate p-value of a unit-root t statistic (constant, one series)."""
     # MacKinnon (1994) response surface.
-    low = lambda v: 2.1659 + 1.4412 * v + 0.038269 * v * v
-    high = lambda v: 1.7339 + 0.93202 * v - 0.12745 * v * v - 0.010368 * v * v * v
-    return let(
-        t,
-        lambda v: F.when(v > 2.74, F.lit(1.0))
-        .when(v < -18.83, F.lit(0.0))
-        .otherwise(normal_cdf(F.when(v <= -1.61, low(v)).otherwise(high(v)))),
+    low = "2.1659D + 1.4412D * u + 0.038269D * u * u"
+    high = "1.7339D + 0.93202D * u - 0.12745D * u * u - 0.010368D * u * u * u"
+    arg = normal_cdf_sql(f"CASE WHEN u <= -1.61D THEN {low} ELSE {high} END")
+    return F.expr(
+        f"element_at(transform(array({t}), u -> CASE WHEN u > 2.74D THEN 1D WHEN u < -18.83D THEN 0D ELSE {arg} END), 1)"
     )
 
 
@@ -39,41 +37,34 @@ def unit_root_test(df: DataFrame, col: str = "spread", f: Frame = PAIR, least: i
     Two-regressor least squares has a closed form in the six central moments,
     so the whole test is one aggregation and one projection.
     """
-    o, s = f.ordered(), F.col(col)
-    df = df.select(*f.keys, *f.order, OWN, s.alias("s")).filter("s IS NOT NULL")
-    df = df.withColumns({"a": F.lag("s", 1).over(o), "a2": F.lag("s", 2).over(o)})
-    df = df.withColumns({"y": F.col("s") - F.col("a"), "b": F.col("a") - F.col("a2")}).filter(OWN)
-    on2 = lambda c: F.when(F.col("b").isNotNull(), F.col(c))
-    m = df.groupBy(*f.series_keys).agg(
-        F.count("s").alias("n_obs"),
-        F.count("y").alias("n0"), F.var_pop("a").alias("aa0"), F.var_pop("y").alias("yy0"),
-        F.covar_pop("y", "a").alias("ya0"),
-        F.count("b").alias("n1"), F.var_pop(on2("a")).alias("aa"), F.var_pop("b").alias("bb"),
-        F.var_pop(on2("y")).alias("yy"), F.covar_pop(on2("a"), F.col("b")).alias("ab"),
-        F.covar_pop(on2("y"), on2("a")).alias("ya"), F.covar_pop(on2("y"), F.col("b")).alias("yb"),
+    keys = list(f.series_keys)
+    lagged = df.filter(F.col(col).isNotNull()).selectExpr(
+        *[f"`{k}`" for k in f.keys], OWN, f"`{col}` AS s",
+        f"lag(`{col}`, 1) OVER ({f.sql}) AS a", f"lag(`{col}`, 2) OVER ({f.sql}) AS a2",
     )
-    c = F.col
-    m = m.withColumn("det", c("aa") * c("bb") - c("ab") * c("ab"))
-    m = m.withColumns(
-        {
-            "k": F.try_divide(c("ya") * c("bb") - c("yb") * c("ab"), c("det")),
-            "g": F.try_divide(c("yb") * c("aa") - c("ya") * c("ab"), c("det")),
-            "k0": F.try_divide(c("ya0"), c("aa0")),
-        }
+    moves = lagged.filter(OWN).selectExpr(*[f"`{k}`" for k in keys], "s", "a", "s - a AS y", "a - a2 AS b")
+    on2 = "FILTER (WHERE b IS NOT NULL)"
+    m = moves.groupBy(*keys).agg(
+        *[
+            F.expr(e)
+            for e in (
+                "count(s) AS n_obs", "count(y) AS n0", "var_pop(a) AS aa0", "var_pop(y) AS yy0", "covar_pop(y, a) AS ya0",
+                "count(b) AS n1", f"var_pop(a) {on2} AS aa", "var_pop(b) AS bb", f"var_pop(y) {on2} AS yy",
+                f"covar_pop(a, b) {on2} AS ab", f"covar_pop(y, a) {on2} AS ya", f"covar_pop(y, b) {on2} AS yb",
+            )
+        ]
     )
-    m = m.withColumns(
-        {
-            "r1": c("yy") - c("k") * c("ya") - c("g") * c("yb"),
-            "r0": c("yy") - F.try_divide(c("ya") * c("ya"), c("aa")),
-            "r00": c("yy0") - c("k0") * c("ya0"),
-        }
+    m = m.selectExpr("*", "aa * bb - ab * ab AS det", "try_divide(ya0, aa0) AS k0")
+    m = m.selectExpr("*", "try_divide(ya * bb - yb * ab, det) AS k", "try_divide(yb * aa - ya * ab, det) AS g")
+    m = m.selectExpr("*", "yy - k * ya - g * yb AS r1", "yy - try_divide(ya * ya, aa) AS r0", "yy0 - k0 * ya0 AS r00")
+    one = "n1 * ln(r1) + 2 < n1 * ln(r0)"
+    m = m.selectExpr(
+        "*", f"CASE WHEN {one} THEN 1 ELSE 0 END AS used_lag",
+        f"""CASE WHEN {one} THEN try_divide(k, sqrt(try_divide(r1, n1 - 3) * try_divide(bb, det)))
+        ELSE try_divide(k0, sqrt(try_divide(try_divide(r00, aa0), n0 - 2))) END AS adf_stat""",
     )
-    t1 = F.try_divide(c("k"), F.sqrt(c("r1") / (c("n1") - 3) * F.try_divide(c("bb"), c("det"))))
-    t0 = F.try_divide(c("k0"), F.sqrt(F.try_divide(c("r00"), c("aa0")) / (c("n0") - 2)))
-    one = c("n1") * F.ln("r1") + 2 < c("n1") * F.ln("r0")
-    m = m.withColumns({"used_lag": F.when(one, 1).otherwise(0), "adf_stat": F.when(one, t1).otherwise(t0)})
-    p = F.when((c("n_obs") >= least) & c("adf_stat").isNotNull(), mackinnon_p(c("adf_stat"))).otherwise(F.lit(1.0))
-    return m.select(*f.series_keys, "n_obs", "used_lag", "adf_stat", p.alias("adf_p"))
+    p = F.when((F.col("n_obs") >= least) & F.col("adf_stat").isNotNull(), mackinnon_p("adf_stat")).otherwise(F.lit(1.0))
+    return m.select(*keys, "n_obs", "used_lag", "adf_stat", p.alias("adf_p"))
 
 
 def default_max_lag(n: int) -> int:
@@ -190,7 +181,7 @@ def unit_root_test_auto(df: DataFrame, col: str = "spread", f: Frame = PAIR, max
     return (
         size.select(*f.series_keys, "n_obs")
         .join(solved, list(f.series_keys), "left")
-        .withColumn("adf_p", F.coalesce(mackinnon_p(F.col("adf_stat")), F.lit(1.0)))
+        .withColumn("adf_p", F.coalesce(mackinnon_p("adf_stat"), F.lit(1.0)))
     )
 
 
@@ -211,17 +202,21 @@ def hurst(
     the slope of log standard deviation (the optimizer's scale), with 0.5 where
     it cannot be computed.
     """
+    keys = list(f.series_keys)
     lags = range(2, max_lags)
-    df = df.withColumns({f"_d{k}": F.col(col) - F.lag(col, k).over(f.ordered()) for k in lags}).filter(OWN)
-    spread_of = F.stddev_pop if use_std else F.var_pop
-    stats = df.groupBy(*f.series_keys).agg(F.count(col).alias("n"), *[spread_of(f"_d{k}").alias(f"_v{k}") for k in lags])
+    moves = df.selectExpr(
+        *[f"`{k}`" for k in keys], OWN, f"`{col}` AS s",
+        *[f"`{col}` - lag(`{col}`, {k}) OVER ({f.sql}) AS d{k}" for k in lags],
+    ).filter(OWN)
+    fn = "stddev_pop" if use_std else "var_pop"
+    stats = moves.groupBy(*keys).agg(F.expr("count(s) AS n"), *[F.expr(f"{fn}(d{k}) AS v{k}") for k in lags])
     # a lag takes part only while it is below a quarter of the series length
-    points = F.array(*[F.struct(F.lit(float(k)).alias("k"), F.col(f"_v{k}").alias("v")) for k in lags])
-    long = stats.select(*f.series_keys, "n", F.explode(points).alias("p")).filter(
-        (F.col("p.k") < F.floor(F.col("n") / 4)) & (F.col("p.v") > 0)
+    points = ", ".join(f"{k}D, v{k}" for k in lags)
+    long = stats.selectExpr(*[f"`{k}`" for k in keys], "n", f"stack({len(lags)}, {points}) AS (k, v)").filter(
+        "k < floor(n / 4) AND v > 0"
     )
     slope = long.groupBy(*f.series_keys).agg(
-        F.regr_slope(F.ln("p.v"), F.ln("p.k")).alias("slope"), F.max("n").alias("n")
+        F.regr_slope(F.ln("v"), F.ln("k")).alias("slope"), F.max("n").alias("n")
     )
     scale = 2.0 if use_std else 0.5
     value = F.when(F.col("n") >= least, F.col("slope") * scale)

@@ -372,7 +372,7 @@ case(
     "SELECT pair, bucket, m, sum(m) OVER (PARTITION BY pair ORDER BY bucket) AS cum FROM g", strs=["pair"], floats=["bucket", "m", "cum"],
 )
 _ticks(
-    "w10_rolling_autocorr", 22, lambda: [{"pl": F.lag(P()).over(TICK.ordered())}, {"ac": R.clean(F.when(F.count(P()).over(TICK.last(20)) >= 20, F.corr(P(), F.col("pl")).over(TICK.last(19))))}],
+    "w10_rolling_autocorr", 22, lambda: [{"pl": F.lag(P()).over(TICK.ordered())}, {"ac": R.autocorr(P(), F.col("pl"), 20, TICK)}],
     f"CASE WHEN count(price) {w(20, TO)} >= 20 THEN corr(price, pl) {w(19, TO)} END AS ac", ["ac"], extra=f"lg AS (SELECT *, lag(price) {ON} AS pl FROM ticks)", src="lg",
 )
 _ticks(

@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spreadlake.session import stage
+
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
 ORACLES: dict[str, str] = {}
 
 
-def shape(df: DataFrame, strs=(), ints=(), floats=(), day=None, second=None, dec: int = 6) -> DataFrame:
+def shape(df: DataFrame, strs=(), ints=(), floats=(), fine=(), day=None, second=None, dec: int = 6) -> DataFrame:
     cols = [F.col(c).cast("string").alias(c) for c in strs]
     if day:
         cols.append(F.date_format(day, "yyyy-MM-dd").alias("day"))
@@ -24,10 +26,11 @@ def shape(df: DataFrame, strs=(), ints=(), floats=(), day=None, second=None, dec
         cols.append(F.date_format(second, "yyyy-MM-dd HH:mm:ss").alias("second"))
     cols += [F.col(c).cast("bigint").alias(c) for c in ints]
     cols += [(F.round(F.col(c).cast("double"), dec) + F.lit(0.0)).alias(c) for c in floats]
+    cols += [(F.round(F.col(c).cast("double"), 10) + F.lit(0.0)).alias(c) for c in fine]
     return df.select(*cols)
 
 
-def shape_sql(ctes: str, src: str, strs=(), ints=(), floats=(), day=None, second=None, dec: int = 6) -> str:
+def shape_sql(ctes: str, src: str, strs=(), ints=(), floats=(), fine=(), day=None, second=None, dec: int = 6) -> str:
     q = lambda c: f'"{c}"'
     cols = [f"CAST({q(c)} AS VARCHAR) AS {q(c)}" for c in strs]
     if day:
@@ -36,9 +39,25 @@ def shape_sql(ctes: str, src: str, strs=(), ints=(), floats=(), day=None, second
         cols.append(f"strftime({second}, '%Y-%m-%d %H:%M:%S') AS second")
     cols += [f"CAST({q(c)} AS BIGINT) AS {q(c)}" for c in ints]
     cols += [f"round(CAST({q(c)} AS DOUBLE), {dec}) + 0.0 AS {q(c)}" for c in floats]
+    cols += [f"round(CAST({q(c)} AS DOUBLE), 10) + 0.0 AS {q(c)}" for c in fine]
     return f"{ctes} SELECT {', '.join(cols)} FROM ({src}) AS result_rows"
 
 
+_STAGED: dict[tuple, DataFrame] = {}
+
+
+def shared(spark: SparkSession, sf: str, key: str, build: Build) -> DataFrame:
+    """A staged table that several cases start from (signals, backtest), written once per session."""
+    at = (spark.sparkContext.applicationId, sf, key)
+    if at not in _STAGED:
+        _STAGED[at] = stage(build(spark, sf))
+    return _STAGED[at]
+
+
+def forget_shared() -> None:
+    _STAGED.clear()
+
+
 def case(name: str, build: Build, ctes: str | None = None, src: str | None = None, **cols) -> None:
     QUERIES[name] = lambda spark, sf: shape(build(spark, sf), **cols)
     if src is not None:

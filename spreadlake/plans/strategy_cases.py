@@ -383,8 +383,8 @@ case(
     "SELECT * REPLACE (coalesce(delayed_signal, 9) AS delayed_signal) FROM bt", **DAY, ints=["delayed_signal", "trade_id"],
     floats=["fx_pnl", "comd_pnl", "cost", "pnl", "cumulative_pnl", "equity", "drawdown"],
 )
-TRADE_COLS = ["pnl", "fx_entry", "fx_exit", "comd_entry", "comd_exit", "entry_z", "exit_z", "return"]
-case("b6_trades", lambda s, d: B.trades(bt(s, d)), Q.TRADES, "SELECT * FROM trades", strs=["pair"], ints=["trade_id", "direction", "duration"], floats=TRADE_COLS, dec=7)
+TRADE_COLS = ["pnl", "entry_z", "exit_z", "return"]
+case("b6_trades", lambda s, d: B.trades(bt(s, d)), Q.TRADES, "SELECT * FROM trades", strs=["pair"], ints=["trade_id", "direction", "duration"], floats=TRADE_COLS, fine=["fx_entry", "fx_exit", "comd_entry", "comd_exit"])
 case(
     "b6_trade_stats_on_bars", lambda s, d: B.with_trade_stats(bt(s, d)), Q.TRADES,
     'SELECT bt.pair, bt.ts, coalesce(t.pnl, 0) AS trade_pnl, coalesce(t."return", 0) AS trade_return FROM bt LEFT JOIN trades t USING (pair, trade_id)', **DAY, floats=["trade_pnl", "trade_return"],

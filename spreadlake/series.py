@@ -13,7 +13,9 @@ segment summary table, which is ``rows`` times smaller than the data.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ BROADCAST_ROWS = 500_000
 _UNBOUNDED = Window.unboundedPreceding
 
 
+@lru_cache(maxsize=512)
+def _spec(context: SparkContext, keys: tuple[str, ...], order: tuple[str, ...], rows: tuple[int, int] | None) -> WindowSpec:
+    """Window specs are made once per context: each one costs several gateway calls."""
+    spec = Window.partitionBy(*keys).orderBy(*order)
+    return spec if rows is None else spec.rowsBetween(*rows)
+
+
 @dataclass(frozen=True)
 class Frame:
     """Window factory for one ordering: keys (incl. ``seg``) and order columns."""
@@ -38,16 +47,21 @@ class Frame:
         return tuple(k for k in self.keys if k != SEG)
 
     def ordered(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy(*self.order)
+        return _spec(SparkContext._active_spark_context, self.keys, self.order, None)
 
     def last(self, n: int) -> WindowSpec:
-        return self.ordered().rowsBetween(-(n - 1), 0)
+        return _spec(SparkContext._active_spark_context, self.keys, self.order, (-(n - 1), 0))
 
     def before(self, n: int) -> WindowSpec:
-        return self.ordered().rowsBetween(-n, -1)
+        return _spec(SparkContext._active_spark_context, self.keys, self.order, (-n, -1))
 
     def running(self) -> WindowSpec:
-        return self.ordered().rowsBetween(_UNBOUNDED, 0)
+        return _spec(SparkContext._active_spark_context, self.keys, self.order, (_UNBOUNDED, 0))
+
+    @property
+    def sql(self) -> str:
+        """The ordering as SQL text, for expressions written as text."""
+        return f"PARTITION BY {', '.join(f'`{k}`' for k in self.keys)} ORDER BY {', '.join(f'`{o}`' for o in self.order)}"
 
     def by(self, *extra: str) -> "Frame":
         return Frame(self.keys + extra, self.order)

@@ -7,11 +7,16 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(cores: str = "*", partitions: int = 8, app: str = "spreadlake") -> SparkSession:
-    """A local session for tests and benchmarks; clusters bring their own."""
+def build_session(cores: str = "*", partitions: int = 8, extra: dict[str, str] | None = None) -> SparkSession:
+    """A local session for tests and benchmarks; clusters bring their own.
+
+    Call-site capture is off: it costs several gateway calls per expression.
+    """
+    builder = SparkSession.builder.master(f"local[{cores}]").appName("spreadlake")
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -19,6 +24,7 @@ def build_session(cores: str = "*", partitions: int = 8, app: str = "spreadlake"
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
