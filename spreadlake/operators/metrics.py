@@ -43,8 +43,9 @@ def rolling_drawdown(window: int, f: Frame = PAIR) -> Column:
 
 
 def rolling_calmar(window: int, f: Frame = PAIR) -> Column:
-    dd = rolling_drawdown(window, f)
-    return F.try_divide(R.mean(F.col("ret"), window, f) * ANN, F.nullif(F.abs(dd), F.lit(0.0)))
+    """Annualised mean return over the frame's drawdown; NULL where there is none to speak of."""
+    dd = R.let(F.abs(rolling_drawdown(window, f)), lambda v: F.when(v > 1e-12, v))
+    return R.mean(F.col("ret"), window, f) * ANN / dd
 
 
 def rolling_win_rate(window: int, f: Frame = PAIR) -> Column:
