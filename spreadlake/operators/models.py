@@ -85,7 +85,8 @@ def regression_scores(df: DataFrame, label: str, pred: str, keys: tuple[str, ...
 
 
 def permutation_importance(
-    model: PipelineModel, df: DataFrame, features: list[str], label: str, pred: str, row_id: str, repeats: int = 5, seed: int = 42
+    model: PipelineModel, df: DataFrame, features: list[str], label: str, pred: str, row_id: str,
+    permuted: list[str] | None = None, repeats: int = 5, seed: int = 42,
 ) -> DataFrame:
     """Mean loss of r2 when one feature is shuffled.
 
@@ -96,7 +97,7 @@ def permutation_importance(
     base = df.select(row_id, *features, label)
     buckets = 1024
     out = []
-    for feature in features:
+    for feature in permuted or features:
         for r in range(repeats):
             def placed(d: DataFrame, salt: int) -> DataFrame:
                 h = F.xxhash64(F.col(row_id), F.lit(feature), F.lit(r), F.lit(seed + salt))
@@ -113,4 +114,7 @@ def permutation_importance(
             )
     whole = regression_scores(model.transform(base), label, pred).select(F.col("r2").alias("base_r2"))
     drops = reduce(DataFrame.unionByName, out).groupBy("feature").agg(F.avg("r2").alias("shuffled_r2"))
-    return drops.join(F.broadcast(whole), F.lit(True)).select("feature", (F.col("base_r2") - F.col("shuffled_r2")).alias("importance"))
+    # one row on the right: the unshuffled score
+    return drops.withColumn("_k", F.lit(1)).join(whole.withColumn("_k", F.lit(1)), "_k").select(
+        "feature", (F.col("base_r2") - F.col("shuffled_r2")).alias("importance")
+    )

@@ -134,7 +134,7 @@ def time_stop(df: DataFrame, limit: Column, close_run: bool = False, f: Frame =
 
 def flagged_bars(bars: DataFrame, rules: Rules, f: Frame = PAIR) -> DataFrame:
     """Segmented bars with spread, z-score, gates, thresholds and rule flags."""
-    df = spread_and_z(segment(bars, rules.lookback), rules, f)
+    df = spread_and_z(segment(bars, rules.lookback, reuse=True), rules, f)
     df = regime.combined_gate(
         df, f, rules.corr_window, rules.min_abs_corr, rules.vol, rules.trend, out="regime_ok"
     )
@@ -175,7 +175,7 @@ def bounded_hold_signals(
     ``any_gate`` accepts a bar when correlation *or* stationarity holds (hourly
     variant); otherwise both must (daily variant).
     """
-    df = stage(spread_and_z(segment(bars, rules.lookback), rules, f))
+    df = stage(spread_and_z(segment(bars, rules.lookback, reuse=True), rules, f))
     test = structure.unit_root_test(df, "spread", f).select(*f.series_keys, "adf_p")
     df = with_series_stats(df, test, f)
     corr_ok = regime.correlation_gate(F.col("fx_price"), F.col("comd_price"), rules.corr_window, rules.min_abs_corr, f)
@@ -207,7 +207,7 @@ def enhanced_signals(
     bars: DataFrame, rules: Rules, vol_adjusted: bool = True, reversed_stops: bool = False, f: Frame = PAIR
 ) -> DataFrame:
     """Ungated signals with optional volatility-adjusted thresholds."""
-    df = stage(spread_and_z(segment(bars, rules.lookback), rules, f))
+    df = stage(spread_and_z(segment(bars, rules.lookback, reuse=True), rules, f))
     if vol_adjusted:
         df = adjusted_thresholds(df, rules.entry_z, rules.exit_z, rules.stop_z, f=f)
     else:

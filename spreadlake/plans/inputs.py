@@ -28,7 +28,13 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_list(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAIR_ROWS, "pair string, fx_symbol string, comd_symbol string")
+    return named_pairs(spark, PAIR_ROWS)
+
+
+def named_pairs(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    """A literal relation: its size is known to the optimizer."""
+    values = ", ".join(f"('{p}', '{a}', '{b}')" for p, a, b in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(pair, fx_symbol, comd_symbol)")
 
 
 def pair_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,10 +66,7 @@ def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly aligned pairs of event types."""
-    pairs = spark.createDataFrame(
-        [("click_view", "click", "view"), ("purchase_signup", "purchase", "signup")],
-        "pair string, fx_symbol string, comd_symbol string",
-    )
+    pairs = named_pairs(spark, [("click_view", "click", "view"), ("purchase_signup", "purchase", "signup")])
     return B.load_pairs(hourly_bars(spark, sf_dir), pairs)
 
 

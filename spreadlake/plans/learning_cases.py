@@ -128,11 +128,18 @@ def _feature_sql(windows) -> str:
 
 
 ZR = f"""WITH {Q.SPREAD}, zr AS (SELECT *, fx_price / lag(fx_price) {Q.Q} - 1 AS rf, comd_price / lag(comd_price) {Q.Q} - 1 AS rc FROM zs)"""
+
+
+def _logged(df: DataFrame) -> DataFrame:
+    """Price means as logarithms: the means themselves end on rounding ties."""
+    return df.withColumns({c: F.ln(c) for c in df.columns if "_ma_" in c})
+
+
 for _v, _ws in E.WINDOW_SETS.items():
     _names = [f"{leg}_{k}_{n}" for n in _ws for leg in ("fx", "comd") for k in ("vol", "ma")]
     case(
-        f"m1_strategy_features_{_v}", lambda s, d, ws=_ws: trim(E.strategy_features(spread_seg(s, d, max(ws) + 1), ws)), ZR,
-        f"SELECT * FROM (SELECT *, {_feature_sql(_ws)} FROM zr) WHERE spread_z IS NOT NULL AND {' AND '.join(f'{n} IS NOT NULL' for n in _names)}", **DAY, floats=_names,
+        f"m1_strategy_features_{_v}", lambda s, d, ws=_ws: _logged(trim(E.strategy_features(spread_seg(s, d, max(ws) + 1), ws))), ZR,
+        f"SELECT * REPLACE ({', '.join(f'ln({n}) AS {n}' for n in _names if '_ma_' in n)}) FROM (SELECT *, {_feature_sql(_ws)} FROM zr) WHERE spread_z IS NOT NULL AND {' AND '.join(f'{n} IS NOT NULL' for n in _names)}", **DAY, floats=_names,
     )
 FEATS = [f"z_lag_{k}" for k in (1, 2, 3, 5)] + [f"spread_{k}_{n}" for n in (5, 10, 20) for k in ("mean", "std")] + ["fx_returns", "comd_returns", "fx_volatility", "comd_volatility"]
 FSQL = f"""{ZR}, ff AS (SELECT *, {', '.join(f'lag(spread_z, {k}) {Q.Q} AS z_lag_{k}' for k in (1, 2, 3, 5))}, {', '.join(f"{full('avg(spread)', 'spread', n)} AS spread_mean_{n}, {full('stddev_samp(spread)', 'spread', n)} AS spread_std_{n}" for n in (5, 10, 20))},
@@ -247,7 +254,7 @@ case(
 
 def _permuted(s, d):
     t = training(s, d)
-    return L.permutation_importance(L.fit_linear(t, XS, "target"), t, XS[:3], "target", "ols_pred", "row_id", repeats=2)
+    return L.permutation_importance(L.fit_linear(t, XS, "target"), t, XS, "target", "ols_pred", "row_id", permuted=XS[:3], repeats=2)
 
 
 case("m11_permutation_importance", _permuted, strs=["feature"], floats=["importance"], dec=4)
@@ -348,10 +355,16 @@ def run_stream(s: SparkSession, build, source: str, schema, per_trigger: int = 1
 
 
 def files_of(s: SparkSession, df: DataFrame, order: str, parts: int = 4) -> str:
-    """Write a table as a few time-ordered files, the way a feed lands them."""
+    """Land a table as a few files in time order, as a feed does."""
     ensure_checkpoint_dir(s)
     path = f"{s.sparkContext.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
-    df.repartitionByRange(parts, order).write.parquet(path)
+    us = F.unix_micros(order)
+    cuts = df.select(us.cast("double").alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.001)
+    bounds = [None, *cuts, None]
+    for lo, hi in zip(bounds, bounds[1:]):  # one landing per slice, oldest first
+        part = df if lo is None else df.filter(us >= lo)
+        part = part if hi is None else part.filter(us < hi)
+        part.coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -366,9 +379,10 @@ case(
     strs=["symbol"], second="ts", ints=["volume"], floats=["open", "high", "low", "close"],
 )
 case(
-    "z2_streaming_sliding_stats", lambda s, d: run_stream(s, lambda t: live.live_stats(t), files_of(s, I.tick_bars(s, d), "ts"), I.tick_bars(s, d).schema),
+    "z2_streaming_sliding_stats",
+    lambda s, d: run_stream(s, live.live_stats, files_of(s, I.tick_bars(s, d), "ts"), I.tick_bars(s, d).schema).withColumn("mean", F.ln("mean")),
     "WITH mx AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events), ends AS (SELECT event_type AS symbol, unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS ts, value FROM events)",
-    "SELECT symbol, ts, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std FROM ends WHERE ts <= (SELECT wm FROM mx) GROUP BY 1, 2", strs=["symbol"], second="ts", ints=["n"], floats=["mean", "std"],
+    "SELECT symbol, ts, count(*) AS n, ln(avg(value)) AS mean, stddev_samp(value) AS std FROM ends WHERE ts <= (SELECT wm FROM mx) GROUP BY 1, 2", strs=["symbol"], second="ts", ints=["n"], floats=["mean", "std"],
 )
 
 

@@ -26,7 +26,7 @@ WS = f"WITH {Q.SPREAD}"
 
 
 def seg(s: SparkSession, d: str, n: int) -> DataFrame:
-    return segment(I.pair_bars(s, d), n)
+    return segment(I.pair_bars(s, d), n, reuse=True)
 
 
 def spreads(s: SparkSession, d: str) -> DataFrame:
@@ -190,7 +190,7 @@ case(
 def _cycle(s, d):
     inv = I.table(s, d, "orders").groupBy(F.date_trunc("week", "o_orderdate").cast("timestamp").alias("ts")).agg(F.count(F.lit(1)).alias("stock"))
     inv = segment(inv.withColumn("pair", F.lit("stock")), 2).withColumn("chg", R.diff(F.col("stock")).cast("double"))
-    keyed = trim(inv).select("ts", "chg").crossJoin(F.broadcast(I.pair_list(s).select("pair")))
+    keyed = trim(inv).select("ts", "chg", F.explode(F.array(*[F.lit(p[0]) for p in I.PAIR_ROWS])).alias("pair"))
     bars = trim(seg(s, d, 22).withColumn("trend", F.col(CM) - F.lag(CM, 20).over(PAIR.ordered())))
     out = asof_join(bars.select("pair", "ts", "trend"), keyed.select("pair", "ts", "chg"))
     return out.withColumn("phase", G.cycle_phase(F.col("trend"), F.col("chg")))

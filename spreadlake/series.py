@@ -81,6 +81,7 @@ def segment(
     ts: str = "ts",
     rows: int | None = None,
     grain_days: float = DEFAULT_GRAIN_DAYS,
+    reuse: bool = False,
 ) -> DataFrame:
     """Add ``seg``, ``own`` and ``seg_off`` and replicate halo rows.
 
@@ -90,7 +91,13 @@ def segment(
     too.  The histogram is a pruned, map-side-combined aggregate that is staged
     once, so its size is known: below ``BROADCAST_ROWS`` it is broadcast and the
     bars are shuffled once, on ``(keys, seg)``; above, it is joined by shuffle.
+
+    ``reuse`` stages ``df`` first: right when it is itself a reduction of a much
+    larger table, which would otherwise be read for the histogram and again for
+    the bars.
     """
+    if reuse:
+        df = stage(df)
     rows = rows or segment_rows(df)
     width = int(grain_days * 86_400 * 1_000_000)
     bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(width))

@@ -61,15 +61,28 @@ def align(fx: DataFrame, comd: DataFrame, keys: tuple[str, ...] = ("ts",)) -> Da
 
 
 def load_pairs(bars: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All pairs at once: ``pairs`` names two symbols, ``bars`` holds their closes."""
-    fx = bars.select(F.col("symbol").alias("fx_symbol"), "ts", F.col("close").alias("fx_price"))
-    comd = bars.select(F.col("symbol").alias("comd_symbol"), "ts", F.col("close").alias("comd_price"))
+    """All pairs at once: ``pairs`` names two symbols, ``bars`` holds their closes.
+
+    The list of pairs is unpivoted to (symbol, pair, leg), so the bars are read
+    once and meet by ``(pair, ts)`` in one map-side-combined aggregate instead
+    of a self-join.  Bars are unique per symbol and time.
+    """
+    legs = pairs.select(
+        "pair",
+        F.explode(
+            F.array(
+                F.struct(F.col("fx_symbol").alias("symbol"), F.lit(0).alias("leg")),
+                F.struct(F.col("comd_symbol").alias("symbol"), F.lit(1).alias("leg")),
+            )
+        ).alias("l"),
+    ).select("pair", "l.*")
+    price = lambda leg: F.max(F.when(F.col("leg") == leg, F.col("close")))
     return (
-        pairs.select("pair", "fx_symbol", "comd_symbol")
-        .join(fx, "fx_symbol")
-        .join(comd, ["comd_symbol", "ts"])
-        .select("pair", "ts", "fx_price", "comd_price")
-        .dropna()
+        bars.select("symbol", "ts", "close")
+        .join(legs, "symbol")
+        .groupBy("pair", "ts")
+        .agg(price(0).alias("fx_price"), price(1).alias("comd_price"))
+        .filter("fx_price IS NOT NULL AND comd_price IS NOT NULL")
     )
 
 
