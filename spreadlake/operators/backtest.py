@@ -114,9 +114,17 @@ def trades(bt: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def with_trade_stats(bt: DataFrame) -> DataFrame:
-    """Trade totals repeated on the bars of each trade, 0 elsewhere."""
+    """Trade totals repeated on the bars of each trade, 0 elsewhere.
+
+    The join key carries the month, so a stretch that lasts for years (held or
+    flat) is spread over many tasks.
+    """
+    month = F.date_trunc("month", "ts")
+    held = bt.filter(F.col("delayed_signal") != 0).groupBy("pair", "trade_id", month.alias("_month")).agg(F.count(F.lit(1)).alias("_n"))
     t = trades(bt).select("pair", "trade_id", F.col("pnl").alias("trade_pnl"), F.col("return").alias("trade_return"))
-    return bt.join(t, ["pair", "trade_id"], "left").fillna(0.0, ["trade_pnl", "trade_return"])
+    parts = held.drop("_n").join(t, ["pair", "trade_id"])
+    out = bt.withColumn("_month", month).join(parts, ["pair", "trade_id", "_month"], "left").drop("_month")
+    return out.fillna(0.0, ["trade_pnl", "trade_return"])
 
 
 def sharpe(ret: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadlake.functions import rolling as R
-from spreadlake.series import PAIR, Frame, segment, trim, with_series_stats
+from spreadlake.series import PAIR, Frame, join_small, segment, trim, with_series_stats
 
 ANN = 252.0
 WINDOWS = {"short": 30, "medium": 60, "long": 90}  # fixed values
@@ -81,8 +81,7 @@ def distribution(df: DataFrame, ret: str, keys: tuple[str, ...] = ("pair",)) ->
         F.percentile(r, F.lit(0.01)).alias("var_99"),
     )
     tail = (
-        df.select(*keys, r.alias("_r"))
-        .join(q.select(*keys, "var_95", "var_99"), list(keys))
+        join_small(df.select(*keys, r.alias("_r")), q.select(*keys, "var_95", "var_99"), list(keys))
         .filter("_r <= var_95")
         .groupBy(*keys)
         .agg(F.avg("_r").alias("cvar_95"), F.avg(F.when(F.col("_r") <= F.col("var_99"), F.col("_r"))).alias("cvar_99"))
@@ -203,7 +202,7 @@ def strength_bins(df: DataFrame, x: str, y: str, bins: int = 10, keys: tuple[str
     counted = rows.groupBy(*keys, "_x").agg(F.sum("_y").alias("_sum"), F.count("_y").alias("_n"), F.count(F.lit(1)).alias("_rows"))
     b = F.least(F.lit(bins), F.greatest(F.lit(1), F.ceil((F.col("_x") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)).cast("int")))
     return (
-        counted.join(lim, list(keys))
+        join_small(counted, lim, list(keys))
         .groupBy(*keys, b.alias("bin"))
         .agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias("mean_y"), F.sum("_rows").alias("n"))
     )

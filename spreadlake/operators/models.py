@@ -12,6 +12,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spreadlake.series import join_small
+
 
 def assembled(df: DataFrame, features: list[str], fill: float | None = None) -> DataFrame:
     if fill is not None:
@@ -35,12 +37,12 @@ def fit_boosted(df: DataFrame, features: list[str], label: str, trees: int = 100
 def last_rows(df: DataFrame, position: str, n: int, keys: tuple[str, ...] = ("pair",)) -> DataFrame:
     """The last ``n`` rows per series by a global row position, without sorting any series."""
     top = df.groupBy(*keys).agg(F.max(position).alias("_top"))
-    return df.join(top, list(keys)).filter(F.col(position) > F.col("_top") - n).drop("_top")
+    return join_small(df, top, list(keys)).filter(F.col(position) > F.col("_top") - n).drop("_top")
 
 
 def rolling_corr_prediction(df: DataFrame, x: str, last_corr: DataFrame, out: str = "corr_pred") -> DataFrame:
     """Final rolling correlation of each series times the predictor."""
-    return df.join(last_corr, "pair").withColumn(out, F.col("last_corr") * F.col(x)).drop("last_corr")
+    return join_small(df, last_corr, ["pair"]).withColumn(out, F.col("last_corr") * F.col(x)).drop("last_corr")
 
 
 def weighted(predictions: dict[str, float]) -> Column:
@@ -86,16 +88,17 @@ def regression_scores(df: DataFrame, label: str, pred: str, keys: tuple[str, ...
 
 def permutation_importance(
     model: PipelineModel, df: DataFrame, features: list[str], label: str, pred: str, row_id: str,
-    permuted: list[str] | None = None, repeats: int = 5, seed: int = 42,
+    permuted: list[str] | None = None, repeats: int = 5, seed: int = 42, bucket_rows: int = 50_000,
 ) -> DataFrame:
     """Mean loss of r2 when one feature is shuffled.
 
     A shuffle is a hash order per (feature, repeat): the value of the row at
     place ``k`` of one random order goes to the row at place ``k`` of another.
-    Places come from a range of hash buckets, so no global sort is needed.
+    Places are taken inside hash buckets of about ``bucket_rows`` rows, so no
+    global sort is needed and no bucket grows with the table.
     """
     base = df.select(row_id, *features, label)
-    buckets = 1024
+    buckets = max(1, base.count() // bucket_rows)
     out = []
     for feature in permuted or features:
         for r in range(repeats):

@@ -1,11 +1,13 @@
 """Market tables derived from the order, line-item and event tables.
 
-Prices are exact decimal means, so every engine starts from the same doubles.
+Prices are exact means of cent amounts, so every engine starts from the same
+doubles.  Cents are summed as whole numbers: exact, independent of the order,
+and far cheaper than decimals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadlake.sources import bars as B
@@ -17,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cents(amount: str) -> Column:
+    """Exact sum of non-negative two-decimal amounts."""
+    return F.sum(F.floor(F.col(amount) * 100.0 + 0.5)) / F.lit(100.0)
+
+
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily mean line price per return flag: ``symbol, ts, close``."""
-    price = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))
+    price = cents("l_extendedprice") / F.count(F.lit(1))
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_returnflag").alias("symbol"), F.date_trunc("day", "l_shipdate").cast("timestamp").alias("ts"))
@@ -72,7 +79,7 @@ def hourly_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean order value per day, in the range of a volatility index: ``pair, ts, vix``."""
-    mean = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1)) / 1e4
+    mean = cents("o_totalprice") / F.count(F.lit(1)) / 1e4
     return (
         table(spark, sf_dir, "orders")
         .groupBy(F.date_trunc("day", "o_orderdate").cast("timestamp").alias("ts"))

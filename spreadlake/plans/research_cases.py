@@ -22,7 +22,7 @@ from spreadlake.plans import inputs as I
 from spreadlake.plans import strategy_sql as Q
 from spreadlake.plans.registry import CALENDAR, HOURLY, PAIRS, RETURNS, case, fold_sql, full, shared, spread_sql, w
 from spreadlake.plans.strategy_cases import DAY, H1, D1, METRIC_COLS, RULES, TRADE_COLS, bt, seg, zbars
-from spreadlake.series import PAIR, segment, trim
+from spreadlake.series import PAIR, join_small, segment, trim
 from spreadlake.session import ensure_checkpoint_dir, stage
 from spreadlake.sources import calendar as Cal
 from spreadlake.sources import config as Cfg
@@ -284,8 +284,7 @@ def _purged(s, d):
     off, row = position()
     df = trim(seg(s, d, 1).withColumn("rn", off + row))
     cut = df.filter(F.year("ts") < 1999).groupBy("pair").agg((F.max("rn") + 1).alias("cut"))
-    # one boundary per pair, a row each
-    return X.purge(df.join(cut, "pair"), F.col("cut"), F.col("rn"))
+    return X.purge(join_small(df, cut, ["pair"]), F.col("cut"), F.col("rn"))
 
 
 case(

@@ -70,6 +70,17 @@ class Frame:
 PAIR = Frame()
 
 
+def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a derived table that is usually small, by broadcast only when its counted size allows.
+
+    The table is staged, so counting it costs one pass over its files; above
+    ``BROADCAST_ROWS`` rows the join shuffles and adaptive execution splits
+    skewed keys.
+    """
+    small = stage(small)
+    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
 def segment_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spreadlake.segment.rows", str(DEFAULT_ROWS)))
 
@@ -119,11 +130,8 @@ def segment(
             F.sequence("_own", F.greatest("_own", F.least("_end", "_top"))).alias("_segs"),
         )
     )
-    hist = stage(hist)
-    if hist.count() <= BROADCAST_ROWS:
-        hist = F.broadcast(hist)
     return (
-        tagged.join(hist, [*keys, "_bucket"])
+        join_small(tagged, hist, [*keys, "_bucket"])
         .withColumn(SEG, F.explode("_segs"))
         .withColumn(OWN, F.col(SEG) == F.col("_own"))
         .drop("_bucket", "_own", "_segs")
