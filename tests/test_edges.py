@@ -1,5 +1,7 @@
 """Edge fixtures: constants, gaps, short series, bad prices, no trades, total losses."""
 
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -77,7 +79,7 @@ def test_only_wins_and_open_position_at_the_end(spark):
 
 
 def test_loss_above_the_stake(spark):
-    bt = B.from_table(signal_frame(spark, [1] * 4 + [0] * 6, [5, 4, 3, 2, 1, 1, 1, 1, 1, 1], 1.5))
+    bt = B.from_table(signal_frame(spark, [1] * 3 + [0] * 7, [5, 4, 3, 2, 2, 2, 2, 2, 2, 2], 1.5))
     rows = bt.orderBy("ts").toPandas()
     np.testing.assert_allclose(rows["equity"], (1 + rows["pnl"]).cumprod())
     assert rows["equity"].min() < 0 and B.metrics(bt).first()["annual_return"] is None
@@ -172,7 +174,7 @@ def test_bootstrap_is_repeatable_and_brackets_the_mean(spark):
 
 def test_rolling_drawdown_and_ratios(spark):
     eq = [1.0, 1.1, 0.99, 1.2, 0.6, 0.9]
-    df = spark.createDataFrame([("a", pd.Timestamp("2021-01-01") + pd.Timedelta(days=i), e) for i, e in enumerate(eq)], "pair string, ts timestamp, equity double")
+    df = spark.createDataFrame([("a", datetime(2021, 1, 1 + i), e) for i, e in enumerate(eq)], "pair string, ts timestamp, equity double")
     out = trim(metrics.equity_frame(df, 4).withColumns({"dd": metrics.rolling_drawdown(4), "s": metrics.rolling_sortino(4)})).orderBy("ts").toPandas()
     np.testing.assert_allclose(out["dd"].to_numpy(float), [np.nan] * 3 + [-0.1, -0.5, -0.5], equal_nan=True)
 
