@@ -152,6 +152,7 @@ def generate(bars: DataFrame, rules: Rules = Rules(), close_run: bool = False, f
     stats = structure.structural_flag(df, "spread", f, rules.adf_p).select(
         *f.series_keys, "coint_ok", "adf_p", F.col("half_life").alias("ou_half_life"), "hurst"
     )
+    stats = stage(stats)  # a row per pair, needed by both passes of the position scan
     df = with_series_stats(df, stats, f)
     # the combined gate already contains the correlation gate
     df = df.withColumn("good_regime", F.col("regime_ok"))
@@ -176,7 +177,7 @@ def bounded_hold_signals(
     variant); otherwise both must (daily variant).
     """
     df = stage(spread_and_z(segment(bars, rules.lookback, reuse=True), rules, f))
-    test = structure.unit_root_test(df, "spread", f).select(*f.series_keys, "adf_p")
+    test = stage(structure.unit_root_test(df, "spread", f).select(*f.series_keys, "adf_p"))
     df = with_series_stats(df, test, f)
     corr_ok = regime.correlation_gate(F.col("fx_price"), F.col("comd_price"), rules.corr_window, rules.min_abs_corr, f)
     adf_ok = R.holds(F.col("adf_p") <= rules.adf_p)
