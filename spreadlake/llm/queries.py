@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlake.llm import chat, packing
+from spreadlake.llm import chat, packing, pii, quality, toxicity
 from spreadlake.llm.common import table
 
 #: Where the public tokenizer's file lies; a parameter of the packing operator.
@@ -22,6 +22,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and conversation -7, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -66,8 +71,28 @@ def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; the fold ``held_out`` is never learnt from."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.coalesce(~toxicity.in_training_fold("doc_id"), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak votes, posterior, score and verdict of every document."""
+    return quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "weak_votes", "weak_good", "quality_score", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_skip_chain": op1_pii_skip_chain,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_cost_balanced_packing": op4_cost_balanced_packing,
+    "op5_toxicity_ftrl": op5_toxicity_ftrl,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
