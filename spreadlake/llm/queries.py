@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlake.llm import chat, packing, pii, quality, toxicity
+from spreadlake.llm import chat, licenses, line_dedup, line_rules, packing, pii, quality, toxicity
 from spreadlake.llm.common import table
 
 #: Where the public tokenizer's file lies; a parameter of the packing operator.
@@ -83,6 +83,57 @@ def op5_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return line_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *line_rules.MEASURES, "base_failed", "kept", "n_removed_lines")
+
+
+_WHITE = r"[\x20\x09-\x0D]"
+_BARE = "regexp_replace({x}, '^" + _WHITE + "+|" + _WHITE + "+$', '', 'g')"
+_NORMAL = _BARE.format(x="regexp_replace(regexp_replace(lower({x}), '[0-9]+', '0', 'g'), '" + _WHITE + "+', ' ', 'g')")
+OP3_SQL = f"""WITH docs AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(coalesce(text, ''), '{_WHITE}+'), lambda w: w <> '') AS words,
+  string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+ placed AS (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM docs WHERE len(words) >= 8),
+ windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i : i + 7], ' ')) AS times FROM placed),
+ repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM windows WHERE times > 1) GROUP BY doc_id),
+ keyed AS (SELECT doc_id, source, unnest(list_distinct(list_transform(lines, lambda x: {_NORMAL.format(x="x")}))) AS line FROM docs),
+ totals AS (SELECT source, count(*) AS total FROM docs GROUP BY source),
+ common AS (SELECT k.source, k.line FROM keyed k JOIN totals t ON k.source IS NOT DISTINCT FROM t.source WHERE k.line <> ''
+  GROUP BY k.source, k.line, t.total HAVING count(*) >= {line_rules.LEAST_DOCS} AND count(*) > {line_rules.LIMIT} * t.total),
+ each_line AS (SELECT doc_id, source, unnest(lines) AS line FROM docs),
+ kept AS (SELECT e.doc_id, count(c.line) AS removed, coalesce(sum(len(list_filter(regexp_split_to_array(e.line, '{_WHITE}+'), lambda w: w <> ''))) FILTER (c.line IS NULL), 0) AS left_words
+  FROM each_line e LEFT JOIN common c ON c.source IS NOT DISTINCT FROM e.source AND c.line = {_NORMAL.format(x="e.line")} GROUP BY e.doc_id),
+ told AS (SELECT d.doc_id, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars, len(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  len(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+  coalesce(r.n, 0) AS n_repeat_words, k.removed, k.left_words FROM docs d LEFT JOIN repeats r USING (doc_id) JOIN kept k USING (doc_id)),
+ failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM told)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (removed > 0 AND (left_words < {line_rules.LEFT_WORDS} OR left_words < {line_rules.LEFT_SHARE} * n_words)) AS kept, removed AS n_removed_lines FROM failed"""
+
+
+def op6_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the boilerplate lines of its source."""
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+OP8_SQL = f"""WITH docs AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+ keyed AS (SELECT doc_id, source, unnest(list_distinct(list_transform(lines, lambda x: {_BARE.format(x="x")}))) AS line FROM docs),
+ totals AS (SELECT source, count(*) AS total FROM docs GROUP BY source),
+ common AS (SELECT k.source, k.line FROM keyed k JOIN totals t ON k.source IS NOT DISTINCT FROM t.source WHERE k.line <> ''
+  GROUP BY k.source, k.line, t.total HAVING count(*) >= {line_dedup.LEAST_PAGES} AND count(*) > {line_dedup.RATIO} * t.total),
+ each_line AS (SELECT doc_id, source, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM docs),
+ marked AS (SELECT e.doc_id, e.i, e.line, c.line IS NOT NULL AS dropped FROM each_line e
+  LEFT JOIN common c ON c.source IS NOT DISTINCT FROM e.source AND c.line = {_BARE.format(x="e.line")}),
+ done AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS cleaned, count(*) AS n, count(*) FILTER (dropped) AS gone FROM marked GROUP BY doc_id)
+ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN x.cleaned END AS text, CASE WHEN d.text IS NULL THEN 0 ELSE x.n END AS n_lines,
+  CASE WHEN d.text IS NULL THEN 0 ELSE x.gone END AS n_dropped FROM docs d JOIN done x USING (doc_id)"""
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak votes, posterior, score and verdict of every document."""
     return quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "weak_votes", "weak_good", "quality_score", "kept")
@@ -91,8 +142,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_skip_chain": op1_pii_skip_chain,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_line_frequency_rules": op3_line_frequency_rules,
     "op4_cost_balanced_packing": op4_cost_balanced_packing,
     "op5_toxicity_ftrl": op5_toxicity_ftrl,
+    "op6_license_diagonals": op6_license_diagonals,
+    "op8_site_line_frequency": op8_site_line_frequency,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_line_frequency_rules": OP3_SQL, "op8_site_line_frequency": OP8_SQL}
