@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlake.llm import chat, licenses, line_dedup, line_rules, packing, pii, quality, toxicity
+from spreadlake.llm import chat, decontaminate, licenses, line_dedup, line_rules, packing, pii, quality, toxicity
 from spreadlake.llm.common import table
 
 #: Where the public tokenizer's file lies; a parameter of the packing operator.
@@ -116,6 +116,19 @@ def op6_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside windows of benchmark items."""
+    found = decontaminate.verdicts(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op8_site_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the boilerplate lines of its source."""
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
@@ -146,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_cost_balanced_packing": op4_cost_balanced_packing,
     "op5_toxicity_ftrl": op5_toxicity_ftrl,
     "op6_license_diagonals": op6_license_diagonals,
+    "op7_winnowing_decontamination": op7_winnowing_decontamination,
     "op8_site_line_frequency": op8_site_line_frequency,
     "op10_quality_classifier": op10_quality_classifier,
 }
