@@ -1,13 +1,85 @@
-"""The corpus pipeline (stages are added as their operators are built)."""
+"""The corpus pipeline: quality, line dedup, near duplicates, decontamination, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is
+written as Parquet and read again as the next stage's ``docs``.  All but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spreadlake.llm import decontaminate, line_dedup, ngram_join, packing, quality
+from spreadlake.llm.common import shared_folder, table
+from spreadlake.llm.queries import tokenizer_path
+from spreadlake.session import ship_package
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps; what it rejects goes."""
+    return quality.classify(docs).filter("kept").select(*COLUMNS)
+
+
+def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the boilerplate lines of their source; ``n_chars`` follows the text.
+
+    A document that loses all its lines stays, with an empty text.
+    """
+    done = line_dedup.drop_boilerplate(docs.select(*COLUMNS), counts=False)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram join: the one of the smallest id.
+
+    Documents without words are linked with nothing and stay.  Rows that repeat
+    a whole id are copies of one document: the first by text stays.
+    """
+    found = ngram_join.join(docs)
+    gone = found.filter(~F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("gone")).distinct()
+    # an id that is smallest in its component may also stand on a row of another component
+    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    return kept.select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no more than a twentieth of benchmark words."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed pieces with their token ids' checksum."""
+    pieces = packing.pack(docs, tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_boilerplate_lines),
+    ("n-gram jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+#: The classifier's and the tokenizer's results can't be stated in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents`` after all stages, each stage written to the shared folder and read again."""
+    ship_package(spark)
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i + 1 == len(STAGES):
+            return out
+        path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlake.llm import chat, decontaminate, licenses, line_dedup, line_rules, packing, pii, quality, toxicity
+from spreadlake.llm import chat, decontaminate, licenses, line_dedup, line_rules, ngram_join, packing, pii, quality, toxicity
 from spreadlake.llm.common import table
 
 #: Where the public tokenizer's file lies; a parameter of the packing operator.
@@ -147,6 +147,11 @@ OP8_SQL = f"""WITH docs AS (SELECT doc_id, source, text, string_split(coalesce(t
   CASE WHEN d.text IS NULL THEN 0 ELSE x.gone END AS n_dropped FROM docs d JOIN done x USING (doc_id)"""
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and component of near duplicates."""
+    return ngram_join.join(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak votes, posterior, score and verdict of every document."""
     return quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "weak_votes", "weak_good", "quality_score", "kept")
@@ -161,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_diagonals": op6_license_diagonals,
     "op7_winnowing_decontamination": op7_winnowing_decontamination,
     "op8_site_line_frequency": op8_site_line_frequency,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_line_frequency_rules": OP3_SQL, "op8_site_line_frequency": OP8_SQL}
