@@ -38,14 +38,9 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram join: the one of the smallest id.
 
-    Documents without words are linked with nothing and stay.  Rows that repeat
-    a whole id are copies of one document: the first by text stays.
+    Documents without words are linked with nothing and stay.
     """
-    found = ngram_join.join(docs)
-    gone = found.filter(~F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("gone")).distinct()
-    # an id that is smallest in its component may also stand on a row of another component
-    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    return kept.select(*COLUMNS)
+    return ngram_join.drop_duplicates(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

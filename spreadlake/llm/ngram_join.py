@@ -463,7 +463,7 @@ def block_pairs(large: list[tuple], small: list[tuple]) -> list[tuple[int, int]]
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``key`` (its id), ``n_shingles``, ``group`` and ``component_id``.
+    """One row per row of ``docs``: ``key`` (its id), ``mark`` (its text's hash), ``n_shingles``, ``group``, ``component_id``.
 
     ``component_id`` is the smallest id reachable by links, itself included;
     rows with one ``group`` are one component.  Null or wordless texts have an
@@ -488,10 +488,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     links = staged(block_links(posted, labels, core, sets))
     if not links.isEmpty():
         labels = merged(labels, links)
-    every = seen.filter(F.col("n").isNotNull()).select("key", "n", "owner")
+    every = seen.filter(F.col("n").isNotNull()).select("key", "mark", "n", "owner")
     # a class without links is its own component
-    named = every.filter("n > 0").join(labels.select("owner", "comp"), "owner", "left").select("key", "n", F.coalesce("comp", "owner").alias("group"))
+    named = every.filter("n > 0").join(labels.select("owner", "comp"), "owner", "left").select("key", "mark", "n", F.coalesce("comp", "owner").alias("group"))
     smallest = named.groupBy("group").agg(F.min("key").alias("component_id"))
-    linked = named.join(smallest, "group").select("key", F.col("n").alias("n_shingles"), "group", "component_id")
-    alone = every.filter("n = 0").select("key", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("group"), F.col("key").alias("component_id"))
+    linked = named.join(smallest, "group").select("key", "mark", F.col("n").alias("n_shingles"), "group", "component_id")
+    alone = every.filter("n = 0").select("key", "mark", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("group"), F.col("key").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, then of the smallest text hash.
+
+    A null id comes last.  Rows without words are linked with nothing and stay.
+    Of rows that repeat both id and text one stays.
+    """
+    found = staged(join(docs, id_col, text_col).filter(F.col("group").isNotNull()).select("key", "mark", "group"))
+    rank = F.struct(F.col("key").isNull().alias("none"), "key", "mark")
+    first = found.groupBy("group").agg(F.min(rank).alias("first"))
+    ranked = found.join(first, "group").withColumn("stays", F.col("key").eqNullSafe(F.col("first.key")) & (F.col("mark") == F.col("first.mark")))
+    gone = staged(ranked.filter(~F.col("stays")).select(F.col("key").alias("gone_key"), F.col("mark").alias("gone_mark")).distinct())
+    mark = F.xxhash64(text_bytes(f"`{text_col}`"))
+    same = lambda key, m: F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (mark == F.col(m))
+    kept = docs.join(gone, same("gone_key", "gone_mark"), "left_anti")
+    twice = staged(ranked.filter("stays").groupBy(F.col("key").alias("twice_key"), F.col("mark").alias("twice_mark")).count().filter("count > 1").drop("count"))
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, same("twice_key", "twice_mark"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(twice, same("twice_key", "twice_mark"), "left_anti").unionByName(once)

@@ -172,7 +172,9 @@ class Field:
 def fit(field: Field, steps: int = 300, rate: float = 0.1, l2: float = 1e-3) -> dict[str, np.ndarray]:
     """Pseudo-likelihood: each label given its token, its chain neighbours' and its partners' labels."""
     k, n = len(KINDS) + 1, max(len(field.x), 1)
-    weights = {"x": np.zeros((N_FEATURES, k)), "chain": np.zeros((k, k)), "skip": np.zeros(1)}
+    # the shared potential starts at its prior, to which it decays: samples with few repeats say little about it
+    prior = {"x": 0.0, "chain": 0.0, "skip": 2.0}
+    weights = {"x": np.zeros((N_FEATURES, k)), "chain": np.zeros((k, k)), "skip": np.full(1, prior["skip"])}
     if not len(field.x):
         return weights
     truth = np.eye(k)[field.label]
@@ -193,7 +195,7 @@ def fit(field: Field, steps: int = 300, rate: float = 0.1, l2: float = 1e-3) ->
         miss = (truth - p) / n
         grad = {"x": x.T @ miss, "chain": before.T @ miss + miss.T @ after, "skip": np.array([(mates * miss).sum()])}
         for name, w in weights.items():
-            g, (m, v) = grad[name] - l2 * w / 10, moment[name]
+            g, (m, v) = grad[name] - l2 * (w - prior[name]) / 10, moment[name]
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             w += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
