@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spreadlake.llm.common import staged
 
 WHITE = r"[\x20\x09-\x0D]"
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def lines(text: Column) -> Column:
@@ -22,9 +23,13 @@ def lines(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """Hash of a line without white space at its ends; null for a line without a word."""
-    bare = F.regexp_replace(line, f"^{WHITE}+|{WHITE}+$", "")
-    return F.when(bare != "", F.xxhash64(bare))
+    """Hash of a line without white space at its ends."""
+    return F.xxhash64(F.btrim(line, F.lit(_BLANKS)))
+
+
+def distinct_keys(keys: Column) -> Column:
+    """Each key once, without that of lines that hold no word."""
+    return F.array_remove(F.array_distinct(keys), F.xxhash64(F.lit("")))
 
 
 def frequent(docs: DataFrame, host: Column, keys: Column, ratio: float, least: int) -> DataFrame:
@@ -34,7 +39,7 @@ def frequent(docs: DataFrame, host: Column, keys: Column, ratio: float, least: i
     host of its own.  The result is a staged table with one row per host that
     has such lines.
     """
-    seen = docs.select(host.alias("host"), F.array_compact(F.array_distinct(keys)).alias("keys"))
+    seen = docs.select(host.alias("host"), distinct_keys(keys).alias("keys"))
     total = seen.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     counted = seen.select("host", F.explode("keys").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     over = counted.alias("c").join(total.alias("t"), F.expr("c.host <=> t.host")).filter(F.col("c.n") > ratio * F.col("t.total"))

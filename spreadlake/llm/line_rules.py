@@ -25,7 +25,7 @@ def words(text: Column) -> Column:
 
 
 def normal_key(line: Column) -> Column:
-    """Hash of a line in lower case with digits as 0 and single spaces; null without a word."""
+    """Hash of a line in lower case with digits as 0 and single spaces."""
     return line_key(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]+", "0"), f"{WHITE}+", " "))
 
 
