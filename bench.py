@@ -34,7 +34,7 @@ def main() -> None:
     timings: dict[str, float] = {}
     for name in names:
         for measured in (False, True):
-            forget_shared()
+            forget_shared(spark)
             start = time.perf_counter()
             catalog.QUERIES[name](spark, sf_dir).toArrow()
             if measured:

@@ -51,7 +51,7 @@ def forward_labels(df: DataFrame, bars: int = 5, threshold: float = 0.0, f: Fram
     o = f.ordered()
     gain = R.pct_change(F.col("spread"), bars, f)
     return df.select(
-        *f.keys, "own", F.lag("ts", bars).over(o).alias("label_ts"), F.col("ts").alias("label_end"), gain.alias("forward_return")
+        *f.keys, "own", F.lag("ts", bars).over(o).alias("label_ts"), F.col("ts").alias("label_end"), gain.alias("forward_return"), R.diff(F.col("spread"), bars, f).alias("forward_change")
     ).filter("label_ts IS NOT NULL").withColumn(
         "label", F.when(F.col("forward_return").isNotNull(), (F.col("forward_return") > threshold).cast("int"))
     )

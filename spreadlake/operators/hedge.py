@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadlake.functions import rolling as R
@@ -28,30 +28,32 @@ def rls(
 
     The inverse covariance obeys ``P_t^-1 = lam * P_{t-1}^-1 + x x'``, so the
     state at bar ``t`` is a weighted sum over earlier bars.  Weights are based
-    at the segment start; a halo of :func:`rls_lookback` bars makes the segment
-    result equal to the whole-series result in double precision.
+    anew in blocks of :func:`rls_lookback` bars, so they stay below 1e17 however
+    long a segment is; of the blocks before its own, only the last one still
+    weighs anything, and its sums are carried in.  A halo of as many bars makes
+    the segment result equal to the whole-series result in double precision.
     """
+    block = rls_lookback(lam)
     offset, row = position(f)
-    df = df.withColumns({"_off": offset, "_i": row, "_y": y, "_x": x}).withColumn("_w", F.pow(F.lit(lam), -F.col("_i")))
-    run = f.running()
-    w, xv, yv = F.col("_w"), F.col("_x"), F.col("_y")
-    df = df.withColumns(
-        {
-            "_a0": F.sum(w).over(run),
-            "_a1": F.sum(w * xv).over(run),
-            "_a2": F.sum(w * xv * xv).over(run),
-            "_b0": F.sum(w * yv).over(run),
-            "_b1": F.sum(w * xv * yv).over(run),
-        }
-    )
-    prior = F.pow(F.lit(lam), F.col("_off")) / delta
-    decay = F.pow(F.lit(lam), F.col("_i"))
-    s0, s1, s2 = decay * (F.col("_a0") + prior), decay * F.col("_a1"), decay * (F.col("_a2") + prior)
-    r0, r1 = decay * F.col("_b0"), decay * F.col("_b1")
+    df = df.withColumns({"_off": offset, "_i": row, "_y": y, "_x": x})
+    df = df.withColumns({"_blk": F.floor((F.col("_i") - 1) / block), "_k": F.pmod(F.col("_i") - 1, F.lit(block)) + 1})
+    xv, yv, w = F.col("_x"), F.col("_y"), F.pow(F.lit(lam), -F.col("_k"))
+    terms = {"_a0": w, "_a1": w * xv, "_a2": w * xv * xv, "_b0": w * yv, "_b1": w * xv * yv}
+    inside = f.by("_blk").running()
+    df = df.withColumns({name: F.sum(term).over(inside) for name, term in terms.items()})
+    # the sums at the last row of the block before, seen from every row of this block
+    before = F.when(F.col("_k") == block, F.struct(*terms))
+    df = df.withColumn("_last", F.last(before, True).over(f.running().rowsBetween(Window.unboundedPreceding, -1)))
+    carry = F.pow(F.lit(lam), F.lit(float(block)))
+    decay = F.pow(F.lit(lam), F.col("_k"))
+    total = {name: decay * (F.col(name) + carry * F.coalesce(F.col("_last")[name], F.lit(0.0))) for name in terms}
+    prior = F.pow(F.lit(lam), F.col("_off") + F.col("_i")) / delta
+    s0, s1, s2 = total["_a0"] + prior, total["_a1"], total["_a2"] + prior
+    r0, r1 = total["_b0"], total["_b1"]
     det = s0 * s2 - s1 * s1
     return df.withColumns(
         {alpha: F.try_divide(r0 * s2 - s1 * r1, det), beta: F.try_divide(s0 * r1 - s1 * r0, det)}
-    ).drop("_off", "_i", "_y", "_x", "_w", "_a0", "_a1", "_a2", "_b0", "_b1")
+    ).drop("_off", "_i", "_y", "_x", "_blk", "_k", "_last", *terms)
 
 
 def with_regression(df: DataFrame, y: Column, x: Column, n: int, f: Frame, alpha: str, beta: str) -> DataFrame:

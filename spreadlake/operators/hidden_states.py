@@ -22,8 +22,9 @@ def _log_t(x: np.ndarray, mu: np.ndarray, scale: np.ndarray, df: float) -> np.nd
 def _last_states(x: np.ndarray, n_states: int, df: float, iterations: int, tol: float) -> np.ndarray:
     """Last Viterbi state of each window (rows of ``x``); states ordered by scale.
 
-    All windows of a batch are fitted together: every array has the window as
-    its first axis, and only time is a loop.
+    All windows of a batch are fitted side by side: every array has the window
+    as its first axis, and only time is a loop.  Each window ends at its own
+    convergence, so its state does not depend on the batch it came in.
     """
     n, t = x.shape
     sd = x.std(axis=1, keepdims=True)
@@ -32,7 +33,8 @@ def _last_states(x: np.ndarray, n_states: int, df: float, iterations: int, tol:
     trans = np.full((n, n_states, n_states), 0.1 / (n_states - 1))
     trans[:, range(n_states), range(n_states)] = 0.9
     start = np.full((n, n_states), 1.0 / n_states)
-    last = np.full(n, -np.inf)
+    last, whole, open_ = np.full(n, -np.inf), x, np.arange(n)
+    kept = {"mu": mu.copy(), "scale": scale.copy(), "trans": trans.copy(), "start": start.copy()}
     for _ in range(iterations):
         ll = _log_t(x, mu, scale, df)
         top = ll.max(axis=2, keepdims=True)
@@ -63,9 +65,16 @@ def _last_states(x: np.ndarray, n_states: int, df: float, iterations: int, tol:
         trans = (counts + 1e-6) / (counts + 1e-6).sum(axis=2, keepdims=True)
         start = gamma[:, 0] / gamma[:, 0].sum(axis=1, keepdims=True)
         like = (np.log(norm) + top[:, :, 0]).sum(axis=1)
-        if np.max(np.abs(like - last)) < tol:
+        kept["mu"][open_], kept["scale"][open_], kept["trans"][open_], kept["start"][open_] = mu, scale, trans, start
+        more = np.abs(like - last) >= tol
+        if not more.any():
             break
-        last = like
+        # a window stops at its own convergence; the others go on without it
+        open_, last = open_[more], like[more]
+        x, mu, scale, trans, start = x[more], mu[more], scale[more], trans[more], start[more]
+        n = len(x)
+    x, n = whole, len(whole)
+    mu, scale, trans, start = kept["mu"], kept["scale"], kept["trans"], kept["start"]
     ll, lt = _log_t(x, mu, scale, df), np.log(trans)
     score = np.log(start + 1e-300) + ll[:, 0]
     for k in range(1, t):
@@ -76,7 +85,7 @@ def _last_states(x: np.ndarray, n_states: int, df: float, iterations: int, tol:
 
 def hidden_regime(
     df: DataFrame, ret: str, window: int = 126, n_states: int = 3, dof: float = 3.0, tol: float = 1e-4,
-    iterations: int = 20, f: Frame = PAIR, out: str = "hmm_state",
+    iterations: int = 100, f: Frame = PAIR, out: str = "hmm_state",
 ) -> DataFrame:
     """State of each bar from the ``window`` returns before it; 0 until enough are known.
 

@@ -28,6 +28,19 @@ def fit_linear(df: DataFrame, features: list[str], label: str) -> PipelineModel:
     return Pipeline(stages=[va, lr]).fit(df)
 
 
+def two_factor_ols(df: DataFrame, label: str, a: str, b: str, keys: tuple[str, ...] = ("pair",)) -> DataFrame:
+    """Slopes of ordinary least squares on two features, per series, from one aggregate of moments."""
+    cov = lambda x, y: F.covar_pop(x, y)
+    m = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), cov(label, a).alias("_ya"), cov(label, b).alias("_yb"), cov(a, a).alias("_aa"), cov(b, b).alias("_bb"), cov(a, b).alias("_ab"),
+    )
+    c = F.col
+    det = c("_aa") * c("_bb") - c("_ab") * c("_ab")
+    return m.select(
+        *keys, "n", F.try_divide(c("_ya") * c("_bb") - c("_yb") * c("_ab"), det).alias(f"b_{a}"), F.try_divide(c("_yb") * c("_aa") - c("_ya") * c("_ab"), det).alias(f"b_{b}")
+    )
+
+
 def fit_boosted(df: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 3, rate: float = 0.1) -> PipelineModel:
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=42, predictionCol="gbt_pred")
@@ -88,17 +101,16 @@ def regression_scores(df: DataFrame, label: str, pred: str, keys: tuple[str, ...
 
 def permutation_importance(
     model: PipelineModel, df: DataFrame, features: list[str], label: str, pred: str, row_id: str,
-    permuted: list[str] | None = None, repeats: int = 5, seed: int = 42, bucket_rows: int = 50_000,
+    permuted: list[str] | None = None, repeats: int = 5, seed: int = 42, buckets: int = 64,
 ) -> DataFrame:
     """Mean loss of r2 when one feature is shuffled.
 
     A shuffle is a hash order per (feature, repeat): the value of the row at
     place ``k`` of one random order goes to the row at place ``k`` of another.
-    Places are taken inside hash buckets of about ``bucket_rows`` rows, so no
-    global sort is needed and no bucket grows with the table.
+    Places are taken inside ``buckets`` hash buckets, the same rule at every
+    size; raise it with the table so that a bucket stays a task's work.
     """
     base = df.select(row_id, *features, label)
-    buckets = max(1, base.count() // bucket_rows)
     out = []
     for feature in permuted or features:
         for r in range(repeats):

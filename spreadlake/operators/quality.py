@@ -8,14 +8,50 @@ from pyspark.sql import functions as F
 from spreadlake.functions import rolling as R
 from spreadlake.series import PAIR, Frame
 
-# Parameter ranges by module.
+# Parameter ranges by module; no upper bound is infinity.
 RULES = [
-    ("strategy", "beta_window", 10.0, 500.0), ("strategy", "z_window", 5.0, 252.0), ("strategy", "corr_window", 5.0, 252.0),
-    ("strategy", "entry_z", 0.1, 5.0), ("strategy", "exit_z", 0.0, 3.0), ("strategy", "stop_z", 1.0, 10.0),
-    ("regime", "min_abs_corr", 0.0, 1.0), ("regime", "vol_window", 5.0, 252.0), ("regime", "trend_window", 5.0, 252.0),
-    ("sizing", "atr_window", 2.0, 252.0), ("sizing", "target_vol_per_leg", 0.0001, 0.5),
-    ("time_stop", "max_days", 1.0, 365.0),
+    ("signal_generation", "entry_z", 0.1, 5.0),
+    ("signal_generation", "exit_z", 0.0, 2.0),
+    ("signal_generation", "stop_z", 1.0, 10.0),
+    ("signal_generation", "beta_window", 10.0, 500.0),
+    ("signal_generation", "z_window", 5.0, 200.0),
+    ("backtest", "entry_z", 0.1, 5.0),
+    ("backtest", "exit_z", 0.0, 2.0),
+    ("backtest", "stop_z", 1.0, 10.0),
+    ("backtest", "max_bars", 1.0, 1000.0),
+    ("risk_management", "max_position_pct", 0.001, 1.0),
+    ("risk_management", "max_daily_loss_pct", 0.001, 0.5),
+    ("risk_management", "max_drawdown_pct", 0.01, 0.9),
+    ("risk_management", "position_size", 0.0, float("inf")),
+    ("feature_calculation", "window", 2.0, 1000.0),
+    ("feature_calculation", "atr_window", 5.0, 100.0),
+    ("feature_calculation", "corr_window", 5.0, 500.0),
+    ("feature_calculation", "min_abs_corr", 0.0, 1.0),
 ]
+# Required keys of a configuration's sections, and the ranges of those that have one.
+REQUIRED = {
+    "lookbacks": {"beta_window": (10.0, 500.0), "z_window": (5.0, 200.0), "corr_window": (5.0, 500.0)},
+    "thresholds": {"entry_z": (0.1, 5.0), "exit_z": (0.0, 2.0), "stop_z": (1.0, 10.0)},
+    "sizing": {"target_vol_per_leg": (0.001, 0.1), "atr_window": (5.0, 100.0)},
+    "regime": {"min_abs_corr": (0.0, 1.0)},
+}
+
+
+def config_violations(spark: SparkSession, sections: dict[str, dict]) -> DataFrame:
+    """Missing sections and keys, and values out of range, of nested pair sections: ``pair, path, problem``."""
+    rows = []
+    for pair, section in sections.items():
+        for name, keys in REQUIRED.items():
+            held = section.get(name)
+            if not isinstance(held, dict):
+                rows.append((pair, name, "section missing"))
+                continue
+            for key, (lo, hi) in keys.items():
+                if key not in held:
+                    rows.append((pair, f"{name}.{key}", "key missing"))
+                elif not lo <= float(held[key]) <= hi:
+                    rows.append((pair, f"{name}.{key}", f"not in [{lo:g}, {hi:g}]"))
+    return spark.createDataFrame(rows, "pair string, path string, problem string")
 
 
 def series_report(df: DataFrame, col: str, min_length: int, keys: tuple[str, ...] = ("pair",)) -> DataFrame:
@@ -46,7 +82,7 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 def params_report(params: DataFrame, rules: DataFrame) -> DataFrame:
     """Every (pair, parameter) against the rule registry, plus the threshold order."""
-    names = [r[1] for r in RULES]
+    names = list(dict.fromkeys(r[1] for r in RULES))
     have = [n for n in names if n in params.columns]
     long = params.select("pair", *[F.col(c).cast("double").alias(c) for c in have]).unpivot("pair", have, "param", "value")
     return long.join(rules, "param").select(

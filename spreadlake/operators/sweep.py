@@ -140,6 +140,32 @@ def purge(df: DataFrame, boundary: Column, row: Column, purge_bars: int = 40, em
     return df.filter(~((gap < 0) & (gap >= -purge_bars)) & ~((gap >= 0) & (gap < embargo_bars)))
 
 
+def purge_folds(df: DataFrame, keys: tuple[str, ...] = ("pair", "param_id"), purge_bars: int = 40, embargo_bars: int = 20) -> DataFrame:
+    """In every fold, drop the last training bars and the first test bars."""
+    part = Window.partitionBy(*keys, "fold", "part")
+    up, down = F.row_number().over(part.orderBy("ts")), F.row_number().over(part.orderBy(F.col("ts").desc()))
+    place = df.withColumns({"_up": up, "_down": down})
+    keep = ((F.col("part") == "train") & (F.col("_down") > purge_bars)) | ((F.col("part") == "test") & (F.col("_up") > embargo_bars))
+    return place.filter(keep).drop("_up", "_down")
+
+
+def fold_scores(df: DataFrame, keys: tuple[str, ...] = ("pair", "param_id")) -> DataFrame:
+    """Scores of each fold's part from bar returns ``r`` and position changes ``chg``.
+
+    The Sharpe ratio is annual, the drawdown that of the part's own compounded equity.
+    """
+    c = F.col
+    run = Window.partitionBy(*keys, "fold", "part").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    eq = df.withColumn("_eq", F.product(1.0 + F.coalesce("r", F.lit(0.0))).over(run)).withColumn("_peak", F.max("_eq").over(run))
+    gain, loss = F.sum(F.when(c("r") > 0, c("r"))), F.sum(F.when(c("r") < 0, c("r")))
+    t = eq.groupBy(*keys, "fold", "part").agg(
+        F.sum("r").alias("total_return"), (F.sum("r") * 252 / F.count(F.lit(1))).alias("annual_return"), (F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("_vol"),
+        F.coalesce(F.try_divide(gain, F.abs(loss)), F.lit(0.0)).alias("profit_factor"),
+        F.coalesce(F.min(F.try_divide(c("_eq") - c("_peak"), c("_peak"))), F.lit(0.0)).alias("max_drawdown"), F.count_if("chg").alias("num_trades"),
+    )
+    return t.withColumn("sharpe_ratio", F.when(c("_vol") > 0, c("annual_return") / c("_vol")).otherwise(0.0)).drop("_vol")
+
+
 def freeze_best(train: DataFrame, test: DataFrame, keys: tuple[str, ...] = ("pair", "fold")) -> DataFrame:
     """Test rows of the parameter set that was best in training (Sharpe, then profit factor, then drawdown)."""
     w = Window.partitionBy(*keys).orderBy(
@@ -150,7 +176,7 @@ def freeze_best(train: DataFrame, test: DataFrame, keys: tuple[str, ...] = ("pai
 
 
 def accept(test: DataFrame) -> DataFrame:
-    """Out-of-sample acceptance per pair."""
+    """Out-of-sample acceptance per pair: medians, worst drawdown, no fold that dominates and none without a trade."""
     c = F.col
     gain = F.when(c("total_return") > 0, c("total_return")).otherwise(0.0)
     t = test.groupBy("pair").agg(
@@ -158,8 +184,9 @@ def accept(test: DataFrame) -> DataFrame:
         F.percentile("profit_factor", F.lit(0.5)).alias("median_pf"),
         F.min("max_drawdown").alias("worst_dd"),
         F.try_divide(F.max(gain), F.sum(gain)).alias("top_fold_share"),
+        F.min("num_trades").alias("fewest_trades"),
     )
-    ok = (c("median_sharpe") >= 0.2) & (c("median_pf") >= 1.2) & (c("worst_dd") >= -0.25) & (F.coalesce("top_fold_share", F.lit(0.0)) <= 0.6)
+    ok = (c("fewest_trades") > 0) & (c("median_sharpe") >= 0.2) & (c("median_pf") >= 1.2) & (c("worst_dd") >= -0.25) & (F.coalesce("top_fold_share", F.lit(0.0)) <= 0.6)
     return t.withColumn("accepted", R.holds(ok))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spreadlake.functions import rolling as R
@@ -175,9 +175,10 @@ XS = ["z_lag_1", "spread_mean_5", "spread_std_20", "fx_volatility", "comd_volati
 
 def training(s, d):
     def build(a, b):
-        y = labels(a, b).select("pair", F.col("label_ts").alias("ts"), F.col("label").cast("double").alias("label"), "forward_return")
-        t = filter_table(a, b).join(y, ["pair", "ts"]).filter("label IS NOT NULL AND abs(forward_return) < 100")
-        return t.withColumn("row_id", F.xxhash64("pair", "ts")).withColumn("signal", F.when(F.col("spread_z") < 0, 1).otherwise(-1)).withColumn("target", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "forward_return")))
+        y = labels(a, b).select("pair", F.col("label_ts").alias("ts"), F.col("label").cast("double").alias("label"), F.col("forward_change").alias("target"))
+        # the target is a difference, defined for every bar with a future, also where the spread is near zero
+        t = filter_table(a, b).join(y, ["pair", "ts"]).filter("label IS NOT NULL")
+        return t.withColumn("row_id", F.xxhash64("pair", "ts")).withColumn("signal", F.when(F.col("spread_z") < 0, 1).otherwise(-1))
 
     return shared(s, d, "training", build)
 
@@ -191,19 +192,22 @@ def _filtered(s, d):
 case("m5_signal_filter", _filtered, strs=["pair"], ints=["filtered_signal", "n"], floats=["p_win"], dec=4)
 
 
+OLS_WINDOW = 90
+
+
 def _ols_fit(s, d):
     t = training(s, d)
-    recent = t.filter(F.col("pair") == "A_N")
-    model = L.fit_linear(recent, ["z_lag_1", "spread_std_20"], "target")
-    a, b = (float(v) for v in model.stages[-1].coefficients)
-    return recent.groupBy("pair").agg(F.lit(a).alias("b_z"), F.lit(b).alias("b_std"), F.count(F.lit(1)).alias("n"))
+    # bars have one row per day and pair: the last rows by day are the last rows by place
+    place = F.row_number().over(Window.partitionBy("pair").orderBy(F.col("ts").desc()))
+    return L.two_factor_ols(t.withColumn("_k", place).filter(F.col("_k") <= OLS_WINDOW), "target", "z_lag_1", "spread_std_20")
 
 
-MT = f"{FSQL}, {LSQL}, tr AS (SELECT ft.*, greatest(-1.0, least(1.0, fr)) AS target FROM ft JOIN lf USING (pair, ts) WHERE fr IS NOT NULL AND abs(fr) < 100)"
+MT = f"{FSQL}, {LSQL}, lc5 AS (SELECT pair, ts, lead(spread, 5) {Q.Q} - spread AS target FROM zs), tr AS (SELECT ft.*, target FROM ft JOIN lf USING (pair, ts) JOIN lc5 USING (pair, ts) WHERE fr IS NOT NULL)"
 case(
     "m6_linear_model", _ols_fit,
-    f"""{MT}, mo AS (SELECT pair, count(*) AS n, covar_pop(target, z_lag_1) AS y1, covar_pop(target, spread_std_20) AS y2, var_pop(z_lag_1) AS s11, var_pop(spread_std_20) AS s22, covar_pop(z_lag_1, spread_std_20) AS s12 FROM tr WHERE pair = 'A_N' GROUP BY pair)""",
-    "SELECT pair, n, (y1 * s22 - y2 * s12) / (s11 * s22 - s12 * s12) AS b_z, (y2 * s11 - y1 * s12) / (s11 * s22 - s12 * s12) AS b_std FROM mo", strs=["pair"], ints=["n"], floats=["b_z", "b_std"],
+    f"""{MT}, lastw AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY pair ORDER BY ts DESC) <= 90),
+ mo AS (SELECT pair, count(*) AS n, covar_pop(target, z_lag_1) AS y1, covar_pop(target, spread_std_20) AS y2, var_pop(z_lag_1) AS s11, var_pop(spread_std_20) AS s22, covar_pop(z_lag_1, spread_std_20) AS s12 FROM lastw GROUP BY pair)""",
+    "SELECT pair, n, (y1 * s22 - y2 * s12) / (s11 * s22 - s12 * s12) AS b_z_lag_1, (y2 * s11 - y1 * s12) / (s11 * s22 - s12 * s12) AS b_spread_std_20 FROM mo", strs=["pair"], ints=["n"], floats=["b_z_lag_1", "b_spread_std_20"],
 )
 
 
@@ -225,7 +229,7 @@ def predictions(s, d):
     def build(a, b):
         t = training(a, b)
         out = L.fit_linear(t, XS, "target").transform(t).drop("features")
-        return L.fit_boosted(t, XS, "target", trees=10).transform(out).drop("features").withColumn("ensemble_pred", L.weighted({"ols_pred": 0.4, "gbt_pred": 0.6}))
+        return L.fit_boosted(t, XS, "target").transform(out).drop("features").withColumn("ensemble_pred", L.weighted({"ols_pred": 0.4, "gbt_pred": 0.6}))
 
     return shared(s, d, "predictions", build)
 
@@ -240,7 +244,7 @@ case("m8_g13_ensemble", _scores("ensemble_pred"), strs=["pair"], ints=["n"], flo
 
 def _importance(s, d):
     t = training(s, d)
-    lin, gbt = L.fit_linear(t, XS, "target"), L.fit_boosted(t, XS, "target", trees=10)
+    lin, gbt = L.fit_linear(t, XS, "target"), L.fit_boosted(t, XS, "target")
     return L.importance(lin, XS, t, "ols").unionByName(L.importance(gbt, XS, t, "gbt"))
 
 
@@ -254,7 +258,7 @@ case(
 
 def _permuted(s, d):
     t = training(s, d)
-    return L.permutation_importance(L.fit_linear(t, XS, "target"), t, XS, "target", "ols_pred", "row_id", permuted=XS[:3], repeats=2)
+    return L.permutation_importance(L.fit_linear(t, XS, "target"), t, XS, "target", "ols_pred", "row_id")
 
 
 case("m11_permutation_importance", _permuted, strs=["feature"], floats=["importance"], dec=4)
@@ -295,7 +299,10 @@ def data_params(s, d):
 
 PRM = """prm AS (SELECT event_type AS pair, floor(count(*) / 20)::INT AS beta_window, floor(count(*) / 100)::INT AS z_window, 20 AS corr_window, quantile_cont(value, 0.9) / 20 AS entry_z, quantile_cont(value, 0.2) / 10 AS exit_z, 3.5::DOUBLE AS stop_z, 0.15::DOUBLE AS min_abs_corr FROM events GROUP BY 1)"""
 _HAVE = ["beta_window", "z_window", "corr_window", "entry_z", "exit_z", "stop_z", "min_abs_corr"]
-_RULES = ", ".join(f"('{m}', '{p}', {lo}::DOUBLE, {hi}::DOUBLE)" for m, p, lo, hi in V.RULES)
+# the registry's ranges as the reference states them, typed here once more
+_RULES = """('signal_generation', 'entry_z', 0.1, 5.0), ('signal_generation', 'exit_z', 0.0, 2.0), ('signal_generation', 'stop_z', 1.0, 10.0),
+ ('signal_generation', 'beta_window', 10.0, 500.0), ('signal_generation', 'z_window', 5.0, 200.0), ('backtest', 'entry_z', 0.1, 5.0), ('backtest', 'exit_z', 0.0, 2.0),
+ ('backtest', 'stop_z', 1.0, 10.0), ('feature_calculation', 'corr_window', 5.0, 500.0), ('feature_calculation', 'min_abs_corr', 0.0, 1.0)"""
 _LONG = " UNION ALL ".join(f"SELECT pair, '{c}' AS param, {c}::DOUBLE AS value FROM prm" for c in _HAVE)
 case(
     "v3_v4_parameter_rules", lambda s, d: V.params_report(data_params(s, d), V.rule_table(s)), f"WITH {PRM}, rules(module, param, lo, hi) AS (VALUES {_RULES})",

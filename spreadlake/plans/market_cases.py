@@ -178,25 +178,30 @@ for _name, _fmt in (("s14_csv_sink", "csv"), ("s16_parquet_store", "parquet")):
     case(_name, _roundtrip(_fmt), f"WITH {PAIRS}", "SELECT * FROM pairs", strs=["pair"], day="ts", floats=["fx_price", "comd_price"], dec=10)
 
 SECTIONS = {
-    "A_N": {"fx_symbol": "A", "comd_symbol": "N", "lookbacks": {"z_window": 20}, "thresholds": {"entry_z": 2.6, "exit_z": "1e-3"}},
-    "A_R": {"fx_symbol": "A", "comd_symbol": "R", "thresholds": {"entry_z": 2.7}},
+    "A_N": {
+        "fx_symbol": "A", "comd_symbol": "N", "inverse_fx_for_quote_ccy_strength": True, "min_trade_count": 12, "rolling_metrics": {"windows": {"30D": 30}},
+        "lookbacks": {"beta_window": 90, "z_window": 40, "corr_window": 20}, "thresholds": {"entry_z": 2.6, "exit_z": "1e-3"}, "time_stop": {"max_days": 20},
+        "regime": {"min_abs_corr": 0.4, "volatility_window": 30, "enable_hmm": True, "hmm": {"window": 252, "df": 5.0, "tol": "1e-3"}, "vix": {"thresh": 25}},
+    },
+    "A_R": {"fx_symbol": "A", "comd_symbol": "R", "inverse_fx_for_quote_ccy_strength": False, "thresholds": {"entry_z": 2.7}, "regime": {"enable_hmm": False}},
     "N_R": {"fx_symbol": "N", "comd_symbol": "R", "thresholds": {"entry_z": 2.8, "exit_z": 0.5}},
-}
+}
 
 
 def _configured(s, d):
-    params = C.params_frame(s, SECTIONS)
-    b = I.pair_bars(s, d).join(F.broadcast(params.select("pair", "entry_z", "exit_z", "max_days")), "pair")
-    return b.groupBy("pair", "entry_z", "exit_z", "max_days").agg(
-        F.count_if(F.col("fx_price") >= F.col("entry_z")).alias("above"), F.count(F.lit(1)).alias("bars")
-    )
+    names = ["entry_z", "exit_z", "max_days", "inverse_fx", "enable_hmm", "vol_window", "z_window", "hmm_window", "min_trade_count", "vix_thresh"]
+    params = C.params_frame(s, SECTIONS).select("pair", *names)  # one row per configured pair
+    b = I.pair_bars(s, d).join(F.broadcast(params), "pair")
+    fx = F.when(F.col("inverse_fx"), 1.0 / F.col("fx_price")).otherwise(F.col("fx_price"))
+    return b.groupBy("pair", *names).agg(F.count_if(F.col("fx_price") >= F.col("entry_z")).alias("above"), F.count(F.lit(1)).alias("bars"), F.avg(fx).alias("mean_fx"))
 
 
 case(
     "s17_pair_config", _configured,
-    f"WITH {PAIRS}, prm(pair, entry_z, exit_z, max_days) AS (VALUES ('A_N', 2.6, 0.001, 10), ('A_R', 2.7, 0.25, 10), ('N_R', 2.8, 0.5, 10))",
-    "SELECT p.pair, m.entry_z, m.exit_z, m.max_days, count(*) FILTER (WHERE fx_price >= m.entry_z) AS above, count(*) AS bars FROM pairs p JOIN prm m USING (pair) GROUP BY ALL",
-    strs=["pair"], ints=["max_days", "above", "bars"], floats=["entry_z", "exit_z"],
+    f"""WITH {PAIRS}, prm(pair, entry_z, exit_z, max_days, inverse_fx, enable_hmm, vol_window, z_window, hmm_window, min_trade_count, vix_thresh) AS (VALUES ('A_N', 2.6, 0.001, 20, true, true, 30, 40, 252, 12, 25.0),
+ ('A_R', 2.7, 0.25, 10, false, false, 20, 20, 126, 10, 20.0), ('N_R', 2.8, 0.5, 10, true, false, 20, 20, 126, 10, 20.0))""",
+    "SELECT m.*, count(*) FILTER (WHERE fx_price >= m.entry_z) AS above, count(*) AS bars, avg(CASE WHEN inverse_fx THEN 1 / fx_price ELSE fx_price END) AS mean_fx FROM pairs p JOIN prm m USING (pair) GROUP BY ALL",
+    strs=["pair"], ints=["max_days", "inverse_fx", "enable_hmm", "vol_window", "z_window", "hmm_window", "min_trade_count", "above", "bars"], floats=["entry_z", "exit_z", "vix_thresh", "mean_fx"],
 )
 
 # --- projections ----------------------------------------------------------------------------------

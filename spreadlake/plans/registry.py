@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlake.session import stage
+from spreadlake.session import release_staged, stage
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -54,8 +54,11 @@ def shared(spark: SparkSession, sf: str, key: str, build: Build) -> DataFrame:
     return _STAGED[at]
 
 
-def forget_shared() -> None:
+def forget_shared(spark: SparkSession | None = None) -> None:
+    """Forget the shared tables; given a session, delete all staged files too."""
     _STAGED.clear()
+    if spark is not None:
+        release_staged(spark)
 
 
 def case(name: str, build: Build, ctes: str | None = None, src: str | None = None, **cols) -> None:

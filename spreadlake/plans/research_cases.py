@@ -291,37 +291,40 @@ case(
     "x9_purge_embargo", _purged, f"WITH {PAIRS}, rn AS (SELECT *, row_number() {Q.Q} AS rn FROM pairs), cut AS (SELECT pair, max(rn) + 1 AS cut FROM rn WHERE year(ts) < 1999 GROUP BY pair)",
     "SELECT pair, ts, rn FROM rn JOIN cut USING (pair) WHERE NOT (rn - cut < 0 AND rn - cut >= -40) AND NOT (rn - cut >= 0 AND rn - cut < 20)", **DAY, ints=["rn"],
 )
-SMALL_GRID = RUN_GRID[:6]
 
 
 def _fold_scores(s, d):
-    sig = trim(X.sweep_signals(stage(zbars(s, d)), SMALL_GRID).withColumn("r", F.lag("signal").over(X.GRID_FRAME.ordered()) * R.diff(F.col("spread"), 1, X.GRID_FRAME)))
-    df = X.assign_folds(sig.select("pair", "param_id", "ts", "r"), **FOLDS)
-    gain, loss = F.sum(F.when(F.col("r") > 0, F.col("r"))), F.sum(F.when(F.col("r") < 0, F.col("r")))
-    return df.groupBy("pair", "param_id", "fold", "part").agg(
-        F.sum("r").alias("total_return"), F.coalesce(F.try_divide(F.avg("r"), F.nullif(F.stddev_samp("r"), F.lit(0.0))), F.lit(0.0)).alias("sharpe_ratio"),
-        F.coalesce(F.try_divide(gain, F.abs(loss)), F.lit(0.0)).alias("profit_factor"), F.coalesce(F.min("r"), F.lit(0.0)).alias("max_drawdown"),
-    )
-
-
-FSCORE = f"""{SWEEP.replace(grid_sql(RUN_GRID), grid_sql(SMALL_GRID))}, {FOLD_SQL.format(src='s1')},
- fs AS (SELECT pair, param_id, fold, part, sum(r) AS total_return, coalesce(avg(r) / nullif(stddev_samp(r), 0), 0) AS sharpe_ratio, coalesce(sum(r) FILTER (WHERE r > 0) / abs(sum(r) FILTER (WHERE r < 0)), 0) AS profit_factor, coalesce(min(r), 0) AS max_drawdown FROM fd WHERE part IS NOT NULL GROUP BY ALL),
- ch AS (SELECT pair, fold, param_id FROM fs WHERE part = 'train' QUALIFY row_number() OVER (PARTITION BY pair, fold ORDER BY round(sharpe_ratio, 6) DESC, round(profit_factor, 6) DESC, round(max_drawdown, 6) DESC, param_id) = 1),
+    df = X.sweep_signals(stage(zbars(s, d)), RUN_GRID)
+    before = F.lag("signal").over(X.GRID_FRAME.ordered())
+    df = trim(df.withColumns({"r": before * R.diff(F.col("spread"), 1, X.GRID_FRAME), "chg": F.coalesce(F.col("signal") != before, F.lit(False))}))
+    folds = X.assign_folds(df.select("pair", "param_id", "ts", "r", "chg"), **FOLDS)
+    # drawdowns of spread returns reach powers of ten: kept as logarithms
+    return X.fold_scores(X.purge_folds(folds)).withColumn("log_drawdown", -F.ln(1 - F.col("max_drawdown")))
+
+
+PFP = "OVER (PARTITION BY pair, param_id, fold, part ORDER BY ts"
+FSCORE = f"""{SWEEP}, {FOLD_SQL.format(src='s2')},
+ pl AS (SELECT *, row_number() {PFP}) AS up, row_number() {PFP} DESC) AS down FROM fd WHERE part IS NOT NULL),
+ pu AS (SELECT pair, param_id, fold, part, ts, r, ch, product(1 + coalesce(r, 0)) {PFP} ROWS UNBOUNDED PRECEDING) AS feq FROM pl WHERE (part = 'train' AND down > 40) OR (part = 'test' AND up > 20)),
+ pe AS (SELECT *, max(feq) {PFP} ROWS UNBOUNDED PRECEDING) AS fpk FROM pu),
+ fs AS (SELECT pair, fold, part, param_id, sum(r) AS total_return, CASE WHEN stddev_samp(r) > 0 THEN sum(r) * 252 / count(*) / (stddev_samp(r) * sqrt(252)) ELSE 0 END AS sharpe_ratio,
+  coalesce(sum(r) FILTER (WHERE r > 0) / abs(sum(r) FILTER (WHERE r < 0)), 0) AS profit_factor, -ln(1 - coalesce(min((feq - fpk) / nullif(fpk, 0)), 0)) AS log_drawdown, sum(ch::INT) AS num_trades FROM pe GROUP BY ALL),
+ ch AS (SELECT pair, fold, param_id FROM fs WHERE part = 'train' QUALIFY row_number() OVER (PARTITION BY pair, fold ORDER BY round(sharpe_ratio, 6) DESC, round(profit_factor, 6) DESC, round(log_drawdown, 6) DESC, param_id) = 1),
  oos AS (SELECT fs.* FROM fs JOIN ch USING (pair, fold, param_id) WHERE part = 'test')"""
 
 
 def _oos(s, d):
     sc = shared(s, d, "fold_scores", _fold_scores)
-    keyed = sc.select("pair", "param_id", "fold", "part", *[F.round(c, 6).alias(c) for c in ("sharpe_ratio", "profit_factor", "max_drawdown")])
-    return X.freeze_best(keyed.filter("part = 'train'"), sc.filter("part = 'test'"))
+    keyed = sc.filter("part = 'train'").select("pair", "param_id", "fold", F.round("sharpe_ratio", 6).alias("sharpe_ratio"), F.round("profit_factor", 6).alias("profit_factor"), F.round("log_drawdown", 6).alias("max_drawdown"))
+    return X.freeze_best(keyed, sc.filter("part = 'test'"))
 
 
-case("x10_tune_then_freeze", _oos, FSCORE, "SELECT * FROM oos", strs=["pair"], ints=["fold", "param_id"], floats=["total_return", "sharpe_ratio", "profit_factor", "max_drawdown"], dec=5)
+case("x10_tune_then_freeze", _oos, FSCORE, "SELECT * FROM oos", strs=["pair"], ints=["fold", "param_id", "num_trades"], floats=["total_return", "sharpe_ratio", "profit_factor", "log_drawdown"], dec=5)
 case(
-    "x12_oos_acceptance", lambda s, d: X.accept(_oos(s, d)),
-    f"{FSCORE}, ac AS (SELECT pair, median(sharpe_ratio) AS median_sharpe, median(profit_factor) AS median_pf, min(max_drawdown) AS worst_dd, max(greatest(total_return, 0)) / nullif(sum(greatest(total_return, 0)), 0) AS top_fold_share FROM oos GROUP BY pair)",
-    "SELECT *, median_sharpe >= 0.2 AND median_pf >= 1.2 AND worst_dd >= -0.25 AND coalesce(top_fold_share, 0) <= 0.6 AS accepted FROM ac",
-    strs=["pair"], ints=["accepted"], floats=["median_sharpe", "median_pf", "worst_dd", "top_fold_share"], dec=5,
+    "x12_oos_acceptance", lambda s, d: X.accept(_oos(s, d)).withColumn("worst_dd", -F.ln(1 - F.col("worst_dd"))),
+    f"{FSCORE}, ac AS (SELECT pair, median(sharpe_ratio) AS median_sharpe, median(profit_factor) AS median_pf, min(log_drawdown) AS worst_dd, min(num_trades) AS fewest_trades, max(greatest(total_return, 0)) / nullif(sum(greatest(total_return, 0)), 0) AS top_fold_share FROM oos GROUP BY pair)",
+    "SELECT *, fewest_trades > 0 AND median_sharpe >= 0.2 AND median_pf >= 1.2 AND worst_dd >= -ln(1.25) AND coalesce(top_fold_share, 0) <= 0.6 AS accepted FROM ac",
+    strs=["pair"], ints=["accepted", "fewest_trades"], floats=["median_sharpe", "median_pf", "worst_dd", "top_fold_share"], dec=5,
 )
 case("x13_bootstrap", lambda s, d: X.bootstrap(B.trades(backtested(s, d)), "return", ["trade_id"]), strs=["pair"], floats=["lo", "hi", "p_value"])
 

@@ -302,8 +302,8 @@ case(
     _held("corr_ok OR coalesce(adf_p <= 0.15, false)", 24, reverse=True), HELD_OUT, **DAY, ints=["signal", "good_regime"],
 )
 case(
-    "g5_daily_signals", lambda s, d: trim(S.bounded_hold_signals(I.pair_bars(s, d), D1, 5, any_gate=False)),
-    _held("corr_ok AND coalesce(adf_p <= 0.05, false)", 5), HELD_OUT, **DAY, ints=["signal", "good_regime"],
+    "g5_daily_signals", lambda s, d: trim(S.bounded_hold_signals(I.pair_bars(s, d), D1, 60, any_gate=False)),
+    _held("corr_ok AND coalesce(adf_p <= 0.05, false)", 60), HELD_OUT, **DAY, ints=["signal", "good_regime"],
 )
 ADJ = f"""{Q.SPREAD}, v0 AS (SELECT *, {full('stddev_samp(spread_z)', 'spread_z', 20)} AS sv FROM zs), v1 AS (SELECT *, 1 + (sv - avg(sv) OVER (PARTITION BY pair)) / avg(sv) OVER (PARTITION BY pair) AS adj FROM v0),
  v2 AS (SELECT *, CASE WHEN adj IS NOT NULL THEN greatest(1.5 * adj, 0.5) END AS entry_threshold, CASE WHEN adj IS NOT NULL THEN greatest(3.5 * adj, 2.0) END AS stop_threshold FROM v1),

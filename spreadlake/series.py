@@ -24,7 +24,8 @@ from spreadlake.session import stage
 SEG, OWN, OFF = "seg", "own", "seg_off"
 DEFAULT_ROWS = 65_536
 DEFAULT_GRAIN_DAYS = 30.0
-BROADCAST_ROWS = 500_000
+#: A bucket with more than this share of a segment's rows is cut into ``FINER`` buckets, again and again.
+FULL_SHARE, FINER, LEAST_MICROS = 1 / 16, 256, 1000
 _UNBOUNDED = Window.unboundedPreceding
 
 
@@ -71,14 +72,13 @@ PAIR = Frame()
 
 
 def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a derived table that is usually small, by broadcast only when its counted size allows.
+    """Join a derived table that is usually small.
 
-    The table is staged, so counting it costs one pass over its files; above
-    ``BROADCAST_ROWS`` rows the join shuffles and adaptive execution splits
-    skewed keys.
+    The table is staged, so the optimizer knows its bytes: below the broadcast
+    threshold it is broadcast, above it both sides are shuffled and adaptive
+    execution splits skewed keys.
     """
-    small = stage(small)
-    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+    return df.join(stage(small), on, how)
 
 
 def segment_rows(df: DataFrame) -> int:
@@ -99,9 +99,10 @@ def segment(
     A histogram over ``(keys, time bucket)`` gives each bucket its row offset in
     the series; whole buckets go to segment ``offset // rows`` and, while they
     end less than ``lookback`` rows before a later segment starts, to that one
-    too.  The histogram is a pruned, map-side-combined aggregate that is staged
-    once, so its size is known: below ``BROADCAST_ROWS`` it is broadcast and the
-    bars are shuffled once, on ``(keys, seg)``; above, it is joined by shuffle.
+    too.  A bucket holds few rows: :func:`bucketed` cuts dense ones finer, so a
+    segment exceeds ``rows`` by one bucket at most, and so does a halo
+    ``lookback``.  The histogram is a pruned, map-side-combined aggregate that
+    is staged once; its bytes decide between a broadcast and a shuffled join.
 
     ``reuse`` stages ``df`` first: right when it is itself a reduction of a much
     larger table, which would otherwise be read for the histogram and again for
@@ -110,15 +111,11 @@ def segment(
     if reuse:
         df = stage(df)
     rows = rows or segment_rows(df)
-    width = int(grain_days * 86_400 * 1_000_000)
-    bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(width))
-    tagged = df.withColumn("_bucket", bucket)
+    tagged, counted = bucketed(df, keys, ts, rows, int(grain_days * 86_400 * 1_000_000))
     w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(_UNBOUNDED, -1)
     whole = Window.partitionBy(*keys)
     hist = (
-        tagged.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_cnt"))
-        .withColumn(OFF, F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+        counted.withColumn(OFF, F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
         .withColumn("_own", F.floor(F.col(OFF) / rows))
         .withColumn("_top", F.max("_own").over(whole))
         .withColumn("_end", F.floor((F.col(OFF) + F.col("_cnt") + (lookback - 1)) / rows))
@@ -138,6 +135,31 @@ def segment(
     )
 
 
+def bucketed(df: DataFrame, keys: tuple[str, ...], ts: str, rows: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the start of each row's time bucket, and the count of each bucket.
+
+    Buckets fuller than ``FULL_SHARE * rows`` are cut into ``FINER`` ones until
+    none is, or they are as short as ``LEAST_MICROS``.  The list of full buckets
+    has at most ``1 / (FULL_SHARE * rows)`` of the rows' number of entries.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    start = lambda n: F.floor(micros / F.lit(n)) * n
+    tagged = df.withColumn("_bucket", start(width))
+    count = lambda d: stage(d.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_cnt")))
+    counted = count(tagged)
+    full = counted.filter(F.col("_cnt") > FULL_SHARE * rows)
+    while width > LEAST_MICROS and not full.isEmpty():
+        width = max(LEAST_MICROS, width // FINER)
+        tagged = join_small(tagged, full.select(*keys, "_bucket", F.lit(True).alias("_full")), [*keys, "_bucket"], "left")
+        # a finer bucket starts inside the one that it is cut from
+        tagged = tagged.withColumn("_bucket", F.when(F.col("_full"), F.greatest("_bucket", start(width))).otherwise(F.col("_bucket"))).withColumn("_cut", F.coalesce("_full", F.lit(False))).drop("_full")
+        finer = count(tagged.filter("_cut"))
+        counted = counted.join(full.select(*keys, "_bucket"), [*keys, "_bucket"], "left_anti").unionByName(finer)
+        full = finer.filter(F.col("_cnt") > FULL_SHARE * rows)
+        tagged = tagged.drop("_cut")
+    return tagged, counted
+
+
 def trim(df: DataFrame) -> DataFrame:
     """Keep each row once: in the segment that owns it."""
     return df.filter(OWN).drop(SEG, OWN, OFF)

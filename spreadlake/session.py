@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,13 +72,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and continue from the files.
+    """``df`` written as Parquet to the shared folder and read again.
 
     Used where the same wide intermediate feeds two branches (a per-segment
-    summary and the rows themselves).  Reliable checkpoints keep the hash
-    partitioning and sort order, so later windows on the same keys need no
-    new exchange, and a lost executor re-reads files instead of recomputing.
+    summary and the rows themselves).  The files are compressed and read by
+    column, a lost executor's tasks reread them, and the optimizer sees their
+    true size, so joins with small ones are broadcast by bytes.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STAGED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Delete the staged tables, once no result that reads them is needed."""
+    context = spark.sparkContext
+    while _STAGED:
+        path = context._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -22,15 +22,24 @@ PATHS: dict[str, tuple[str, Any]] = {
     "adf_p": ("thresholds.adf_p", 0.10),
     "max_days": ("time_stop.max_days", 10),
     "min_abs_corr": ("regime.min_abs_corr", 0.15),
-    "vol_window": ("regime.vol_window", 20),
+    "vol_window": ("regime.volatility_window", 20),
     "high_vol": ("regime.high_vol_threshold", 0.03),
     "low_vol": ("regime.low_vol_threshold", 0.003),
     "trend_window": ("regime.trend_window", 20),
     "trend_threshold": ("regime.trend_threshold", 0.015),
-    "enable_hmm": ("regime.hmm.enabled", False),
+    "enable_hmm": ("regime.enable_hmm", False),
+    "hmm_states": ("regime.hmm.n_states", 3),
+    "hmm_window": ("regime.hmm.window", 126),
+    "hmm_df": ("regime.hmm.df", 3.0),
+    "hmm_tol": ("regime.hmm.tol", 1e-4),
+    "hmm_iter": ("regime.hmm.n_iter", 100),
+    "vix_thresh": ("regime.vix.thresh", 20.0),
+    "vix_boost": ("regime.vix.boost_factor", 0.2),
+    "vix_max_shift": ("regime.vix.max_shift", 1.0),
+    "min_trade_count": ("min_trade_count", 10),
     "atr_window": ("sizing.atr_window", 20),
     "target_vol_per_leg": ("sizing.target_vol_per_leg", 0.01),
-    "inverse_fx": ("sizing.inverse_fx_quote_ccy", True),
+    "inverse_fx": ("inverse_fx_for_quote_ccy_strength", True),
     "fx_bps": ("exec.costs.fx_bps", 1.0),
     "comd_bps": ("exec.costs.comd_bps", 2.0),
 }
@@ -73,7 +82,7 @@ def params_frame(spark: SparkSession, sections: dict[str, dict]) -> DataFrame:
             "pair": pair,
             "fx_symbol": lookup(s, "fx_symbol"),
             "comd_symbol": lookup(s, "comd_symbol"),
-            "windows": lookup(s, "regime_features.windows", {}),
+            "windows": {k: int(v) for k, v in (lookup(s, "rolling_metrics.windows", {}) or {}).items()},
             "model_weights": lookup(s, "model_diversification.model_weights", {}),
         }
         rows.append(tuple(row.get(f.name) for f in PARAMS.fields))
