@@ -66,20 +66,48 @@ def rolling_metrics(bt: DataFrame, windows: dict[str, int] | None = None, f: Fra
     return trim(df.withColumns(out).drop("_n"))
 
 
+#: Approximate quantiles that cut a series into buckets of about n / 256 values.
+CUTS = 256
+
+
+def quantiles(df: DataFrame, col: str, probs: dict[str, float], keys: tuple[str, ...] = ("pair",)) -> DataFrame:
+    """Exact interpolated quantiles per series, without all its values in one buffer or task.
+
+    Sketched quantiles (a bounded number) cut each series into buckets; bucket
+    counts place the wanted ranks, and only the buckets that hold one are
+    sorted.  Null and NaN values are left out.
+    """
+    x = F.col(col).cast("double")
+    values = df.select(*keys, x.alias("_x")).filter(x.isNotNull() & ~F.isnan(x))
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("_x", [i / CUTS for i in range(1, CUTS)], 10_000).alias("_cuts"))
+    placed = join_small(values, cuts, list(keys)).withColumn("_b", F.size(F.filter("_cuts", lambda q: q < F.col("_x")))).drop("_cuts")
+    w = Window.partitionBy(*keys).orderBy("_b")
+    counts = placed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumns({"_before": F.sum("_n").over(w) - F.col("_n"), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+    rank = lambda p: (F.col("_all") - 1) * F.lit(p)
+    inside = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
+    wanted = F.lit(False)
+    for p in probs.values():
+        wanted = wanted | inside(F.floor(rank(p))) | inside(F.ceil(rank(p)))
+    held = join_small(placed, counts.filter(wanted).select(*keys, "_b", "_before", "_all"), [*keys, "_b"])
+    held = held.withColumn("_k", F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_x")) - 1)
+    at = lambda k: F.max(F.when(F.col("_k") == k, F.col("_x")))
+    parts = {name: F.struct(at(F.floor(rank(p))).alias("lo"), at(F.ceil(rank(p))).alias("hi"), F.max(rank(p) - F.floor(rank(p))).alias("f")) for name, p in probs.items()}
+    found = held.groupBy(*keys).agg(*[part.alias(name) for name, part in parts.items()])
+    return found.select(*keys, *[(F.col(n)["lo"] + (F.col(n)["hi"] - F.col(n)["lo"]) * F.col(n)["f"]).alias(n) for n in probs])
+
+
 def distribution(df: DataFrame, ret: str, keys: tuple[str, ...] = ("pair",)) -> DataFrame:
     """Population skewness, excess kurtosis, value at risk and expected shortfall.
 
-    The percentile aggregate keeps a value-count map per group, so it works on
-    trade returns; the shortfall is a second pass joined on the small result.
+    The shortfall is a second pass joined on the one-row-per-series quantiles.
     """
     r = F.col(ret)
     q = df.groupBy(*keys).agg(
         F.count(r).alias("n"),
         F.when(F.count(r) >= 3, F.coalesce(R.clean(F.skewness(r)), F.lit(0.0))).otherwise(0.0).alias("skewness"),
         F.when(F.count(r) >= 4, F.coalesce(R.clean(F.kurtosis(r)), F.lit(0.0))).otherwise(0.0).alias("kurtosis"),
-        F.percentile(r, F.lit(0.05)).alias("var_95"),
-        F.percentile(r, F.lit(0.01)).alias("var_99"),
-    )
+    ).join(quantiles(df, ret, {"var_95": 0.05, "var_99": 0.01}, keys), list(keys), "left")
     tail = (
         join_small(df.select(*keys, r.alias("_r")), q.select(*keys, "var_95", "var_99"), list(keys))
         .filter("_r <= var_95")
@@ -144,19 +172,15 @@ def bucketed(bt: DataFrame, price: str = "fx_price", f: Frame = PAIR) -> DataFra
 
 def attribution(labelled: DataFrame) -> DataFrame:
     """Return, trades and days per pair and bucket, all three bucketings in one pass."""
-    labelled.createOrReplaceTempView("spreadlake_labelled_bars")
-    return labelled.sparkSession.sql(
-        """
-        SELECT pair,
-               CASE WHEN grouping(years) = 0 THEN 'years' WHEN grouping(trend) = 0 THEN 'trend' ELSE 'vol' END AS bucketing,
-               coalesce(years, trend, vol) AS bucket,
-               try_divide(max_by(equity, ts), min_by(equity, ts)) - 1 AS bucket_return,
-               count(DISTINCT CASE WHEN delayed_signal <> 0 THEN trade_id END) AS trades,
-               count(*) AS days
-        FROM spreadlake_labelled_bars
-        GROUP BY pair, years, trend, vol GROUPING SETS ((pair, years), (pair, trend), (pair, vol))
-        """
-    )
+    c = F.col
+    kind = F.when(F.grouping("years") == 0, "years").when(F.grouping("trend") == 0, "trend").otherwise("vol")
+    sets = [[c("pair"), c("years")], [c("pair"), c("trend")], [c("pair"), c("vol")]]
+    return labelled.groupingSets(sets, "pair", "years", "trend", "vol").agg(
+        kind.alias("bucketing"),
+        (F.try_divide(F.max_by("equity", "ts"), F.min_by("equity", "ts")) - 1).alias("bucket_return"),
+        F.count_distinct(F.when(c("delayed_signal") != 0, c("trade_id"))).alias("trades"),
+        F.count(F.lit(1)).alias("days"),
+    ).select("pair", "bucketing", F.coalesce("years", "trend", "vol").alias("bucket"), "bucket_return", "trades", "days")
 
 
 def across_pairs(attr: DataFrame) -> DataFrame:

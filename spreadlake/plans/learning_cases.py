@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spreadlake.functions import rolling as R
 from spreadlake.operators import backtest as B
 from spreadlake.operators import features as E
+from spreadlake.operators import metrics as M
 from spreadlake.operators import models as L
 from spreadlake.operators import multiframe as T
 from spreadlake.operators import quality as V
@@ -290,7 +291,8 @@ case(
 
 def data_params(s, d):
     """Parameter rows whose values come from the data: windows from bar counts, thresholds from quantiles."""
-    b = I.ticks(s, d).groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.percentile("price", F.lit(0.9)).alias("q"), F.percentile("price", F.lit(0.2)).alias("lo"))
+    t = I.ticks(s, d)
+    b = t.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).join(M.quantiles(t, "price", {"q": 0.9, "lo": 0.2}), "pair")
     return b.select(
         "pair", F.floor(F.col("n") / 20).cast("int").alias("beta_window"), F.floor(F.col("n") / 100).cast("int").alias("z_window"), F.lit(20).alias("corr_window"),
         (F.col("q") / 20).alias("entry_z"), (F.col("lo") / 10).alias("exit_z"), F.lit(3.5).alias("stop_z"), F.lit(0.15).alias("min_abs_corr"),
@@ -351,33 +353,31 @@ case(
 # --- streams --------------------------------------------------------------------------------------
 
 
-def run_stream(s: SparkSession, build, source: str, schema, per_trigger: int = 1) -> DataFrame:
-    """Drive a stream over the files of a folder to its end and read what it wrote."""
-    ensure_checkpoint_dir(s)
-    base = f"{s.sparkContext.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
-    src = s.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(source)
-    q = build(src).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.read.parquet(f"{base}/out")
+def run_stream(s: SparkSession, build, df: DataFrame, order: str, parts: int = 4) -> DataFrame:
+    """Drive a stream over ``df`` landed in time order, and read what it wrote.
 
-
-def files_of(s: SparkSession, df: DataFrame, order: str, parts: int = 4) -> str:
-    """Land a table as a few files in time order, as a feed does."""
+    Each slice of time is landed as its tasks write it and the stream is run to
+    the end of what is there, as a feed that is picked up from time to time; the
+    state goes on from one run to the next.
+    """
     ensure_checkpoint_dir(s)
-    path = f"{s.sparkContext.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
+    base = f"{s.sparkContext.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
     us = F.unix_micros(order)
+    df = stage(df)
     cuts = df.select(us.cast("double").alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.001)
     bounds = [None, *cuts, None]
-    for lo, hi in zip(bounds, bounds[1:]):  # one landing per slice, oldest first
+    for lo, hi in zip(bounds, bounds[1:]):  # oldest first
         part = df if lo is None else df.filter(us >= lo)
         part = part if hi is None else part.filter(us < hi)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+        part.write.mode("append").parquet(f"{base}/in")
+        out = build(s.readStream.schema(df.schema).parquet(f"{base}/in")).writeStream.format("parquet")
+        out = out.option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").outputMode("append")
+        out.trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{base}/out")
 
 
 def _live_bars(s, d):
-    ticks = I.tick_bars(s, d)
-    return run_stream(s, live.live_bars, files_of(s, ticks, "ts"), ticks.schema)
+    return run_stream(s, live.live_bars, I.tick_bars(s, d), "ts")
 
 
 LIVE = f"{HOURLY}, mx AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events)"
@@ -387,7 +387,7 @@ case(
 )
 case(
     "z2_streaming_sliding_stats",
-    lambda s, d: run_stream(s, live.live_stats, files_of(s, I.tick_bars(s, d), "ts"), I.tick_bars(s, d).schema).withColumn("mean", F.ln("mean")),
+    lambda s, d: run_stream(s, live.live_stats, I.tick_bars(s, d), "ts").withColumn("mean", F.ln("mean")),
     "WITH mx AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events), ends AS (SELECT event_type AS symbol, unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS ts, value FROM events)",
     "SELECT symbol, ts, count(*) AS n, ln(avg(value)) AS mean, stddev_samp(value) AS std FROM ends WHERE ts <= (SELECT wm FROM mx) GROUP BY 1, 2", strs=["symbol"], second="ts", ints=["n"], floats=["mean", "std"],
 )
@@ -396,7 +396,7 @@ case(
 def _live_tags(s, d):
     b = I.pair_bars(s, d)
     days = Cal.blackout_days(I.event_calendar(s, d))
-    return run_stream(s, lambda t: live.tag_live(t, days), files_of(s, b, "ts"), b.schema)
+    return run_stream(s, lambda t: live.tag_live(t, days), b, "ts")
 
 
 case(
@@ -417,7 +417,7 @@ def _with_state_store(s, run):
 
 def _live_signals(s, d):
     b = I.pair_bars(s, d)
-    return _with_state_store(s, lambda: run_stream(s, live.live_signals, files_of(s, b, "ts", 2), b.schema))
+    return _with_state_store(s, lambda: run_stream(s, live.live_signals, b, "ts", 2))
 
 
 FREE = f"WITH RECURSIVE {Q.SPREAD}, {Q.flags_sql('zs', '1.5', '0.5', '3.5', 'true')}, {fold_sql('coded')}"
@@ -426,7 +426,7 @@ case("z3_streaming_signals", _live_signals, FREE, "SELECT coded.*, pos AS signal
 
 def _live_risk(s, d):
     p = backtested(s, d).select("pair", "ts", "pnl")
-    return _with_state_store(s, lambda: run_stream(s, live.live_risk, files_of(s, p, "ts", 2), p.schema))
+    return _with_state_store(s, lambda: run_stream(s, live.live_risk, p, "ts", 2))
 
 
 case(

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadlake.functions import costs as Z
 from spreadlake.functions import rolling as R
 from spreadlake.operators import backtest as B
-from spreadlake.operators import features as E
 from spreadlake.operators import metrics as M
-from spreadlake.operators import models as L
-from spreadlake.operators import multiframe as T
-from spreadlake.operators import quality as V
 from spreadlake.operators import risk as K
 from spreadlake.operators import signals as S
 from spreadlake.operators import sweep as X
@@ -24,10 +18,7 @@ from spreadlake.plans.registry import CALENDAR, HOURLY, PAIRS, RETURNS, case, fo
 from spreadlake.plans.strategy_cases import DAY, H1, D1, METRIC_COLS, RULES, TRADE_COLS, bt, seg, zbars
 from spreadlake.series import PAIR, join_small, segment, trim
 from spreadlake.session import ensure_checkpoint_dir, stage
-from spreadlake.sources import calendar as Cal
-from spreadlake.sources import config as Cfg
 from spreadlake.sources import sinks
-from spreadlake.streaming import live
 
 
 def backtested(s: SparkSession, d: str) -> DataFrame:
@@ -412,7 +403,7 @@ def cost_sql(k: float) -> str:
 
 for _o, _k in (("limit", 0.5), ("market", 2.0)):
     case(f"k9_k12_execution_costs_{_o}", _costs(_o), cost_sql(_k), "SELECT * FROM cc", ints=["l_linenumber"], floats=["slip", "impact", "fill", "cost", "max_cost"], dec=5)
-SCEN = ", ".join(f"('{n}', {dm}::DOUBLE)" for n, _, dm, *_ in K.DEFAULT_SCENARIOS)
+SCEN = ", ".join(f"('{n}', {dm}::DOUBLE)" for n, dm, *_ in K.DEFAULT_SCENARIOS)
 SW = "OVER (PARTITION BY pair, name ORDER BY ts ROWS UNBOUNDED PRECEDING)"
 STRESS = f"""{Q.BACKTEST}, scen(name, mult) AS (VALUES {SCEN}), x0 AS (SELECT pair, name, ts, equity, first_value(equity) OVER (PARTITION BY pair ORDER BY ts) AS e0, coalesce(equity / lag(equity) OVER (PARTITION BY pair, name ORDER BY ts) - 1, 0) AS r, mult FROM bt, scen),
  x1 AS (SELECT *, e0 * product(1 + CASE WHEN r < 0 AND mult > 1 THEN r * mult ELSE r END) {SW} AS stressed FROM x0), x2 AS (SELECT *, max(stressed) {SW} AS pk FROM x1), x3 AS (SELECT *, (stressed - pk) / nullif(pk, 0) AS stressed_dd FROM x2),

@@ -15,7 +15,7 @@ from spreadlake.operators import structure as C
 from spreadlake.operators.asof import asof_join
 from spreadlake.plans import inputs as I
 from spreadlake.plans import strategy_sql as Q
-from spreadlake.plans.registry import HOURLY, PAIRS, RETURNS, VIX, case, fold_sql, full, spread_sql, w
+from spreadlake.plans.registry import HOURLY, PAIRS, RETURNS, TICKS, VIX, case, fold_sql, full, spread_sql, w
 from spreadlake.series import PAIR, Frame, forward_fill, segment, trim
 
 SYM = Frame(keys=("symbol", "seg"))
@@ -48,6 +48,25 @@ case(
     "h2_recursive_ls", lambda s, d: trim(H.rls(seg(s, d, H.rls_lookback(0.99)), F.ln("fx_price"), F.ln("comd_price"))),
     f"{WP}, {spread_sql(0.99, 1000.0)}", "SELECT pair, ts, la AS alpha, lb AS beta FROM hedge", **DAY, floats=["alpha", "beta"],
 )
+TICKF = Frame(order=("ts", "event_id"))
+
+
+def _tick_rls(s, d):
+    """Each tick on the one before it, with a short memory: as many bars as there are events."""
+    df = segment(I.ticks(s, d), H.rls_lookback(0.99) + 1, grain_days=1)
+    before = F.coalesce(F.lag("price").over(TICKF.ordered()), F.col("price"))
+    return trim(H.rls(df.withColumn("before", before), F.col("price"), F.col("before"), 0.99, 1000.0, TICKF))
+
+
+TO = "OVER (PARTITION BY pair ORDER BY ts, event_id)"
+case(
+    "h2_recursive_ls_ticks", _tick_rls,
+    f"WITH {TICKS}, tx AS (SELECT pair, event_id, ts, price AS fx, coalesce(lag(price) {TO}, price) AS comd FROM ticks), num AS (SELECT *, row_number() {TO} AS i FROM tx), "
+    f"sums AS (SELECT *, sum(pow(0.99, -i)) {TO} AS a0, sum(pow(0.99, -i) * comd) {TO} AS a1, sum(pow(0.99, -i) * comd * comd) {TO} AS a2, sum(pow(0.99, -i) * fx) {TO} AS b0, sum(pow(0.99, -i) * comd * fx) {TO} AS b1 FROM num), "
+    "mom AS (SELECT *, pow(0.99, i) * (a0 + 0.001) AS s0, pow(0.99, i) * a1 AS s1, pow(0.99, i) * (a2 + 0.001) AS s2, pow(0.99, i) * b0 AS r0, pow(0.99, i) * b1 AS r1 FROM sums)",
+    "SELECT pair, event_id, (r0 * s2 - s1 * r1) / (s0 * s2 - s1 * s1) AS alpha, (s0 * r1 - s1 * r0) / (s0 * s2 - s1 * s1) AS beta FROM mom",
+    strs=["pair"], ints=["event_id"], floats=["alpha", "beta"],
+)
 case("h3_spread", lambda s, d: trim(spreads(s, d)), WS, "SELECT * FROM sp", **DAY, floats=["alpha", "beta", "spread"])
 case(
     "h3_spread_ols", lambda s, d: trim(H.with_spread(seg(s, d, 62), 60, use_rls=False)),

@@ -17,7 +17,7 @@ EVENTS = _schema(
 )
 ENERGY = _schema(date=T.DateType(), price=_D, volume=_D, change_pct=_D, commodity_type=_S)
 SCENARIOS = _schema(
-    name=_S, description=_S, dd_mult=_D, vol_mult=_D, corr_stress=_D, duration=_I, frequency=_D
+    name=_S, dd_mult=_D, vol_mult=_D, corr_stress=_D, duration=_I, frequency=_D
 )
 PARAMS = _schema(
     pair=_S, fx_symbol=_S, comd_symbol=_S, inverse_fx=_B,

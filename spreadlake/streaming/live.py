@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from spreadlake.operators.hedge import ALPHA_FLOOR, BETA_LIMIT
+from spreadlake.operators.hedge import ALPHA_FLOOR, BETA_LIMIT, LOG_FLOOR
 
 
 def live_bars(ticks: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -69,14 +69,22 @@ class SpreadState(StatefulProcessor):
         out = []
         bars = pd.concat(list(rows)).sort_values("ts")
         for ts, fx, comd in zip(bars["ts"], bars["fx_price"], bars["comd_price"]):
-            y, x = np.log(fx), np.log(comd)
-            sums = [self.lam * s + d for s, d in zip(sums, (1.0, x, x * x, y, x * y))]
-            s0, s1, s2, r0, r1 = sums
-            det = s0 * s2 - s1 * s1
-            alpha = max(np.exp((r0 * s2 - s1 * r1) / det), ALPHA_FLOOR)
-            beta = min(max((s0 * r1 - s1 * r0) / det, -BETA_LIMIT), BETA_LIMIT)
-            spread = fx - alpha * comd**beta
-            recent = (recent + [float(spread)])[-self.window :]
+            good = all(p is not None and np.isfinite(p) and p > 0 for p in (fx, comd))
+            if good:
+                y, x = np.log(fx), np.log(comd)
+                x = x if abs(x) >= LOG_FLOOR else LOG_FLOOR
+                sums = [self.lam * s + d for s, d in zip(sums, (1.0, x, x * x, y, x * y))]
+                s0, s1, s2, r0, r1 = sums
+                det = s0 * s2 - s1 * s1
+                alpha = max(np.exp((r0 * s2 - s1 * r1) / det), ALPHA_FLOOR)
+                beta = min(max((s0 * r1 - s1 * r0) / det, -BETA_LIMIT), BETA_LIMIT)
+                spread = float(fx - alpha * comd**beta)
+            elif recent:
+                spread = recent[-1]  # as in the batch: a bar without two prices takes the previous spread
+            else:
+                out.append((key[0], ts, None, None, 0))
+                continue
+            recent = (recent + [spread])[-self.window :]
             z = None
             if len(recent) == self.window:
                 med = float(np.median(recent))
@@ -87,7 +95,7 @@ class SpreadState(StatefulProcessor):
                     pos = 1 if z <= -self.entry else (-1 if z >= self.entry else 0)
                 elif pos * z >= -self.exit or pos * z <= -self.stop:
                     pos = 0
-            out.append((key[0], ts, float(spread), z, pos))
+            out.append((key[0], ts, spread, z, pos))
         self._state.update((sums, recent, pos))
         yield pd.DataFrame(out, columns=["pair", "ts", "spread", "spread_z", "signal"])
 
