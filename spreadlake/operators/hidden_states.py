@@ -97,8 +97,8 @@ def hidden_regime(
     def state(values: pd.Series) -> pd.Series:
         res = pd.Series([None] * len(values), dtype="Int64")
         usable = [i for i, v in enumerate(values) if v is not None and len(v) == window and np.std(v) >= 1e-8]
-        for lo in range(0, len(usable), 512):
-            part = usable[lo : lo + 512]
+        for lo in range(0, len(usable), 2048):
+            part = usable[lo : lo + 2048]
             x = np.stack([np.asarray(values.iloc[i], dtype=float) for i in part])
             res.iloc[part] = _last_states(x, n_states, dof, iterations, tol)
         return res

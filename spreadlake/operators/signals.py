@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spreadlake.functions import rolling as R
-from spreadlake.operators import hedge, regime, structure
+from spreadlake.operators import hedge, hidden_states, regime, structure
 from spreadlake.operators.states import position_states
 from spreadlake.series import OWN, PAIR, Frame, segment, trim, with_series_stats
 from spreadlake.session import stage
@@ -33,13 +33,17 @@ class Rules:
     inverse_fx: bool = True
     vol: tuple[int, float, float] | None = None
     trend: tuple[int, float] | None = None
+    #: (window, degrees of freedom) of the hidden-state gate; (threshold, factor, largest shift) of its volatility-index shift.
+    hmm: tuple[int, float] | None = None
+    vix: tuple[float, float, int] | None = None
     tail: int = 8
 
     @property
     def lookback(self) -> int:
         """Bars before a segment that decide its own first bar."""
         estimate = hedge.rls_lookback(hedge.RLS_LAMBDA) if self.use_rls else self.beta_window
-        return estimate + self.z_window + 252 + 20 + self.corr_window + self.atr_window + self.tail + 4
+        states = self.hmm[0] + 1 if self.hmm else 0
+        return estimate + self.z_window + 252 + 20 + self.corr_window + self.atr_window + self.tail + states + 4
 
 
 def spread_and_z(df: DataFrame, rules: Rules, f: Frame = PAIR) -> DataFrame:
@@ -133,12 +137,22 @@ def time_stop(df: DataFrame, limit: Column, close_run: bool = False, f: Frame =
 
 
 def flagged_bars(bars: DataFrame, rules: Rules, f: Frame = PAIR) -> DataFrame:
-    """Segmented bars with spread, z-score, gates, thresholds and rule flags."""
+    """Segmented bars with spread, z-score and the combined gate.
+
+    With ``rules.hmm`` the gate also asks for hidden state 0, shifted by the
+    bars' ``vix`` column where ``rules.vix`` is set.
+    """
     df = spread_and_z(segment(bars, rules.lookback, reuse=True), rules, f)
-    df = regime.combined_gate(
-        df, f, rules.corr_window, rules.min_abs_corr, rules.vol, rules.trend, out="regime_ok"
+    state = None
+    if rules.hmm:
+        window, dof = rules.hmm
+        df = hidden_states.hidden_regime(regime.spread_return(df, f), "spread_ret", window=window, dof=dof, f=f)
+        state = F.col("hmm_state")
+        if rules.vix:
+            state = regime.vix_shift(state, F.col("vix"), *rules.vix)
+    return regime.combined_gate(
+        df, f, rules.corr_window, rules.min_abs_corr, rules.vol, rules.trend, state=state, out="regime_ok"
     )
-    return df
 
 
 def generate(bars: DataFrame, rules: Rules = Rules(), close_run: bool = False, f: Frame = PAIR) -> DataFrame:

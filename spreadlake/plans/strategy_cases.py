@@ -188,6 +188,25 @@ case(
 )
 
 
+def with_vix(s, d):
+    """Pair bars with the volatility index of their day."""
+    return I.pair_bars(s, d).join(I.daily_orders(s, d).drop("pair"), "ts", "left")
+
+
+def _state_gate(s, d):
+    bars = G.with_returns(segment(with_vix(s, d), 64, reuse=True), {"rf": FX}, first_zero=True)
+    state = G.vix_shift(G.volatility_regime(F.col("rf"), 20, 0.35, 0.25), F.col("vix"))
+    return trim(G.combined_gate(bars.withColumn("state", state), corr_window=20, vol=None, state=F.col("state")))
+
+
+case(
+    "r7_shifted_state_gate", _state_gate,
+    f"{WR}, {VIX}, st AS (SELECT *, CASE WHEN {VR} <= 0.25 THEN 0 WHEN {VR} >= 0.35 THEN 2 ELSE 1 END AS st0, coalesce(abs({full('corr(fx_price, comd_price)', FX, 20)}) >= 0.15, false) AS corr_ok FROM rets)",
+    "SELECT st.pair, st.ts, CASE WHEN coalesce(greatest(0, (vix - 20) / 10 * 0.2) > 0.3, false) THEN least(st0 + 1, 2) ELSE st0 END AS state, corr_ok AND st0 = 0 AND NOT coalesce(greatest(0, (vix - 20) / 10 * 0.2) > 0.3, false) AS regime_ok FROM st LEFT JOIN vix ON vix.ts = st.ts",
+    **DAY, ints=["state", "regime_ok"],
+)
+
+
 def _vixz(s, d):
     return trim(segment(I.daily_orders(s, d), 253).withColumn("vix_z", R.zscore(F.col("vix"), 252)))
 
@@ -312,6 +331,11 @@ HPAIRS = HOURLY + """, plist(pair, fx, comd) AS (VALUES ('click_view', 'click',
  pairs AS (SELECT p.pair, f.ts, f.close AS fx_price, c.close AS comd_price FROM plist p JOIN hourly f ON f.symbol = p.fx JOIN hourly c ON c.symbol = p.comd AND c.ts = f.ts)"""
 H1 = S.Rules(adf_p=0.15)
 D1 = S.Rules(adf_p=0.05)
+HIDDEN = S.Rules(hmm=(126, 3.0), vix=(20.0, 0.2, 1))
+case(
+    "g12_hidden_state_signals", lambda s, d: S.signals_table(with_vix(s, d), HIDDEN).groupBy("pair", "signal").agg(F.count(F.lit(1)).alias("n"), F.count_if("regime_ok").alias("open")),
+    strs=["pair"], ints=["signal", "n", "open"],
+)
 case(
     "g4_hourly_signals", lambda s, d: trim(S.bounded_hold_signals(I.hourly_pairs(s, d), H1, 24, any_gate=True)),
     _held("corr_ok OR coalesce(adf_p <= 0.15, false)", 24, pairs=HPAIRS), HELD_OUT, strs=["pair"], second="ts", ints=["signal", "good_regime"],
