@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -41,6 +43,35 @@ def two_factor_ols(df: DataFrame, label: str, a: str, b: str, keys: tuple[str, .
     )
 
 
+def last_window_ols(df: DataFrame, features: list[str], label: str, window: int, position: str, keys: tuple[str, ...] = ("pair",)) -> DataFrame:
+    """Intercept and slopes of each series' last ``window`` rows: ``coef``, intercept first.
+
+    The moments are one aggregate; only their small matrix, one row per series,
+    is solved in Python.  A singular matrix gives zeros.
+    """
+    names = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
+    sums = [F.sum(a * b) for i, a in enumerate(names) for b in names[i:]]
+    right = [F.sum(a * F.col(label)) for a in names]
+    rows = last_rows(df, position, window, keys).dropna(subset=[*features, label])
+    moments = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("_xx"), F.array(*right).alias("_xy"))
+    k = len(names)
+
+    @F.pandas_udf("array<double>")
+    def solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
+        out = []
+        for upper, y in zip(xx, xy):
+            m = np.zeros((k, k))
+            m[np.triu_indices(k)] = upper
+            m = m + np.triu(m, 1).T
+            try:
+                out.append(np.linalg.solve(m, np.asarray(y, float)))
+            except np.linalg.LinAlgError:
+                out.append(np.zeros(k))
+        return pd.Series(out)
+
+    return moments.select(*keys, "n", solve("_xx", "_xy").alias("coef"))
+
+
 def fit_boosted(df: DataFrame, features: list[str], label: str, trees: int = 100, depth: int = 3, rate: float = 0.1) -> PipelineModel:
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, seed=42, predictionCol="gbt_pred")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spreadlake.functions import rolling as R
 from spreadlake.operators import backtest as B
 from spreadlake.operators import features as E
+from spreadlake.operators import hedge as H
 from spreadlake.operators import metrics as M
 from spreadlake.operators import models as L
 from spreadlake.operators import multiframe as T
@@ -22,7 +23,7 @@ from spreadlake.plans import strategy_sql as Q
 from spreadlake.plans.registry import CALENDAR, HOURLY, PAIRS, RETURNS, case, fold_sql, full, shared, spread_sql, w
 from spreadlake.plans.research_cases import backtested
 from spreadlake.plans.strategy_cases import DAY, D1, H1, HPAIRS, RULES, seg, zbars
-from spreadlake.series import PAIR, position, segment, trim
+from spreadlake.series import PAIR, join_small, position, segment, trim
 from spreadlake.session import ensure_checkpoint_dir, stage
 from spreadlake.sources import calendar as Cal
 from spreadlake.sources import config as Cfg
@@ -196,11 +197,14 @@ case("m5_signal_filter", _filtered, strs=["pair"], ints=["filtered_signal", "n"]
 OLS_WINDOW = 90
 
 
+def placed(s, d, lookback: int = 1):
+    """Training rows in segments, with their place in the series."""
+    off, row = position()
+    return segment(training(s, d), lookback).withColumn("rn", off + row)
+
+
 def _ols_fit(s, d):
-    t = training(s, d)
-    # bars have one row per day and pair: the last rows by day are the last rows by place
-    place = F.row_number().over(Window.partitionBy("pair").orderBy(F.col("ts").desc()))
-    return L.two_factor_ols(t.withColumn("_k", place).filter(F.col("_k") <= OLS_WINDOW), "target", "z_lag_1", "spread_std_20")
+    return L.two_factor_ols(L.last_rows(trim(placed(s, d)), "rn", OLS_WINDOW), "target", "z_lag_1", "spread_std_20")
 
 
 MT = f"{FSQL}, {LSQL}, lc5 AS (SELECT pair, ts, lead(spread, 5) {Q.Q} - spread AS target FROM zs), tr AS (SELECT ft.*, target FROM ft JOIN lf USING (pair, ts) JOIN lc5 USING (pair, ts) WHERE fr IS NOT NULL)"
@@ -226,11 +230,30 @@ case(
 )
 
 
+#: Equal weights, as the reference configures them; the sequence model is not built.
+ENSEMBLE = {"ols_pred": 0.2, "kalman_pred": 0.2, "corr_pred": 0.2, "gbt_pred": 0.2}
+
+
+def simple_predictions(s, d):
+    """The three models with closed forms: last-window least squares, recursive estimate and last correlation on the first feature."""
+
+    def build(a, b):
+        df = placed(a, b, H.rls_lookback(0.995) + 20)
+        df = H.rls(df, F.col("target"), F.col(XS[0]), 0.995, 100.0, alpha="ka", beta="kb").withColumn("kc", R.corr(F.col(XS[0]), F.col("target"), 20))
+        t = trim(df)
+        state = t.groupBy("pair").agg(*[F.max_by(c, "ts").alias(f"last_{c}") for c in ("ka", "kb", "kc")])
+        coef = L.last_window_ols(t, XS, "target", OLS_WINDOW, "rn")
+        out = join_small(t.drop("ka", "kb", "kc", "rn"), state.join(coef.drop("n"), "pair"), ["pair"])
+        ols = sum((F.col("coef")[i + 1] * F.col(x) for i, x in enumerate(XS)), F.col("coef")[0])
+        return out.withColumns({"ols_pred": ols, "kalman_pred": F.col("last_ka") + F.col("last_kb") * F.col(XS[0]), "corr_pred": F.coalesce("last_kc", F.lit(0.0)) * F.col(XS[0])}).drop("coef", "last_ka", "last_kb", "last_kc")
+
+    return shared(s, d, "simple_predictions", build)
+
+
 def predictions(s, d):
     def build(a, b):
-        t = training(a, b)
-        out = L.fit_linear(t, XS, "target").transform(t).drop("features")
-        return L.fit_boosted(t, XS, "target").transform(out).drop("features").withColumn("ensemble_pred", L.weighted({"ols_pred": 0.4, "gbt_pred": 0.6}))
+        out = L.fit_boosted(training(a, b), XS, "target").transform(simple_predictions(a, b)).drop("features")
+        return out.withColumn("ensemble_pred", L.weighted(ENSEMBLE))
 
     return shared(s, d, "predictions", build)
 
@@ -243,6 +266,25 @@ case("m7b_boosted_trees", _scores("gbt_pred"), strs=["pair"], ints=["n"], floats
 case("m8_g13_ensemble", _scores("ensemble_pred"), strs=["pair"], ints=["n"], floats=["mse", "mae", "r2"], dec=4)
 
 
+def _signals_with_ensemble(s, d):
+    """Signals of the plan with the ensemble's prediction for their bar; bars without one count as zero."""
+    sig = S.signals_table(I.pair_bars(s, d), RULES)
+    both = sig.join(predictions(s, d).select("pair", "ts", "ensemble_pred"), ["pair", "ts"], "left").withColumn("ensemble_pred", F.coalesce("ensemble_pred", F.lit(0.0)))
+    return both.groupBy("pair", "signal").agg(F.count(F.lit(1)).alias("n"), F.avg("ensemble_pred").alias("mean_pred"), F.count_if(F.col("signal") * F.col("ensemble_pred") > 0).alias("agreeing"))
+
+
+case("g13_signals_with_ensemble", _signals_with_ensemble, strs=["pair"], ints=["signal", "n", "agreeing"], floats=["mean_pred"], dec=4)
+RUNQ = "OVER (PARTITION BY pair ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+case(
+    "m8_kalman_and_corr_on_features", lambda s, d: simple_predictions(s, d).groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.avg("kalman_pred").alias("kalman_pred"), F.avg("corr_pred").alias("corr_pred")),
+    f"""{MT}, kn AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY ts) AS i FROM tr), ks AS (SELECT *, sum(pow(0.995, -i)) {RUNQ} AS a0, sum(pow(0.995, -i) * z_lag_1) {RUNQ} AS a1, sum(pow(0.995, -i) * z_lag_1 * z_lag_1) {RUNQ} AS a2,
+  sum(pow(0.995, -i) * target) {RUNQ} AS b0, sum(pow(0.995, -i) * z_lag_1 * target) {RUNQ} AS b1, corr(z_lag_1, target) OVER (PARTITION BY pair ORDER BY ts ROWS 19 PRECEDING) AS c FROM kn),
+ km AS (SELECT *, pow(0.995, i) * (a0 + 0.01) AS s0, pow(0.995, i) * a1 AS s1, pow(0.995, i) * (a2 + 0.01) AS s2, pow(0.995, i) * b0 AS r0, pow(0.995, i) * b1 AS r1 FROM ks),
+ kl AS (SELECT pair, (r0 * s2 - s1 * r1) / (s0 * s2 - s1 * s1) AS ka, (s0 * r1 - s1 * r0) / (s0 * s2 - s1 * s1) AS kb, c FROM km QUALIFY row_number() OVER (PARTITION BY pair ORDER BY ts DESC) = 1)""",
+    "SELECT pair, count(*) AS n, avg(ka + kb * z_lag_1) AS kalman_pred, avg(c * z_lag_1) AS corr_pred FROM tr JOIN kl USING (pair) GROUP BY pair", strs=["pair"], ints=["n"], floats=["kalman_pred", "corr_pred"],
+)
+
+
 def _importance(s, d):
     t = training(s, d)
     lin, gbt = L.fit_linear(t, XS, "target"), L.fit_boosted(t, XS, "target")
@@ -268,7 +310,7 @@ case("m11_permutation_importance", _permuted, strs=["feature"], floats=["importa
 def _model_report(s, d):
     p = predictions(s, d)
     out = None
-    for m in ("ols_pred", "gbt_pred", "ensemble_pred"):
+    for m in (*ENSEMBLE, "ensemble_pred"):
         r = L.regression_scores(p, "target", m, ("pair",)).withColumn("model", F.lit(m))
         out = r if out is None else out.unionByName(r)
     return out
