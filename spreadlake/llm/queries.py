@@ -116,6 +116,37 @@ def op6_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+_UPPER, _LOWER = licenses.UPPER, licenses.LOWER
+_ALNUM = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), '" + _UPPER + "', '" + _LOWER + r"'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+_TEMPLATES = ", ".join(f"({i}, '{label}', string_split('{said}', ' '))" for i, (label, said) in enumerate(licenses.TEMPLATES))
+_PHRASES = ", ".join(f"('{label}', {len(said)}, '{' '.join(said)}')" for label, said in licenses.PHRASES.items())
+OP6_SQL = f"""WITH docs AS (SELECT doc_id, {_ALNUM} AS words FROM documents), phrases(label, n, said) AS (VALUES {_PHRASES}), templates(template, label, words) AS (VALUES {_TEMPLATES}),
+ word_at AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM docs),
+ places AS (SELECT doc_id, i - 1 AS place, label FROM word_at JOIN phrases ON array_to_string(words[i : i + n - 1], ' ') = said),
+ base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+ tg AS (SELECT template, label, len(words) AS size, i - 1 AS tpos, array_to_string(words[i : i + 2], ' ') AS gram FROM (SELECT *, unnest(range(1, len(words) - 1)) AS i FROM templates)),
+ hits AS (SELECT doc_id, template, label, size, i - 1 - tpos AS diagonal, i - 1 AS dpos, tpos FROM word_at JOIN tg ON i + 2 <= len(words) AND array_to_string(words[i : i + 2], ' ') = gram),
+ voted AS (SELECT doc_id, template, label, size, diagonal, list(DISTINCT tpos) AS placed FROM hits GROUP BY ALL),
+ opened AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {licenses.SLACK} THEN 0 ELSE 1 END AS opens FROM voted),
+ runs AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM opened),
+ covering AS (SELECT doc_id, template, label, size, run, unnest(range(t, t + 3)) AS word FROM (SELECT *, unnest(placed) AS t FROM runs)),
+ spans AS (SELECT doc_id, label, count(DISTINCT word) / size AS covered FROM covering GROUP BY doc_id, template, label, size, run HAVING count(DISTINCT word) / size >= {licenses.COVERED}),
+ extra AS (SELECT doc_id, list(DISTINCT label) AS labels, max(covered) AS best FROM spans GROUP BY doc_id)
+ SELECT d.doc_id, len(d.words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(b.labels, e.labels))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0) END AS score
+  FROM docs d LEFT JOIN base b USING (doc_id) LEFT JOIN extra e USING (doc_id)"""
+OP7_SQL = f"""WITH docs AS (SELECT doc_id, {_ALNUM} AS words FROM documents), items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS words FROM benchmark),
+ sized AS (SELECT item, words, least({decontaminate.SPAN}, len(words)) AS n FROM items WHERE len(words) > 0),
+ theirs AS (SELECT DISTINCT item, n, array_to_string(words[i : i + n - 1], ' ') AS said FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS i FROM sized)),
+ sizes AS (SELECT DISTINCT n FROM theirs),
+ ours AS (SELECT doc_id, i, n, array_to_string(words[i : i + n - 1], ' ') AS said FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM docs, sizes WHERE len(words) >= n)),
+ hits AS (SELECT doc_id, i, n, item FROM ours JOIN theirs USING (n, said)),
+ covered AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS word FROM hits) GROUP BY doc_id),
+ named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+ SELECT d.doc_id, len(d.words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(said, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.words) AS contaminated FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
 def op7_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside windows of benchmark items."""
     found = decontaminate.verdicts(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
@@ -169,4 +200,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_line_frequency_rules": OP3_SQL, "op8_site_line_frequency": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_line_frequency_rules": OP3_SQL, "op6_license_diagonals": OP6_SQL, "op7_winnowing_decontamination": OP7_SQL, "op8_site_line_frequency": OP8_SQL}

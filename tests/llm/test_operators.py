@@ -330,9 +330,11 @@ def copies():
     return rows
 
 
-@pytest.mark.parametrize("block", [ngram_join.BLOCK, 200])
-def test_ngram_join(spark, docs_of, block, monkeypatch):
+@pytest.mark.parametrize(("block", "many"), [(ngram_join.BLOCK, ngram_join.MANY), (200, 0)])
+def test_ngram_join(spark, docs_of, block, many, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "MANY", many)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 4 if many else 1)
     rows = ODD + copies()
     got = ngram_join.join(docs_of(rows, block != 200)).select("key", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == sorted(((k, *x) for (k, _), x in zip(rows, ref.near(rows))), key=str)
