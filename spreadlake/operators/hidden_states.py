@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadlake.functions import rolling as R
 from spreadlake.series import PAIR, Frame
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spreadlake.functions import rolling as R
 from spreadlake.schemas import SCENARIOS
-from spreadlake.series import OWN, PAIR, Frame, compound, segment, trim
+from spreadlake.series import OWN, Frame, compound, segment
 from spreadlake.session import stage
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spreadlake.functions.rolling import holds
-from spreadlake.series import OFF, OWN, SEG, Frame, PAIR, position
+from spreadlake.series import OWN, SEG, Frame, PAIR, position
 
 _NO_TS = np.iinfo(np.int64).min
 

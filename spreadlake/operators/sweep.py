@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spreadlake.functions import rolling as R
 from spreadlake.operators import signals as S
-from spreadlake.series import OWN, PAIR, Frame, compound, running_sum
+from spreadlake.series import OWN, Frame, compound, running_sum
 from spreadlake.session import stage
 
 # The optimizer's threshold grid and the parallel runner's grid.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadlake.functions import rolling as R
@@ -15,18 +15,15 @@ from spreadlake.operators import metrics as M
 from spreadlake.operators import models as L
 from spreadlake.operators import multiframe as T
 from spreadlake.operators import quality as V
-from spreadlake.operators import regime as G
 from spreadlake.operators import signals as S
-from spreadlake.operators.asof import asof_join
 from spreadlake.plans import inputs as I
 from spreadlake.plans import strategy_sql as Q
-from spreadlake.plans.registry import CALENDAR, HOURLY, PAIRS, RETURNS, case, fold_sql, full, shared, spread_sql, w
+from spreadlake.plans.registry import CALENDAR, HOURLY, PAIRS, case, fold_sql, full, shared, spread_sql, w
 from spreadlake.plans.research_cases import backtested
-from spreadlake.plans.strategy_cases import DAY, D1, H1, HPAIRS, RULES, seg, zbars
-from spreadlake.series import PAIR, join_small, position, segment, trim
+from spreadlake.plans.strategy_cases import DAY, H1, HPAIRS, RULES, seg, zbars
+from spreadlake.series import join_small, position, segment, trim
 from spreadlake.session import ensure_checkpoint_dir, stage
 from spreadlake.sources import calendar as Cal
-from spreadlake.sources import config as Cfg
 from spreadlake.streaming import live
 
 # --- multi-timeframe ------------------------------------------------------------------------------

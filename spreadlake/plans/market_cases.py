@@ -12,7 +12,7 @@ from spreadlake.operators import metrics as M
 from spreadlake.operators import regime as G
 from spreadlake.operators.asof import asof_join
 from spreadlake.plans import inputs as I
-from spreadlake.plans.registry import BARS, CALENDAR, HOURLY, PAIRS, RETURNS, TICKS, VIX, case, full, w
+from spreadlake.plans.registry import BARS, CALENDAR, HOURLY, PAIRS, RETURNS, TICKS, case, full, w
 from spreadlake.series import Frame, forward_fill, running_sum, segment, trim
 from spreadlake.session import ensure_checkpoint_dir
 from spreadlake.sources import bars as B

@@ -14,10 +14,10 @@ from spreadlake.operators import signals as S
 from spreadlake.operators import sweep as X
 from spreadlake.plans import inputs as I
 from spreadlake.plans import strategy_sql as Q
-from spreadlake.plans.registry import CALENDAR, HOURLY, PAIRS, RETURNS, case, fold_sql, full, shared, spread_sql, w
-from spreadlake.plans.strategy_cases import DAY, H1, D1, METRIC_COLS, RULES, TRADE_COLS, bt, seg, zbars
-from spreadlake.series import PAIR, join_small, segment, trim
-from spreadlake.session import ensure_checkpoint_dir, stage
+from spreadlake.plans.registry import HOURLY, PAIRS, RETURNS, case, fold_sql, full, shared, w
+from spreadlake.plans.strategy_cases import DAY, METRIC_COLS, bt, seg, zbars
+from spreadlake.series import join_small, trim
+from spreadlake.session import stage
 from spreadlake.sources import sinks
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spreadlake.functions import rolling as R
 from spreadlake.operators import backtest as B
 from spreadlake.operators import hedge as H
-from spreadlake.operators import hidden_states, multiframe
+from spreadlake.operators import hidden_states
 from spreadlake.operators import regime as G
 from spreadlake.operators import signals as S
 from spreadlake.operators import structure as C
@@ -16,7 +16,7 @@ from spreadlake.operators.asof import asof_join
 from spreadlake.plans import inputs as I
 from spreadlake.plans import strategy_sql as Q
 from spreadlake.plans.registry import HOURLY, PAIRS, RETURNS, TICKS, VIX, case, fold_sql, full, spread_sql, w
-from spreadlake.series import PAIR, Frame, forward_fill, segment, trim
+from spreadlake.series import PAIR, Frame, segment, trim
 
 SYM = Frame(keys=("symbol", "seg"))
 RULES = S.Rules()
