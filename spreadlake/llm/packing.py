@@ -14,6 +14,7 @@ document.  Reading a partition again gives the same pieces.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,9 @@ from spreadlake.llm.common import fresh, text_bytes
 CAPACITY = 2048
 #: Words whose ids a worker remembers (about 200 bytes each); beyond it the memory starts anew.
 REMEMBERED = 800_000
+#: Unknown words encoded in one call.
+BATCH = 2000
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 _TOKENIZERS: dict[str, "WordIds"] = {}
@@ -36,8 +40,10 @@ class WordIds:
     """Token ids of a text, by words: the tokenizer never joins what white space parts.
 
     Words are looked up as bytes and the unknown ones of a batch are encoded in
-    one call, parted by a special token, which also parts their ids.  A word
-    that holds a special token's text itself is encoded alone.
+    one call.  Words of Latin letters alone are parted by a space: each ends
+    with the only token of its own that ends a word.  Others are parted by a
+    special token, which also parts their ids, and a word that holds a special
+    token's text itself is encoded alone.
     """
 
     def __init__(self, path: str):
@@ -49,9 +55,18 @@ class WordIds:
         self.part_id, part = max(added.items())
         self.part = part.content
         self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _put(self, words: list[bytes], raw: bytes, starts: list[int], ends: list[int]) -> None:
+        self.known.update(zip(words, (raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)), strict=True))
 
     def _alone(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(word.decode()).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
@@ -69,12 +84,21 @@ class WordIds:
             if mark not in known:
                 known[mark] = self._alone(mark)
         stems = [w for w in dict.fromkeys(stems) if w not in known]
-        for at in range(0, len(stems), 2000):
-            some = stems[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(self.part.join(w.decode() for w in some), add_special_tokens=False).ids, "<u4")
+        plain = [w for w in stems if _LETTERS.fullmatch(w)]
+        other = [w for w in stems if not _LETTERS.fullmatch(w)]
+        for at in range(0, len(plain), BATCH):
+            some = plain[at : at + BATCH]
+            ids = self._ids(" ".join(w.decode() for w in some))
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(some):
+                self._put(some, ids.tobytes(), [0, *ends[:-1]], ends)
+            else:  # a tokenizer that parts letters
+                other += some
+        for at in range(0, len(other), BATCH):
+            some = other[at : at + BATCH]
+            ids = self._ids(self.part.join(w.decode() for w in some))
             cuts = np.flatnonzero(ids == self.part_id)
-            raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            known.update(zip(some, (raw[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], ends, strict=True)), strict=True))
+            self._put(some, ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
         for word in tails:
             known[word] = known[word[:-1]] + known[word[-1:]]
 
