@@ -18,10 +18,11 @@ shared shingles.  The join uses this twice.
 Groups of near copies are not expanded into pairs.  Each class is first verified
 against one pivot, the class of smallest hash among those of a shared prefix
 shingle, and links merge into components; that repeats while it pays.  What is
-left are pairs of *components* that share enough prefix shingles; every member
-of the smaller is verified against every member of the larger, in blocks of
-bounded size.  No link between different components is lost, and links inside
-one don't matter.  All counts are exact for all documents; no bucket is capped.
+left are buckets of a prefix shingle that hold several components.  Small ones
+list their pairs, and those that share enough prefix shingles are verified; large
+ones are compared as a whole, in blocks of bounded size.
+No link between different components is lost, and links inside one don't
+matter.  All counts are exact for all documents; no bucket is capped.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ PERCENT = 75
 LONGER = 0.1
 #: Postings a task gathers before it deals them out, and shingles in a block of the verification.
 GATHERED, BLOCK = 4_000_000, 200_000
+#: Pairs of classes up to which a bucket's are listed; larger buckets are compared in blocks.
+MANY = 1024
 #: Bits of the bitmap of texts that stay after step 1 (4 MB); more texts only make it less sharp.
 BITS = 25
 #: Further pivot rounds while one links at least this share of what it tried.
@@ -82,9 +85,9 @@ def first_prefix(n: int) -> int:
     return min(n, n - least_overlap(n) + max(1, int(np.ceil(LONGER * n))))
 
 
-def first_bar(n: Column) -> Column:
+def first_bar(n: np.ndarray) -> np.ndarray:
     """Shared shingles that a class needs in its first prefix: those its smallest possible partner's prefix demands."""
-    return F.greatest(F.lit(1), F.ceil(LONGER * F.ceil(n * PERCENT / 100)))
+    return np.maximum(1, np.ceil(LONGER * least_overlap(n)))
 
 
 # --- postings dealt by shingle ------------------------------------------------------------------
@@ -160,6 +163,35 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
 
 
+def owner_buckets(df: DataFrame) -> int:
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_owner(owners: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """(owner's bucket, owners, columns) as bytes, one row per bucket: a task's rows grow with the partitions only."""
+    bucket = owners % n
+    order = np.argsort(bucket, kind="stable")
+    bucket, owners, columns = bucket[order], owners[order], [c[order] for c in columns]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(owners)], strict=True):
+        if b > a:
+            yield int(bucket[a]), owners[a:b].tobytes(), *[c[a:b].tobytes() for c in columns]
+
+
+def joined_bytes(batches: list[pa.RecordBatch], name: str, dtype: str) -> np.ndarray:
+    parts = [np.frombuffer(x, dtype) for b in batches for x in b.column(name).to_pylist() if x is not None]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def plain_rows(batches: list[pa.RecordBatch], *names: str) -> list[np.ndarray]:
+    """Columns of the rows that are not packed (their first column is not null)."""
+    out = []
+    for name in names:
+        parts = [b.column(name).filter(b.column(names[0]).is_valid()).to_numpy(zero_copy_only=False) for b in batches]
+        out.append(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+    return out
+
+
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A batch of the given columns; the others are null."""
     n = len(next(iter(columns.values())))
@@ -174,7 +206,7 @@ SEVERAL = 0
 
 
 def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Staged: rows (key, mark, n, owner) of all documents, and rows (owner, shared) of parts of the count of shared shingles.
+    """Staged: rows (key, mark, n, owner) of all documents, and packed rows (home, owners, times) of counts of shared shingles.
 
     ``owner`` is the hash of the set, ``mark`` that of the text.  A shingle that
     several classes of one task hold is counted there and posted once, so a
@@ -182,17 +214,22 @@ def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     posted once per task however many copies it has.
     """
     kind = docs.schema[id_col].dataType
-    schema = pa.schema([("key", to_arrow_type(kind)), ("mark", pa.int64()), ("n", pa.int64()), ("owner", pa.int64()), ("shared", pa.int64()), *_DEALT])
-    ddl = f"key {kind.simpleString()}, mark bigint, n bigint, owner bigint, shared bigint, {DEALT}"
+    schema = pa.schema([("key", to_arrow_type(kind)), ("mark", pa.int64()), ("n", pa.int64()), ("owner", pa.int64()), ("home", pa.int64()), ("times", pa.binary()), *_DEALT])
+    ddl = f"key {kind.simpleString()}, mark bigint, n bigint, owner bigint, home bigint, times binary, {DEALT}"
+    homes = owner_buckets(docs)
     raw = docs.select(F.col(f"`{id_col}`").alias("key"), text_bytes(f"`{text_col}`").alias("raw")).withColumn("mark", F.xxhash64("raw"))
     bits = bucket_bits(docs)
 
+    def counted(out: pa.Schema, own: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        home, owners, times = zip(*by_owner(own, homes, times.astype(np.int64)), strict=True)
+        return batch_of(out, home=home, owners=owners, times=times, **({"bucket": np.array(home, np.int32)} if "bucket" in out.names else {}))
+
     def post(dealer: Dealer) -> Iterator[pa.RecordBatch]:
         tokens, owners, size = groups(*dealer.take())
         alone = size == 1
         own, count = np.unique(owners[~alone], return_counts=True)
         if len(own):
-            yield batch_of(schema, owner=own, shared=count, bucket=(own & 0x3FFFFFFF).astype(np.int32))
+            yield counted(schema, own, count)
         several = np.unique(tokens[~alone])
         packed = list(dealer.packed(np.concatenate([tokens[alone], several]), np.concatenate([owners[alone], np.full(len(several), SEVERAL, np.int64)])))
         if packed:
@@ -219,7 +256,7 @@ def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             posted = batch.column("low").is_valid().to_numpy(zero_copy_only=False)
             if not posted.all():
-                yield batch.filter(pa.array(~posted)).select(["key", "mark", "n", "owner", "shared"])
+                yield batch.filter(pa.array(~posted)).select(out.names)
             if posted.any():
                 t, o = unpacked(batch, np.flatnonzero(posted), bits)
                 tokens.append(t)
@@ -228,19 +265,32 @@ def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             _, own, size = groups(np.concatenate(tokens), np.concatenate(owners))
             # several owners, or one besides those counted elsewhere
             own, times = np.unique(own[(size > 1) & (own != SEVERAL)], return_counts=True)
-            out = pa.schema([schema.field(i) for i in range(5)])
-            yield batch_of(out, owner=own, shared=times)
+            if len(own):
+                yield counted(out, own, times)
 
-    return staged(dealt(raw.mapInArrow(look, ddl)).mapInArrow(count, f"key {kind.simpleString()}, mark bigint, n bigint, owner bigint, shared bigint"))
+    out = pa.schema([schema.field(name) for name in ("key", "mark", "n", "owner", "home", "owners", "times")])
+    return staged(dealt(raw.mapInArrow(look, ddl)).mapInArrow(count, f"key {kind.simpleString()}, mark bigint, n bigint, owner bigint, home bigint, owners binary, times binary"))
 
 
 def surviving(docs: DataFrame, seen: DataFrame, text_col: str) -> DataFrame:
     """Staged: ``owner, n, tokens`` of the classes that pass the first bar, each once."""
-    marks = (
-        seen.groupBy("owner")
-        .agg(F.max("n").alias("n"), F.min("mark").alias("mark"), F.sum("shared").alias("shared"))
-        .filter((F.col("n") > 0) & (F.col("shared") >= first_bar(F.col("n"))))
-    )
+    homes = owner_buckets(docs)
+    class_rows = seen.filter("n > 0").groupBy("owner").agg(F.max("n").alias("n"), F.min("mark").alias("mark")).select(F.pmod("owner", F.lit(homes)).alias("home"), "owner", "n", "mark")
+    both = class_rows.unionByName(seen.filter(F.col("home").isNotNull()).select("home", "owners", "times"), allowMissingColumns=True)
+    picked = pa.schema([("n", pa.int64()), ("mark", pa.int64())])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        owner, n, mark = plain_rows(held, "owner", "n", "mark")
+        names, at = np.unique(joined_bytes(held, "owners", "<i8"), return_inverse=True)
+        if not len(owner) or not len(names):
+            return
+        total = np.bincount(at, weights=joined_bytes(held, "times", "<i8"))
+        place = np.minimum(np.searchsorted(names, owner), len(names) - 1)
+        stays = (names[place] == owner) & (total[place] >= first_bar(n))
+        yield batch_of(picked, n=n[stays], mark=mark[stays])
+
+    marks = staged(both.repartition(homes // 4, "home").mapInArrow(pick, "n bigint, mark bigint"))
     bits = marks.select(F.pmod("mark", F.lit(1 << BITS)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")).toPandas()
     table = np.zeros(1 << (BITS - 6), np.int64)
     table[bits["at"].to_numpy(np.int64)] = bits["set"].to_numpy(np.int64)
@@ -281,7 +331,8 @@ def prefixes(sets: DataFrame) -> DataFrame:
     """
     bits = bucket_bits(sets)
     packed_schema = pa.schema(_DEALT)
-    part_schema = pa.schema([("owner", pa.int64()), ("part", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+    part_schema = pa.schema([("home", pa.int64()), ("owners", pa.binary()), ("part", pa.binary()), ("times", pa.binary())])
+    homes = owner_buckets(sets)
     out_schema = pa.schema([("owner", pa.int64()), ("n", pa.int64()), ("need", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,34 +358,32 @@ def prefixes(sets: DataFrame) -> DataFrame:
         tokens, owners, size = groups(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         shared = size > 1
         tokens, owners, size = tokens[shared], owners[shared], size[shared]
-        order = np.argsort(owners, kind="stable")
-        tokens, owners, size = tokens[order], owners[order], size[order]
-        cuts = np.flatnonzero(np.diff(owners)) + 1
-        if len(owners):
-            starts = np.concatenate([[0], cuts])
-            offsets = pa.array(np.append(starts, len(owners)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (tokens.view(np.int64), np.minimum(size, 2**31 - 1).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(owners[starts]), *lists], schema=part_schema)
+        rows = list(by_owner(owners, homes, tokens.view(np.int64), np.minimum(size, 2**31 - 1).astype(np.int32)))
+        if rows:
+            yield batch_of(part_schema, **dict(zip(part_schema.names, zip(*rows, strict=True), strict=True)))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for owner, n, part, times in zip(*(batch.column(c) for c in ("owner", "n", "part", "times")), strict=True):
-                n, token, size = n.as_py(), part.values.to_numpy(), times.values.to_numpy()
-                alone, most = n - len(token), n - least_overlap(n)
-                if alone > most:
-                    continue
-                by = np.lexsort((token, size))
-                shortest = most + 1 - alone
-                cost = int((size[by[:shortest]] - 1).sum())
-                need = min(1 + (cost // 8).bit_length(), len(token) - shortest + 1)
-                rows.append((owner.as_py(), n, need, token[by[: shortest + need - 1]]))
-            if rows:
-                yield batch_of(out_schema, **dict(zip(out_schema.names, zip(*rows, strict=True), strict=True)))
-
-    counted = dealt(sets.select("owner", "n", "tokens").mapInArrow(deal, DEALT)).mapInArrow(count, "owner bigint, part array<bigint>, times array<int>")
-    lists = counted.groupBy("owner").agg(F.flatten(F.collect_list(F.struct("part", "times"))["part"]).alias("part"), F.flatten(F.collect_list(F.struct("part", "times"))["times"]).alias("times"))
-    return staged(lists.join(sets.select("owner", "n"), "owner").select("owner", "n", "part", "times").mapInArrow(order, "owner bigint, n bigint, need int, prefix array<bigint>"))
+        held = list(batches)
+        names, sizes = plain_rows(held, "owner", "n")
+        owners, tokens, times = joined_bytes(held, "owners", "<i8"), joined_bytes(held, "part", "<i8"), joined_bytes(held, "times", "<i4")
+        by = np.lexsort((tokens, times, owners))  # of each owner, rare shingles first
+        owners, tokens, times = owners[by], tokens[by], times[by]
+        first, last = np.searchsorted(owners, names, "left"), np.searchsorted(owners, names, "right")
+        rows = []
+        for owner, n, a, b in zip(names.tolist(), sizes.tolist(), first.tolist(), last.tolist(), strict=True):
+            alone, most = n - (b - a), n - least_overlap(n)
+            if alone > most:
+                continue
+            shortest = most + 1 - alone
+            cost = int((times[a : a + shortest] - 1).sum())
+            need = min(1 + (cost // 8).bit_length(), b - a - shortest + 1)
+            rows.append((owner, n, need, tokens[a : a + shortest + need - 1]))
+        if rows:
+            yield batch_of(out_schema, **dict(zip(out_schema.names, zip(*rows, strict=True), strict=True)))
+
+    counted = dealt(sets.select("owner", "n", "tokens").mapInArrow(deal, DEALT)).mapInArrow(count, "home bigint, owners binary, part binary, times binary")
+    both = sets.select(F.pmod("owner", F.lit(homes)).alias("home"), "owner", "n").unionByName(counted, allowMissingColumns=True)
+    return staged(both.repartition(homes // 4, "home").mapInArrow(order, "owner bigint, n bigint, need int, prefix array<bigint>"))
 
 
 # --- links and components -----------------------------------------------------------------------
@@ -383,82 +432,123 @@ def pivots(posted: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return met.groupBy("owner").agg(F.max(F.struct("times", "pivot")).alias("best")).select(F.col("owner").alias("a"), F.col("best.pivot").alias("b"))
 
 
-def block_links(posted: DataFrame, labels: DataFrame, core: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components that share enough prefix shingles, at least one per pair that has any.
+def rest_links(posted: DataFrame, labels: DataFrame, core: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components, enough to join all that any link joins.
 
-    The smaller component's members meet the larger's in blocks of about
-    ``BLOCK`` shingles each; a block's task holds two of them.
+    Linked classes share a shingle of their shortest prefixes.  Where the bucket
+    of a shingle holds at most ``MANY`` pairs of classes of different components,
+    the pairs are listed, each once, and those that share enough prefix shingles
+    (those in larger buckets count as shared) are verified.  Larger buckets are
+    compared as they are, not as pairs.
+    """
+    held = posted.join(labels, "owner")
+    each = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    pairs_in = each.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("pairs > 0")
+    kinds = staged(pairs_in.select("token", (F.col("pairs") > MANY).alias("large")))
+    listed = held.join(kinds.filter("NOT large").select("token"), "token").select("token", "owner", "comp")
+    met = listed.alias("x").join(listed.alias("y"), "token").filter("x.owner < y.owner AND x.comp <> y.comp")
+    met = met.groupBy(F.col("x.owner").alias("a"), F.col("y.owner").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    in_large = held.join(kinds.filter("large").select("token"), "token").groupBy("owner").agg(F.count(F.lit(1)).alias("more"))
+    bar = core.select("owner", "need").join(in_large, "owner", "left").select("owner", "need", F.coalesce("more", F.lit(0)).alias("more"))
+    of = lambda name: bar.select(F.col("owner").alias(name), F.col("need").alias(f"need_{name}"), F.col("more").alias(f"more_{name}"))
+    enough = met.join(of("a"), "a").join(of("b"), "b").filter(F.col("times") + F.least("more_a", "more_b") >= F.least("need_a", "need_b")).select("a", "b")
+    large = held.filter("shortest").join(kinds.filter("large").select("token"), "token").select("token", "owner")
+    return verified(enough, sets).union(block_links(large, labels, core, sets))
+
+
+def block_links(held: DataFrame, labels: DataFrame, core: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links inside large buckets (token, owner), enough to join the components that any of them joins.
+
+    Of buckets with the same classes one is taken.  A bucket is cut into parts
+    of about ``BLOCK`` shingles, and each pair of parts is a block that one task
+    holds.
     """
-    member = labels.join(core.select("owner", "n", "need"), "owner")
-    size = member.groupBy("comp").agg(F.sum("n").alias("size"), F.min("need").alias("least"))
-    held = posted.join(labels, "owner").select("token", "comp").distinct()
-    pairs = held.alias("x").join(held.alias("y"), "token").filter("x.comp < y.comp").groupBy(F.col("x.comp").alias("x"), F.col("y.comp").alias("y")).agg(F.count(F.lit(1)).alias("times"))
-    of = lambda name: size.select(F.col("comp").alias(name), F.col("size").alias(f"size_{name}"), F.col("least").alias(f"least_{name}"))
-    enough = pairs.join(of("x"), "x").join(of("y"), "y").filter(F.col("times") >= F.least("least_x", "least_y"))
-    x_larger = F.col("size_x") >= F.col("size_y")
-    meets = staged(enough.select(
-        F.when(x_larger, F.col("x")).otherwise(F.col("y")).alias("large"), F.when(x_larger, F.col("y")).otherwise(F.col("x")).alias("small"),
-        F.greatest("size_x", "size_y").alias("large_size"), F.least("size_x", "size_y").alias("small_size"),
-    ))
-    plan = meets.groupBy("large").agg(F.ceil(F.max("large_size") / BLOCK).alias("rows"), F.ceil(F.sum("small_size") / BLOCK).alias("cols"))
-    whole = labels.join(sets, "owner")
-    place = lambda n: F.pmod(F.xxhash64("owner"), F.col(n))
-    left = whole.join(plan.withColumnRenamed("large", "comp"), "comp").select(F.col("comp").alias("large"), place("rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(0).alias("side"), "comp", "owner", "tokens")
-    right = (
-        whole.join(meets.select(F.col("small").alias("comp"), "large"), "comp").join(plan, "large")
-        .select("large", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), place("cols").alias("col"), F.lit(1).alias("side"), "comp", "owner", "tokens")
-    )
+    sized = held.join(core.select("owner", "n"), "owner")
+    hashed = lambda salt: F.sum(F.shiftright(F.xxhash64("owner", F.lit(salt)), 24))
+    buckets = sized.groupBy("token").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("rows"), hashed(1).alias("h1"), hashed(2).alias("h2"))
+    distinct = buckets.groupBy("rows", "size", "h1", "h2").agg(F.min("token").alias("token"))
+    plan = staged(distinct.select("token", F.ceil(F.col("size") / BLOCK).alias("parts")))
+    members = held.join(plan, "token").select("token", "owner", F.pmod(F.xxhash64("owner"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    placed = members.select("token", "owner", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"), "part")
+    whole = labels.join(core.select("owner", "need", "prefix"), "owner").join(sets.select("owner", "tokens"), "owner")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(batches):
-            found = block_pairs([r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1])
+            found = block_pairs(rows)
             if found:
                 yield batch_of(out, a=[f[0] for f in found], b=[f[1] for f in found])
 
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = left.union(right).repartition(n, "large", "row", "col").sortWithinPartitions("large", "row", "col", "side")
-    return placed.mapInArrow(compare, "a bigint, b bigint")
+    dealt_out = placed.join(whole, "owner").select("token", "row", "col", "part", "comp", "owner", "need", "prefix", "tokens")
+    return dealt_out.repartition(n, "token", "row", "col").sortWithinPartitions("token", "row", "col").mapInArrow(compare, "a bigint, b bigint")
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, int, np.ndarray]]]:
-    """Rows (side, comp, owner, tokens) of each block of a sorted partition."""
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (part, component, owner, need, prefix, tokens) of each block of a sorted partition."""
     at, rows = None, []
     for batch in batches:
-        names = zip(*(batch.column(c).to_pylist() for c in ("large", "row", "col", "side", "comp", "owner")), strict=True)
-        for (large, row, col, *rest), tokens in zip(names, batch.column("tokens"), strict=True):
-            if (large, row, col) != at:
+        names = zip(*(batch.column(c).to_pylist() for c in ("token", "row", "col", "part", "comp", "owner", "need")), strict=True)
+        for (*block, part, comp, owner, need), prefix, tokens in zip(names, batch.column("prefix"), batch.column("tokens"), strict=True):
+            if block != at:
                 if rows:
                     yield rows
-                at, rows = (large, row, col), []
-            rows.append((*rest, tokens.values.to_numpy()))
+                at, rows = block, []
+            rows.append((part, comp, owner, need, prefix.values.to_numpy(), tokens.values.to_numpy()))
     if rows:
         yield rows
 
 
-def block_pairs(large: list[tuple], small: list[tuple]) -> list[tuple[int, int]]:
-    """One link for each component on the small side that has any into the large side."""
-    if not large or not small:
+class Inverted:
+    """Shingles of several sets in order, to count what a set shares with each of them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        tokens, whose = np.concatenate(sets), np.repeat(np.arange(self.n), [len(s) for s in sets])
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.whose = tokens[order], whose[order]
+
+    def shared(self, mine: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.tokens, mine, "left"), np.searchsorted(self.tokens, mine, "right")
+        count = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
+        return np.bincount(self.whose[at], minlength=self.n)
+
+
+def block_pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Links that join the components of a block wherever any link does.
+
+    Within one part all classes meet, between two parts those of different
+    parts.  The most frequent component's classes are only met by the others.
+    Pairs must share as many prefix shingles as they demand before their sets
+    are counted.
+    """
+    comps = np.array([r[1] for r in rows])
+    names, local, times = np.unique(comps, return_inverse=True, return_counts=True)
+    if len(names) < 2:
         return []
-    sizes = np.array([len(r[3]) for r in large])
-    tokens, whose = np.concatenate([r[3] for r in large]), np.repeat(np.arange(len(large)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, whose = tokens[order], whose[order]
-    linked, out = set(), []
-    for _, comp, owner, mine in small:
-        if comp in linked:
+    part, need, size = (np.array(x) for x in ([r[0] for r in rows], [r[3] for r in rows], [len(r[5]) for r in rows]))
+    two_parts = part.min() != part.max()
+    prefixes_, whole = Inverted([r[4] for r in rows]), Inverted([r[5] for r in rows])
+    joined = np.arange(len(names))  # the components as they merge
+    out, largest = [], int(times.argmax())
+    for i, row in enumerate(rows):
+        if local[i] == largest:
             continue
-        low, high = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
-        count = high - low
-        total = int(count.sum())
-        if not total:
+        apart = joined[local] != joined[local[i]]
+        if two_parts:
+            apart &= part != part[i]
+        if not apart.any():
+            continue
+        able = apart & (prefixes_.shared(row[4]) >= np.minimum(need, need[i]))
+        if not able.any():
             continue
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total)
-        shared = np.bincount(whose[at], minlength=len(large))
-        hit = np.flatnonzero(100 * shared >= PERCENT * (sizes + len(mine) - shared))
-        if len(hit):
-            linked.add(comp)
-            out.append((owner, large[int(hit[0])][2]))
+        shared = whole.shared(row[5])
+        for j in np.flatnonzero(able & (100 * shared >= PERCENT * (size + size[i] - shared))):
+            mine, other = joined[local[i]], joined[local[j]]
+            if other != mine:
+                joined[joined == other] = mine
+                out.append((row[2], rows[int(j)][2]))
     return out
 
 
@@ -475,7 +565,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     seen = survey(docs, id_col, text_col)
     sets = surviving(docs, seen, text_col)
     core = prefixes(sets)
-    posted = staged(core.select("owner", F.explode("prefix").alias("token")))
+    at = core.select("owner", F.posexplode("prefix").alias("at", "token"), (F.size("prefix") - F.col("need")).alias("last"))
+    posted = staged(at.select("owner", "token", (F.col("at") <= F.col("last")).alias("shortest")))
     labels = staged(core.select("owner", F.col("owner").alias("comp")))
     for turn in range(ROUNDS):
         tried = staged(pivots(posted, labels, turn))
@@ -485,7 +576,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             labels = merged(labels, links)
         if n_links <= PAYS * n_tried:
             break
-    links = staged(block_links(posted, labels, core, sets))
+    links = staged(rest_links(posted, labels, core, sets))
     if not links.isEmpty():
         labels = merged(labels, links)
     every = seen.filter(F.col("n").isNotNull()).select("key", "mark", "n", "owner")
