@@ -16,6 +16,10 @@ BARS_PER_YEAR = 252
 
 def check_inputs(df: DataFrame, entry_z: float, exit_z: float, stop_z: float) -> None:
     require(df, *SIGNAL_INPUT)
+    check_thresholds(entry_z, exit_z, stop_z)
+
+
+def check_thresholds(entry_z: float, exit_z: float, stop_z: float) -> None:
     if not stop_z > entry_z:
         raise ValueError("stop_z must be above entry_z")
     if not entry_z > exit_z:

@@ -48,15 +48,16 @@ def vix_shift(state: Column, vix: Column, threshold: float = 20.0, factor: float
 def combined_gate(
     df: DataFrame, f: Frame = PAIR, corr_window: int = 20, min_abs_corr: float = 0.15,
     vol: tuple[int, float, float] | None = (20, 0.03, 0.003), trend: tuple[int, float] | None = None,
-    strict_trend: bool = False, state: Column | None = None, out: str = "regime_ok",
+    strict_trend: bool = False, state: Column | None = None, out: str = "regime_ok", corr: bool = True,
 ) -> DataFrame:
     """Conjunction of the configured gates.
 
     The trend gate accepts every state unless ``strict_trend`` asks for the
-    ranging state; a hidden-state column, when given, must be 0.
+    ranging state; a hidden-state column, when given, must be 0.  Without
+    ``corr`` the correlation gate is open.
     """
     df = with_returns(df, {"_rf": "fx_price", "_rc": "comd_price"}, f, first_zero=True)
-    ok = correlation_gate(F.col("fx_price"), F.col("comd_price"), corr_window, min_abs_corr, f)
+    ok = correlation_gate(F.col("fx_price"), F.col("comd_price"), corr_window, min_abs_corr, f) if corr else F.lit(True)
     if vol is not None:
         for leg in ("_rf", "_rc"):
             ok = ok & (volatility_regime(F.col(leg), *vol, f=f) != 2)

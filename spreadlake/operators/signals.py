@@ -37,6 +37,11 @@ class Rules:
     hmm: tuple[int, float] | None = None
     vix: tuple[float, float, int] | None = None
     tail: int = 8
+    #: Parts that an ablation switches off: scales of the thresholds, correlation gate, robust z-score.
+    structural_scale: bool = True
+    vol_scale: bool = True
+    corr_gate: bool = True
+    robust_z: bool = True
 
     @property
     def lookback(self) -> int:
@@ -48,15 +53,19 @@ class Rules:
 
 def spread_and_z(df: DataFrame, rules: Rules, f: Frame = PAIR) -> DataFrame:
     df = hedge.with_spread(df, rules.beta_window, rules.use_rls, f)
+    if not rules.robust_z:
+        return df.withColumn("spread_z", R.zscore(F.col("spread"), rules.z_window, f))
     return R.with_robust_z(df, "spread", rules.z_window, "spread_z", f)
 
 
-def dynamic_thresholds(df: DataFrame, entry_z, exit_z, coint_ok: Column, f: Frame = PAIR) -> DataFrame:
-    """Thresholds scaled by recent spread volatility and by the structural flag."""
+def dynamic_thresholds(
+    df: DataFrame, entry_z, exit_z, coint_ok: Column, f: Frame = PAIR, structural_scale: bool = True, vol_scale: bool = True
+) -> DataFrame:
+    """Thresholds scaled by recent spread volatility and by the structural flag; a scale switched off is 1."""
     df = df.withColumn("_v", R.std(F.col("spread"), 20, f))
     df = df.withColumn("_m", R.median(F.col("_v"), 252, f, least=20))
-    scale = F.coalesce(R.clip(F.try_divide(F.col("_v"), F.nullif(F.col("_m"), F.lit(0.0))), 0.7, 1.5), F.lit(1.0))
-    structural = F.when(coint_ok, 0.9).otherwise(1.1)
+    scale = F.coalesce(R.clip(F.try_divide(F.col("_v"), F.nullif(F.col("_m"), F.lit(0.0))), 0.7, 1.5), F.lit(1.0)) if vol_scale else F.lit(1.0)
+    structural = F.when(coint_ok, 0.9).otherwise(1.1) if structural_scale else F.lit(1.0)
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     return df.withColumns(
         {
@@ -140,37 +149,40 @@ def flagged_bars(bars: DataFrame, rules: Rules, f: Frame = PAIR) -> DataFrame:
     """Segmented bars with spread, z-score and the combined gate.
 
     With ``rules.hmm`` the gate also asks for hidden state 0, shifted by the
-    bars' ``vix`` column where ``rules.vix`` is set.
+    bars' ``vix`` column where ``rules.vix`` is set; bars that come with a
+    column ``hmm_state`` are not fitted again.
     """
-    df = spread_and_z(segment(bars, rules.lookback, reuse=True), rules, f)
+    df = spread_and_z(segment(bars, rules.lookback, f.series_keys, reuse=True), rules, f)
     state = None
     if rules.hmm:
         window, dof = rules.hmm
-        df = hidden_states.hidden_regime(regime.spread_return(df, f), "spread_ret", window=window, dof=dof, f=f)
+        if "hmm_state" not in bars.columns:
+            df = hidden_states.hidden_regime(regime.spread_return(df, f), "spread_ret", window=window, dof=dof, f=f)
         state = F.col("hmm_state")
         if rules.vix:
             state = regime.vix_shift(state, F.col("vix"), *rules.vix)
     return regime.combined_gate(
-        df, f, rules.corr_window, rules.min_abs_corr, rules.vol, rules.trend, state=state, out="regime_ok"
+        df, f, rules.corr_window, rules.min_abs_corr, rules.vol, rules.trend, state=state, out="regime_ok", corr=rules.corr_gate
     )
 
 
-def generate(bars: DataFrame, rules: Rules = Rules(), close_run: bool = False, f: Frame = PAIR) -> DataFrame:
+def generate(bars: DataFrame, rules: Rules = Rules(), close_run: bool = False, f: Frame = PAIR, fit: Column | None = None) -> DataFrame:
     """Signals of every pair: spread to sized, time-limited positions, still segmented.
 
     Rows in the last ``tail`` halo bars of each segment are right as well, so a
     backtest may look back a few bars; call :func:`spreadlake.series.trim` to
-    get each bar once.
+    get each bar once.  The structural statistics of a series come from the
+    bars that ``fit`` selects, the first ones of the series; by default all.
     """
     df = stage(flagged_bars(bars, rules, f))
-    stats = structure.structural_flag(df, "spread", f, rules.adf_p).select(
+    stats = structure.structural_flag(df if fit is None else df.filter(fit), "spread", f, rules.adf_p).select(
         *f.series_keys, "coint_ok", "adf_p", F.col("half_life").alias("ou_half_life"), "hurst"
     )
     stats = stage(stats)  # a row per pair, needed by both passes of the position scan
     df = with_series_stats(df, stats, f)
     # the combined gate already contains the correlation gate
     df = df.withColumn("good_regime", F.col("regime_ok"))
-    df = dynamic_thresholds(df, rules.entry_z, rules.exit_z, F.col("coint_ok"), f)
+    df = dynamic_thresholds(df, rules.entry_z, rules.exit_z, F.col("coint_ok"), f, rules.structural_scale, rules.vol_scale)
     df = rule_flags(df, F.col("entry_z_dyn"), F.col("exit_z_dyn"), F.lit(rules.stop_z), F.col("good_regime"))
     df = sizes(df, rules.atr_window, rules.target_vol_per_leg, rules.inverse_fx, f)
     df = positions(df, F.col("regime_ok"), None, rules.tail, f)

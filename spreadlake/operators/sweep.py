@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spreadlake.functions import rolling as R
+from spreadlake.operators import backtest as B
+from spreadlake.operators import hidden_states, regime
 from spreadlake.operators import signals as S
-from spreadlake.series import OWN, Frame, compound, running_sum
+from spreadlake.series import OWN, PAIR, Frame, compound, position, running_sum, segment, trim, with_series_stats
 from spreadlake.session import stage
 
 # The optimizer's threshold grid and the parallel runner's grid.
@@ -207,3 +210,98 @@ def bootstrap(df: DataFrame, value: str, order: list[str], replicates: int = 200
         F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"),
         F.avg((F.col("m") <= 0).cast("double")).alias("p_value"),
     )
+
+
+def ablations(base: S.Rules) -> dict[str, S.Rules]:
+    """The documented ablations: the plan whole, and with one part switched off at a time."""
+    return {
+        "A0_baseline": base,
+        "A1_no_hmm": replace(base, hmm=None, vix=None),
+        "A2_no_structural_scale": replace(base, structural_scale=False),
+        "A3_no_vol_scale": replace(base, vol_scale=False),
+        "A4_no_corr_gate": replace(base, corr_gate=False),
+        "A5_plain_z": replace(base, robust_z=False),
+    }
+
+
+FOLD_FRAME = Frame(keys=("pair", "fold", "seg"))
+
+
+def marked_parts(folds: DataFrame, f: Frame = FOLD_FRAME, purge_bars: int = 40, embargo_bars: int = 20) -> DataFrame:
+    """Bars of the folds with ``use``: train or test, null for the last training and the first test bars.
+
+    No bar goes, so a strategy runs over a fold without a gap.
+    """
+    off, row = position(f)
+    df = stage(segment(folds, 1, f.series_keys, reuse=True).withColumn("_row", off + row))
+    cut = stage(df.filter(F.col(OWN) & (F.col("part") == "train")).groupBy(*f.series_keys).agg(F.max("_row").alias("_cut")))
+    df = trim(with_series_stats(df, cut, f))
+    gap = F.col("_row") - F.coalesce("_cut", F.lit(0))
+    use = F.when((F.col("part") == "train") & (gap <= -purge_bars), "train").when((F.col("part") == "test") & (gap > embargo_bars), "test")
+    return df.withColumn("use", use).drop("_row", "_cut")
+
+
+KPIS = ("total_return", "annual_return", "sharpe_ratio", "max_drawdown", "win_rate", "profit_factor")
+
+
+def with_states(bars: DataFrame, rules: S.Rules, f: Frame = PAIR) -> DataFrame:
+    """Bars with the ``hmm_state`` that ``rules`` ask for, fitted once for folds and plans that share it.
+
+    A state looks back only, so that of a bar is the same in every fold.
+    """
+    df = S.spread_and_z(segment(bars, rules.lookback, f.series_keys, reuse=True), rules, f)
+    window, dof = rules.hmm
+    df = hidden_states.hidden_regime(regime.spread_return(df, f), "spread_ret", window=window, dof=dof, f=f)
+    return stage(trim(df).select(*bars.columns, "hmm_state"))
+
+
+def fold_metrics(bars: DataFrame, runs: dict[str, S.Rules], bps: tuple[float, float] = (1.0, 2.0), f: Frame = FOLD_FRAME) -> DataFrame:
+    """Backtest figures of every rule set over the test bars of every fold, each from a stake of one."""
+    c, g = F.col, Frame(keys=("variant", *f.keys))
+    out = None
+    for name, rules in runs.items():
+        df = S.generate(bars, rules, f=f, fit=c("use") == "train")
+        df = df.select(*f.keys, OWN, "seg_off", "ts", "use", "fx_price", "comd_price", "spread_z", "signal", "fx_position", "comd_position", F.lit(name).alias("variant"))
+        out = df if out is None else out.unionByName(df)
+    keys = g.series_keys
+    bt = B.run(out, *bps, f=g).filter("use = 'test'").select(*keys, "ts", "pnl", "delayed_signal", "trade_id")
+    test = compound(segment(bt, 1, keys, reuse=True), 1.0 + c("pnl"), g)
+    peak = F.greatest("peak", F.lit(1.0))
+    test = stage(trim(test.withColumn("drawdown", R.clean(F.try_divide(c("equity") - peak, peak)))))
+    # the first test bar's profit counts too, so returns are those of the last equity on the stake
+    ends = test.groupBy(*keys).agg(F.max_by("equity", "ts").alias("_e1"), F.count(F.lit(1)).alias("_n"))
+    m = B.metrics(test, keys=keys).drop("total_return", "annual_return").join(ends, list(keys))
+    figures = {"total_return": c("_e1") - 1.0, "annual_return": B.cagr(F.lit(1.0), c("_e1"), c("_n"))}
+    return m.withColumns(figures).drop("_e1", "_n")
+
+
+KPIS = ("total_return", "annual_return", "sharpe_ratio", "max_drawdown", "win_rate", "profit_factor")
+
+
+def compare(bars: DataFrame, runs: dict[str, S.Rules], years: dict[str, int], bps: tuple[float, float] = (1.0, 2.0)) -> DataFrame:
+    """Out-of-sample figures of named rule sets over the folds of ``years`` (see :func:`assign_folds`): one row per pair and name.
+
+    The signal plan runs over each fold's bars as a series of their own, with
+    structural statistics from its training bars only; the test bars are
+    scored.  Figures are medians over the folds with test bars, ``num_trades``
+    their sum.  A rule set whose thresholds fail the checks of the backtest
+    gives rows with the reason in ``error`` and no figures; the others still run.
+    """
+    failed: dict[str, str] = {}
+    for name, rules in runs.items():
+        try:
+            B.check_thresholds(rules.entry_z, rules.exit_z, rules.stop_z)
+        except ValueError as e:
+            failed[name] = str(e)
+    asked = [r for n, r in runs.items() if r.hmm and n not in failed]
+    if asked and len({(r.hmm, r.beta_window, r.use_rls) for r in asked}) == 1:
+        bars = with_states(bars, asked[0])
+    folds = stage(marked_parts(assign_folds(bars, **years)))
+    names = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(failed.get(n)).cast("string").alias("error")) for n in runs])
+    rows = bars.select("pair").distinct().select("pair", F.explode(names).alias("_n")).select("pair", "_n.*")
+    good = {n: r for n, r in runs.items() if n not in failed}
+    if not good:
+        return rows.withColumns({c: F.lit(None).cast("long") for c in ("folds", "num_trades")} | {k: F.lit(None).cast("double") for k in KPIS})
+    medians = [F.percentile(k, F.lit(0.5)).alias(k) for k in KPIS]
+    t = fold_metrics(folds, good, bps).groupBy("pair", "variant").agg(F.count(F.lit(1)).alias("folds"), F.sum("num_trades").alias("num_trades"), *medians)
+    return rows.join(t, ["pair", "variant"], "left")

@@ -15,7 +15,7 @@ from spreadlake.operators import sweep as X
 from spreadlake.plans import inputs as I
 from spreadlake.plans import strategy_sql as Q
 from spreadlake.plans.registry import HOURLY, PAIRS, RETURNS, case, fold_sql, full, shared, w
-from spreadlake.plans.strategy_cases import DAY, METRIC_COLS, bt, seg, zbars
+from spreadlake.plans.strategy_cases import DAY, HIDDEN, METRIC_COLS, bt, seg, with_vix, zbars
 from spreadlake.series import join_small, trim
 from spreadlake.session import stage
 from spreadlake.sources import sinks
@@ -261,6 +261,11 @@ case(
     strs=["pair", "variant"], ints=["num_trades"], floats=METRIC_COLS, dec=5,
 )
 FOLDS = dict(first_year=1995, train=3, test=1, step=1, count=4)
+case(
+    # the hidden-state fit can't be stated in SQL, as in g12_hidden_state_signals
+    "x11_ablations", lambda s, d: X.compare(stage(with_vix(s, d)), X.ablations(HIDDEN), FOLDS),
+    strs=["pair", "variant", "error"], ints=["folds", "num_trades"], floats=list(X.KPIS),
+)
 FOLD_SQL = """fd AS (SELECT p.*, k + 1 AS fold, CASE WHEN year(ts) - 1995 - k BETWEEN 0 AND 2 THEN 'train' WHEN year(ts) - 1995 - k = 3 THEN 'test' END AS part FROM {src} p, (SELECT unnest(range(0, 4)) AS k))"""
 case(
     "x8_walk_forward_folds", lambda s, d: X.assign_folds(I.pair_bars(s, d), **FOLDS).groupBy("pair", "fold", "part").agg(F.count(F.lit(1)).alias("bars"), F.avg("fx_price").alias("mean_fx")),
