@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlake.llm import chat, decontaminate, licenses, line_dedup, line_rules, ngram_join, packing, pii, quality, toxicity
+from spreadlake.llm import chat, decontaminate, hard_negatives, licenses, line_dedup, line_rules, merkle, ngram_join, packing, pii, quality, toxicity
 from spreadlake.llm.common import table
 
 #: Where the public tokenizer's file lies; a parameter of the packing operator.
@@ -188,6 +188,68 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "weak_votes", "weak_good", "quality_score", "kept")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and verdict."""
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(levels: int) -> str:
+    """Levels over levels: children of a run in order, and each leaf's way up.  Holds for up to 8 ** levels leaves a language."""
+    said = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || {x} END"
+    leaf = lambda text: f"sha256({' || '.join(said(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {said(text)})"
+    lower = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    parts = [
+        f"""seen AS MATERIALIZED (SELECT doc_id, lang, {leaf("text")} AS leaf, CASE WHEN crc % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS now FROM (SELECT *, {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS crc FROM documents))""",
+        "way0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, '' AS proof, now AS node FROM seen)",
+        "lev0 AS (SELECT lang, r, leaf AS d, count(*) OVER (PARTITION BY lang) AS n FROM way0)",
+    ]
+    step = "array_to_string(c[1 : w.r % 8], '') || {x} || array_to_string(c[w.r % 8 + 2 : 8], '')"
+    for i in range(levels):
+        parts.append(f"run{i} AS MATERIALIZED (SELECT lang, r // 8 AS r, list(d ORDER BY r) AS c, max(n) AS n FROM lev{i} GROUP BY lang, r // 8)")
+        parts.append(f"lev{i + 1} AS (SELECT lang, r, CASE WHEN n > 1 THEN sha256(array_to_string(c, '')) ELSE c[1] END AS d, (n + 7) // 8 AS n FROM run{i})")
+        parts.append(
+            f"way{i + 1} AS MATERIALIZED (SELECT w.doc_id, w.lang, w.leaf, w.r // 8 AS r, CASE WHEN n > 1 THEN w.proof || {step.format(x=chr(39) * 2)} ELSE w.proof END AS proof,"
+            f" CASE WHEN n > 1 THEN sha256({step.format(x='w.node')}) ELSE w.node END AS node FROM way{i} w JOIN run{i} x ON x.lang IS NOT DISTINCT FROM w.lang AND x.r = w.r // 8)"
+        )
+    last = f"lev{levels}"
+    parts += [
+        f"tops AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p FROM {last})",
+        "own AS (SELECT list(subroot ORDER BY p) AS c, count(*) AS n FROM tops)",
+    ]
+    up = "CASE WHEN n > 1 THEN sha256({inner}) ELSE {alone} END"
+    return (
+        f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM (SELECT w.doc_id, w.leaf, t.subroot,"
+        f" {up.format(inner='array_to_string(c, %s)' % repr(''), alone='t.subroot')} AS root, sha256(w.proof || CASE WHEN n > 1 THEN array_to_string(c[1 : p], '') || array_to_string(c[p + 2 :], '') ELSE '' END) AS proof_sha256,"
+        f" {up.format(inner='array_to_string(c[1 : p], %s) || w.node || array_to_string(c[p + 2 :], %s)' % (repr(''), repr('')), alone='w.node')} AS folded_root"
+        f" FROM way{levels} w JOIN tops t ON t.lang IS NOT DISTINCT FROM w.lang, own)"
+    )
+
+
+def _crc32_sql(said: str) -> str:
+    """The checksum of ASCII text, bit by bit; DuckDB has no such function."""
+    byte = f"list_transform(string_split({said}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    shift = "list_reduce(list_concat([xor(c, b)], range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {byte}), lambda c, b: {shift}), 4294967295)"
+
+
+#: As many levels as 2,097,152 documents of one language and 8 languages need.
+OP12_SQL = _merkle_sql(7)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each anchor and positive."""
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.id AS anchor, a.label = c.label AS same, c.id, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score FROM v a JOIN v c ON a.id <> c.id WHERE a.id % 100 = 0),
+ pos AS (SELECT anchor, id AS positive, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS r FROM s WHERE same) WHERE r <= 5),
+ neg AS (SELECT p.*, s.id, s.score, row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY s.score DESC, s.id) AS r FROM pos p JOIN s ON s.anchor = p.anchor AND NOT s.same
+  AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+ SELECT anchor AS anchor_id, positive AS positive_id, CAST(r AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score FROM neg WHERE r <= 5"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_skip_chain": op1_pii_skip_chain,
     "op2_chat_formatting": op2_chat_formatting,
@@ -199,5 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_site_line_frequency": op8_site_line_frequency,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_line_frequency_rules": OP3_SQL, "op6_license_diagonals": OP6_SQL, "op7_winnowing_decontamination": OP7_SQL, "op8_site_line_frequency": OP8_SQL}
+ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_line_frequency_rules": OP3_SQL, "op6_license_diagonals": OP6_SQL, "op7_winnowing_decontamination": OP7_SQL, "op8_site_line_frequency": OP8_SQL, "op12_merkle_manifest": OP12_SQL, "op13_hard_negatives": OP13_SQL}
