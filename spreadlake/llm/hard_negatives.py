@@ -58,9 +58,11 @@ def products(anchors: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         return np.zeros((len(a), len(c)), dtype=np.int64)
     bias_a, bias_c = int(np.abs(a).max()), int(np.abs(c).max())
     bits = max(1, (width * 4 * bias_a * bias_c).bit_length())
+    fields = BITS // bits
+    if not fields:
+        a, c = a.astype(object), c.astype(object)
     # score = field - bias_a * sum(c) - bias_c * sum(a) - width * bias_a * bias_c
     fixed = bias_a * c.sum(axis=1)[None, :] + bias_c * a.sum(axis=1)[:, None] + width * bias_a * bias_c
-    fields = BITS // bits
     if not fields:
         return wide_products(a + bias_a, c + bias_c, bits) - fixed
     a, c = (a + bias_a).astype(np.float64), c + bias_c

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlake.llm import chat, decontaminate, hard_negatives, licenses, line_dedup, line_rules, merkle, ngram_join, packing, pii, quality, toxicity
+from spreadlake.llm import chat, decontaminate, hard_negatives, licenses, line_dedup, line_rules, merkle, ngram_join, packing, pii, quality, toxicity, wrappers
 from spreadlake.llm.common import table
 
 #: Where the public tokenizer's file lies; a parameter of the packing operator.
@@ -188,6 +188,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "weak_votes", "weak_good", "quality_score", "kept")
 
 
+def op11_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's article."""
+    return wrappers.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+#: For pages whose article is one ``article`` element without a frame inside, and these references.
+OP11_SQL = r"""WITH inner_html AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?is)<article(?:\s[^>]*)?>(.*?)</article>', 1), '<br\s*/?>', ' ', 'gi') AS said FROM pages),
+ blocks AS (SELECT *, list_transform(regexp_split_to_array(said, '</?(?:p|h[1-6]|div|ul|ol|li|blockquote|pre|section|table|tr|td|th)(?:\s[^>]*)?>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS pieces FROM inner_html),
+ decoded AS (SELECT *, list_transform(pieces, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS lines FROM blocks),
+ told AS (SELECT page_id, url, array_to_string(list_filter(lines, lambda x: x <> ''), chr(10)) AS text FROM decoded)
+ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM told"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, proof and verdict."""
     return merkle.verify(table(spark, sf_dir, "documents"))
@@ -261,7 +274,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_site_line_frequency": op8_site_line_frequency,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_html_wrappers": op11_html_wrappers,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_line_frequency_rules": OP3_SQL, "op6_license_diagonals": OP6_SQL, "op7_winnowing_decontamination": OP7_SQL, "op8_site_line_frequency": OP8_SQL, "op12_merkle_manifest": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_line_frequency_rules": OP3_SQL, "op6_license_diagonals": OP6_SQL, "op7_winnowing_decontamination": OP7_SQL, "op8_site_line_frequency": OP8_SQL, "op11_html_wrappers": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_hard_negatives": OP13_SQL}
