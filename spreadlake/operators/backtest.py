@@ -78,7 +78,8 @@ def with_costs(df: DataFrame, fx_bps: float = 1.0, comd_bps: float = 2.0, policy
 
 
 def run(signals: DataFrame, fx_bps: float = 1.0, comd_bps: float = 2.0, policy: bool = False, f: Frame = PAIR) -> DataFrame:
-    """Backtest frame, one row per bar, from segmented signals."""
+    """Backtest frame, one row per bar, from segmented signals; the costs may be columns."""
+    require(signals, *SIGNAL_INPUT)
     df = with_costs(leg_pnl(delayed(signals, f), f), fx_bps, comd_bps, policy, f)
     moved = ~R.holds(R.diff(F.col("delayed_signal"), 1, f) == 0)
     df = stage(df.withColumn("_moved", moved.cast("int")))

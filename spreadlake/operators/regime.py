@@ -10,7 +10,7 @@ from spreadlake.series import PAIR, Frame
 
 
 def correlation_gate(a: Column, b: Column, window: int = 60, min_abs_corr: float = 0.15, f: Frame = PAIR) -> Column:
-    if window < 5 or not 0.0 <= min_abs_corr <= 1.0:
+    if window < 5 or not isinstance(min_abs_corr, Column) and not 0.0 <= min_abs_corr <= 1.0:
         raise ValueError("window must be >= 5 and the threshold within [0, 1]")
     return R.holds(F.abs(R.corr(a, b, window, f)) >= min_abs_corr)
 

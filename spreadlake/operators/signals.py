@@ -16,7 +16,11 @@ from spreadlake.session import stage
 
 @dataclass(frozen=True)
 class Rules:
-    """Window lengths and thresholds of the daily spread strategy."""
+    """Window lengths and thresholds of the daily spread strategy.
+
+    Thresholds, limits and targets may be columns: those of a parameter table
+    with one row per pair (see :mod:`spreadlake.operators.configured`).
+    """
 
     beta_window: int = 60
     z_window: int = 20
@@ -112,8 +116,11 @@ def sizes(df: DataFrame, atr_window: int = 20, target: float = 0.01, inverse_fx:
     df = df.withColumns({f"_d{c}": F.abs(R.diff(F.col(c), 1, f)) for c in ("fx_price", "comd_price")})
     size = lambda c: F.try_divide(F.lit(target), R.mean(F.col(f"_d{c}"), atr_window, f))
     fx = size("fx_price")
-    if inverse_fx:
-        fx = F.try_divide(fx, F.col("fx_price"))
+    inverse = F.try_divide(fx, F.col("fx_price"))
+    if isinstance(inverse_fx, Column):
+        fx = F.when(inverse_fx, inverse).otherwise(fx)
+    elif inverse_fx:
+        fx = inverse
     return df.withColumns({"fx_size": fx, "comd_size": size("comd_price")}).drop("_dfx_price", "_dcomd_price")
 
 
@@ -123,7 +130,7 @@ def leg_positions(df: DataFrame) -> DataFrame:
     )
 
 
-def holding_limit(half_life: Column, max_days: int) -> Column:
+def holding_limit(half_life: Column, max_days: int | Column) -> Column:
     return F.greatest(F.lit(2), F.least(F.bround(3 * half_life, 0).cast("int"), F.lit(max_days)))
 
 
@@ -145,14 +152,18 @@ def time_stop(df: DataFrame, limit: Column, close_run: bool = False, f: Frame =
     )
 
 
-def flagged_bars(bars: DataFrame, rules: Rules, f: Frame = PAIR) -> DataFrame:
+def flagged_bars(bars: DataFrame, rules: Rules, f: Frame = PAIR, params: DataFrame | None = None) -> DataFrame:
     """Segmented bars with spread, z-score and the combined gate.
 
     With ``rules.hmm`` the gate also asks for hidden state 0, shifted by the
     bars' ``vix`` column where ``rules.vix`` is set; bars that come with a
-    column ``hmm_state`` are not fitted again.
+    column ``hmm_state`` are not fitted again.  ``params`` has the columns that
+    ``rules`` name, one row per series.
     """
-    df = spread_and_z(segment(bars, rules.lookback, f.series_keys, reuse=True), rules, f)
+    df = segment(bars, rules.lookback, f.series_keys, reuse=True)
+    if params is not None:
+        df = with_series_stats(df, params, f)
+    df = spread_and_z(df, rules, f)
     state = None
     if rules.hmm:
         window, dof = rules.hmm
@@ -166,7 +177,9 @@ def flagged_bars(bars: DataFrame, rules: Rules, f: Frame = PAIR) -> DataFrame:
     )
 
 
-def generate(bars: DataFrame, rules: Rules = Rules(), close_run: bool = False, f: Frame = PAIR, fit: Column | None = None) -> DataFrame:
+def generate(
+    bars: DataFrame, rules: Rules = Rules(), close_run: bool = False, f: Frame = PAIR, fit: Column | None = None, params: DataFrame | None = None
+) -> DataFrame:
     """Signals of every pair: spread to sized, time-limited positions, still segmented.
 
     Rows in the last ``tail`` halo bars of each segment are right as well, so a
@@ -174,8 +187,8 @@ def generate(bars: DataFrame, rules: Rules = Rules(), close_run: bool = False, f
     get each bar once.  The structural statistics of a series come from the
     bars that ``fit`` selects, the first ones of the series; by default all.
     """
-    df = stage(flagged_bars(bars, rules, f))
-    stats = structure.structural_flag(df if fit is None else df.filter(fit), "spread", f, rules.adf_p).select(
+    df = stage(flagged_bars(bars, rules, f, params))
+    stats = structure.structural_flag(df if fit is None else df.filter(fit), "spread", f, rules.adf_p, limits=params).select(
         *f.series_keys, "coint_ok", "adf_p", F.col("half_life").alias("ou_half_life"), "hurst"
     )
     stats = stage(stats)  # a row per pair, needed by both passes of the position scan

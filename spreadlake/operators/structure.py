@@ -244,11 +244,18 @@ def cointegration(df: DataFrame, threshold: float = 0.05, f: Frame = PAIR) -> Da
     )
 
 
-def structural_flag(df: DataFrame, col: str = "spread", f: Frame = PAIR, adf_p: float = 0.10, cap: float = 252.0) -> DataFrame:
-    """Per-series flag: stationary, half-life in 2..252 bars, anti-persistent."""
+def structural_flag(
+    df: DataFrame, col: str = "spread", f: Frame = PAIR, adf_p: float | Column = 0.10, cap: float = 252.0, limits: DataFrame | None = None
+) -> DataFrame:
+    """Per-series flag: stationary, half-life in 2..252 bars, anti-persistent.
+
+    ``adf_p`` may be a column of ``limits``, a table with one row per series.
+    """
     key = list(f.series_keys)
     stats = (
         unit_root_test(df, col, f).join(half_life(df, col, f, cap), key).join(hurst(df, col, f), key)
     )
+    if limits is not None:
+        stats = stats.join(limits, key, "left")
     ok = (F.col("adf_p") <= adf_p) & F.col("half_life").between(2.0, 252.0) & (F.coalesce("hurst", F.lit(0.5)) < 0.6)
     return stats.withColumn("coint_ok", ok)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spreadlake.functions import rolling as R
 from spreadlake.operators import backtest as B
+from spreadlake.operators import configured as CF
 from spreadlake.operators import hedge as H
 from spreadlake.operators import hidden_states
 from spreadlake.operators import regime as G
@@ -17,6 +18,7 @@ from spreadlake.plans import inputs as I
 from spreadlake.plans import strategy_sql as Q
 from spreadlake.plans.registry import HOURLY, PAIRS, RETURNS, TICKS, VIX, case, fold_sql, full, spread_sql, w
 from spreadlake.series import PAIR, Frame, segment, trim
+from spreadlake.sources import config as X
 
 SYM = Frame(keys=("symbol", "seg"))
 RULES = S.Rules()
@@ -448,3 +450,45 @@ case(
     "SELECT pair, num_trades, CASE WHEN num_trades >= 145 THEN sharpe_ratio ELSE 0 END AS sharpe_ratio, CASE WHEN num_trades >= 145 THEN annual_return ELSE 0 END AS annual_return FROM metrics",
     strs=["pair"], ints=["num_trades"], floats=["sharpe_ratio", "annual_return"],
 )
+
+
+# --- per-pair configuration -----------------------------------------------------------------------
+#: Three pairs with windows, limits, sizes and costs of their own.
+CONFIGURED = {
+    "A_N": {
+        "fx_symbol": "A", "comd_symbol": "N", "inverse_fx_for_quote_ccy_strength": True, "min_trade_count": 12,
+        "lookbacks": {"beta_window": 90, "z_window": 40, "corr_window": 20}, "thresholds": {"entry_z": 1.2, "exit_z": "3e-1", "stop_z": 3.0, "adf_p": 0.05},
+        "time_stop": {"max_days": 20}, "regime": {"min_abs_corr": 0.2, "filter_extreme_vol": True, "volatility_window": 30, "high_vol_threshold": 0.25},
+        "exec": {"costs": {"fx_bps": 3.0}},
+    },
+    "A_R": {
+        "fx_symbol": "A", "comd_symbol": "R", "inverse_fx_for_quote_ccy_strength": False, "use_kalman": False, "min_trade_count": 1000,
+        "lookbacks": {"beta_window": 45, "z_window": 25, "corr_window": 15}, "thresholds": {"entry_z": 1.0, "exit_z": 0.5}, "regime": {"min_abs_corr": 0.1},
+        "sizing": {"atr_window": 10, "target_vol_per_leg": 0.02},
+    },
+    "N_R": {
+        "fx_symbol": "N", "comd_symbol": "R", "lookbacks": {"beta_window": 45, "z_window": 25, "corr_window": 15}, "use_kalman": False, "sizing": {"atr_window": 10},
+        "thresholds": {"entry_z": 1.7, "exit_z": 0.4, "stop_z": 2.5}, "time_stop": {"max_days": 4}, "regime": {"min_abs_corr": 0.05}, "exec": {"costs": {"comd_bps": 5}},
+    },
+}
+
+
+def _own(section: dict) -> dict:
+    return {k: X.typed(X.lookup(section, path, default), default) for k, (path, default) in X.PATHS.items()}
+
+
+def _configured_bt(s, d):
+    return CF.backtest(I.pair_bars(s, d), X.params_frame(s, CONFIGURED))
+
+
+_each = lambda tail: " UNION ALL ".join(f"SELECT * FROM ({Q.configured_sql(p, _own(c))}{tail(_own(c))})" for p, c in CONFIGURED.items())
+case(
+    "g12_configured_signals", lambda s, d: trim(CF.generate(I.pair_bars(s, d), X.params_frame(s, CONFIGURED))), "",
+    _each(lambda p: " SELECT pair, ts, signal, time_stop_exit, entry, exit, spread_z, entry_z_dyn, exit_z_dyn, fx_position, comd_position FROM sig"), **DAY,
+    ints=["signal", "time_stop_exit", "entry", "exit"], floats=["spread_z", "entry_z_dyn", "exit_z_dyn", "fx_position", "comd_position"],
+)
+case(
+    "s17_configured_backtest", lambda s, d: CF.metrics(_configured_bt(s, d)), "",
+    _each(lambda p: f", {Q.trades_sql()}, {Q.metrics_sql()} SELECT * REPLACE (CASE WHEN num_trades >= {p['min_trade_count']} THEN annual_return ELSE 0 END AS annual_return, CASE WHEN num_trades >= {p['min_trade_count']} THEN sharpe_ratio ELSE 0 END AS sharpe_ratio) FROM metrics"),
+    strs=["pair"], ints=["num_trades", "days_in_backtest"], floats=METRIC_COLS,
+)

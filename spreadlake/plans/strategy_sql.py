@@ -121,3 +121,37 @@ def metrics_sql(keys: str = "pair") -> str:
 BACKTEST = f"{SIGNALS}, {backtest_sql()}"
 TRADES = f"{BACKTEST}, {trades_sql()}"
 METRICS = f"{TRADES}, {metrics_sql()}"
+
+
+def configured_sql(pair: str, p: dict) -> str:
+    """One pair's backtest rows ``bt`` with its own windows, limits and costs."""
+    run = spread_sql(z=p["z_window"]) if p["use_rls"] else windowed_sql(p["beta_window"], p["z_window"])
+    vol = ""
+    if p["filter_vol"]:
+        sd = lambda x: f"coalesce({full(f'stddev_samp({x})', x, p['vol_window'])} < {p['high_vol']}, true)"
+        vol = f" AND {sd('rf0')} AND {sd('rc0')}"
+    zero = lambda x: f"coalesce({x} / lag({x}) {Q} - 1, 0)"
+    gate = f"""g0 AS (SELECT *, {zero("fx_price")} AS rf0, {zero("comd_price")} AS rc0 FROM zs),
+ gate AS (SELECT *, coalesce(abs({full("corr(fx_price, comd_price)", "fx_price", p["corr_window"])}) >= {p["min_abs_corr"]}, false){vol} AS corr_ok FROM g0)"""
+    struct = STRUCT.replace("adf_p <= 0.10", f"adf_p <= {p['adf_p']}")
+    thresh = THRESH.replace("greatest(0.8, 1.5 *", f"greatest(0.8, {p['entry_z']} *").replace("least(1.25, 0.5 /", f"least(1.25, {p['exit_z']} /")
+    flags = flags_sql("thr", "entry_z_dyn", "exit_z_dyn", str(p["stop_z"]), "corr_ok")
+    stopped = stopped_sql(LIMIT.replace(", 10))", f", {p['max_days']}))"))
+    inverse = " / fx_price" if p["inverse_fx"] else ""
+    sized = SIZES.replace('0.01 / {0} / fx_price'.format(full("avg(df)", "df", 20)), f"{p['target_vol_per_leg']} / {full('avg(df)', 'df', p['atr_window'])}{inverse}")
+    sized = sized.replace('0.01 / {0} AS comd'.format(full("avg(dc)", "dc", 20)), f"{p['target_vol_per_leg']} / {full('avg(dc)', 'dc', p['atr_window'])} AS comd")
+    bt = backtest_sql().replace("(1.0 / 1e4)", f"({p['fx_bps']} / 1e4)").replace("(2.0 / 1e4)", f"({p['comd_bps']} / 1e4)")
+    only = PAIRS.replace("plist(pair, fx, comd) AS (VALUES", "plist(pair, fx, comd) AS (SELECT * FROM (VALUES") .replace("('N_R', 'N', 'R')),", f"('N_R', 'N', 'R')) AS t(a, b, c) WHERE a = '{pair}'),")
+    return f"WITH RECURSIVE {only}, {run}, {gate}, {struct}, {thresh}, {flags}, {fold_sql('coded')}, {stopped}, {sized}, {bt}"
+
+
+def windowed_sql(beta: int, z: int) -> str:
+    """CTEs ``sp`` and ``zs`` with windowed least squares in place of recursive ones."""
+    tail = spread_sql(z=z)
+    zs = tail[tail.index(" zs AS (") :]
+    fit = lambda e: f"CASE WHEN count(ly) {w(beta)} >= {beta} THEN {e} END"
+    slope, mean = f"regr_slope(ly, lx) {w(beta)}", lambda c: f"avg({c}) {w(beta)}"
+    return f"""num AS (SELECT *, ln(fx_price) AS ly, ln(comd_price) AS lx, row_number() OVER (PARTITION BY pair ORDER BY ts) AS i FROM pairs),
+ hedge AS (SELECT *, {fit(slope)} AS lb, {fit(f"{mean('ly')} - {slope} * {mean('lx')}")} AS la FROM num),
+ sp AS (SELECT pair, ts, i, fx_price, comd_price, CASE WHEN la IS NOT NULL THEN greatest(exp(la), 1e-8) END AS alpha, CASE WHEN lb IS NOT NULL THEN least(greatest(lb, -10), 10) END AS beta,
+  fx_price - alpha * pow(comd_price, beta) AS spread FROM hedge),{zs}"""

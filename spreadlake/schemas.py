@@ -23,7 +23,7 @@ PARAMS = _schema(
     pair=_S, fx_symbol=_S, comd_symbol=_S, inverse_fx=_B,
     beta_window=_I, z_window=_I, corr_window=_I, use_rls=_B,
     entry_z=_D, exit_z=_D, stop_z=_D, adf_p=_D, max_days=_I,
-    min_abs_corr=_D, vol_window=_I, high_vol=_D, low_vol=_D, trend_window=_I, trend_threshold=_D,
+    min_abs_corr=_D, filter_vol=_B, vol_window=_I, high_vol=_D, low_vol=_D, filter_trend=_B, trend_window=_I, trend_threshold=_D,
     enable_hmm=_B, hmm_states=_I, hmm_window=_I, hmm_df=_D, hmm_tol=_D, hmm_iter=_I,
     vix_thresh=_D, vix_boost=_D, vix_max_shift=_D, min_trade_count=_I, atr_window=_I, target_vol_per_leg=_D,
     fx_bps=_D, comd_bps=_D, windows=T.MapType(_S, _I), model_weights=T.MapType(_S, _D),

@@ -75,19 +75,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 _STAGED: list[str] = []
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     Used where the same wide intermediate feeds two branches (a per-segment
     summary and the rows themselves).  The files are compressed and read by
     column, a lost executor's tasks reread them, and the optimizer sees their
-    true size, so joins with small ones are broadcast by bytes.
+    true size, so joins with small ones are broadcast by bytes.  A filter on the
+    columns ``by`` reads only their folders.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,6 @@ import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spreadlake.schemas import PARAMS
 
@@ -22,9 +21,11 @@ PATHS: dict[str, tuple[str, Any]] = {
     "adf_p": ("thresholds.adf_p", 0.10),
     "max_days": ("time_stop.max_days", 10),
     "min_abs_corr": ("regime.min_abs_corr", 0.15),
+    "filter_vol": ("regime.filter_extreme_vol", False),
     "vol_window": ("regime.volatility_window", 20),
     "high_vol": ("regime.high_vol_threshold", 0.03),
     "low_vol": ("regime.low_vol_threshold", 0.003),
+    "filter_trend": ("regime.filter_strong_trend", False),
     "trend_window": ("regime.trend_window", 20),
     "trend_threshold": ("regime.trend_threshold", 0.015),
     "enable_hmm": ("regime.enable_hmm", False),
@@ -55,29 +56,29 @@ def lookup(section: dict, path: str, default: Any = None) -> Any:
     return node
 
 
-def _typed(value: Any, like: Any) -> Any:
+def typed(value: Any, like: Any) -> Any:
     """Exponent literals such as ``1e-3`` arrive from YAML as text; cast by the default's type."""
     if isinstance(like, bool):
         return bool(value)
     return type(like)(float(value)) if isinstance(like, int) else float(value)
 
 
-def read_sections(path: str) -> dict:
-    """A JSON file, or YAML where a YAML reader is installed."""
-    with open(path, encoding="utf-8") as fh:
-        if path.endswith(".json"):
-            return json.load(fh)
-        try:
-            import yaml
-        except ImportError as exc:
-            raise RuntimeError("no YAML reader here; convert the file to JSON") from exc
-        return yaml.safe_load(fh)
+def read_sections(spark: SparkSession, path: str) -> dict:
+    """A JSON file, or YAML where a YAML reader is installed; any path that Spark can read."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    if path.endswith(".json"):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as exc:
+        raise RuntimeError("no YAML reader here; convert the file to JSON") from exc
+    return yaml.safe_load(text)
 
 
 def params_frame(spark: SparkSession, sections: dict[str, dict]) -> DataFrame:
     rows = []
     for pair, s in sections.items():
-        row = {k: _typed(lookup(s, p, d), d) for k, (p, d) in PATHS.items()}
+        row = {k: typed(lookup(s, p, d), d) for k, (p, d) in PATHS.items()}
         row |= {
             "pair": pair,
             "fx_symbol": lookup(s, "fx_symbol"),
@@ -89,10 +90,6 @@ def params_frame(spark: SparkSession, sections: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, PARAMS)
 
 
-def pair_params(params: DataFrame, pair: str) -> DataFrame:
-    return params.filter(F.col("pair") == pair)
-
-
 def pair_names(sections: dict[str, dict]) -> list[str]:
     return sorted(sections)
 
@@ -101,9 +98,3 @@ def risk_params(sections: dict[str, dict], pair: str) -> dict:
     if pair not in sections:
         raise KeyError(f"unknown pair {pair}")
     return lookup(sections[pair], "risk", {})
-
-
-def execution_params(sections: dict[str, dict], pair: str) -> dict:
-    if pair not in sections:
-        raise KeyError(f"unknown pair {pair}")
-    return lookup(sections[pair], "exec", {})
