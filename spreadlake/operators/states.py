@@ -5,7 +5,8 @@ open), which no window aggregate can express.  Each bar is one of a few input
 codes, each code maps the finite set of states onto itself, and such maps
 compose: a segment is summarised by where it takes each possible start state.
 One row per segment is folded per series to find every segment's true start
-state, and the bars are then replayed in parallel, segment by segment.
+state, and the bars are then replayed in parallel, segment by segment.  Inside a
+segment the same is done again with rows of bars, so no step handles one bar.
 """
 
 from __future__ import annotations
@@ -54,6 +55,65 @@ def _columns(t: pa.Table, tail: int):
     return order, own, first, max(0, first - tail)
 
 
+class Blocks:
+    """Bars ``begin..stop`` laid out as rows of about the square root of their number.
+
+    All rows step together, so a segment of ``n`` bars takes about ``sqrt(n)``
+    NumPy steps to compose and as many to chain, instead of one per bar.
+    """
+
+    def __init__(self, code: np.ndarray, gate: np.ndarray, ts: np.ndarray, begin: int, stop: int):
+        n = max(0, stop - begin)
+        self.n, self.width = n, max(1, int(np.sqrt(n)))
+        self.rows = -(-n // self.width)
+        fill = self.rows * self.width - n
+        lay = lambda x: np.concatenate([x[begin:stop], np.zeros(fill, x.dtype)]).reshape(self.rows, self.width)
+        self.code, self.gate, self.ts = lay(code), lay(gate), lay(ts)
+        self.real = lay(np.ones(len(code), dtype=bool))
+        # whether the bar before each row was open
+        before = np.arange(self.rows) * self.width + begin - 1
+        self.open = np.where(before >= 0, gate[np.maximum(before, 0)], False) if n else np.zeros(0, dtype=bool)
+
+    def composed(self, table: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row and start state: the state after the row, and the start of the run that is visible then.
+
+        That start is -1 where the run was visible before the row, ``_NO_TS``
+        where none is.
+        """
+        states = len(side)
+        cur = np.broadcast_to(np.arange(states), (self.rows, states)).copy()
+        since = np.full((self.rows, states), -1, dtype=np.int64)
+        shown = (side[cur] != 0) & self.open[:, None]
+        for i in range(self.width):
+            real = self.real[:, i, None]
+            cur = np.where(real, table[self.code[:, i, None], cur], cur)
+            now = np.where(real, (side[cur] != 0) & self.gate[:, i, None], shown)
+            since = np.where(now & ~shown, self.ts[:, i, None], np.where(now, since, _NO_TS))
+            shown = now
+        return cur, since
+
+    def starts(self, cur: np.ndarray, since: np.ndarray, state: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """State and run start before each row, from those before the first."""
+        states, runs = np.empty(self.rows, dtype=np.int64), np.empty(self.rows, dtype=np.int64)
+        for r in range(self.rows):
+            states[r], runs[r] = state, run
+            run = run if since[r, state] == -1 else int(since[r, state])
+            state = int(cur[r, state])
+        return states, runs
+
+    def replayed(self, table: np.ndarray, side: np.ndarray, state: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Visible side and start of its run at every bar, all rows at once."""
+        signal, since = np.zeros(self.code.shape, dtype=np.int32), np.full(self.code.shape, _NO_TS, dtype=np.int64)
+        shown = (side[state] != 0) & self.open
+        for i in range(self.width):
+            state = table[self.code[:, i], state]
+            now = (side[state] != 0) & self.gate[:, i]
+            run = np.where(now, np.where(shown, run, self.ts[:, i]), _NO_TS)
+            signal[:, i], since[:, i] = np.where(now, side[state], 0), run
+            shown = now
+        return signal.ravel()[: self.n], since.ravel()[: self.n]
+
+
 def _start_map(max_bars: int | None, tail: int, keys: list[str]):
     def run(t: pa.Table) -> pa.Table:
         table, side = transitions(max_bars)
@@ -64,18 +124,12 @@ def _start_map(max_bars: int | None, tail: int, keys: list[str]):
             )
         code = t["_code"].to_numpy()[order]
         gate = t["_gate"].to_numpy(zero_copy_only=False)[order]
-        ts = t["_us"].to_numpy()[order]
         # the next segment of the series starts its replay `tail` bars before its own rows
-        stop = max(begin, len(code) - tail)
-        cur = np.arange(len(side))
-        since = np.full(len(side), -1, dtype=np.int64)  # -1: inherited from the start state
-        shown = (side[cur] != 0) & (gate[begin - 1] if begin else False)
-        for i in range(begin, stop):
-            cur = table[code[i]][cur]
-            now = (side[cur] != 0) & gate[i]
-            since = np.where(now & ~shown, ts[i], since)
-            since = np.where(now, since, _NO_TS)
-            shown = now
+        rows = Blocks(code, gate, t["_us"].to_numpy()[order], begin, max(begin, len(code) - tail))
+        cur, since = np.arange(len(side)), np.full(len(side), -1, dtype=np.int64)  # -1: inherited from the start state
+        for maps, runs in zip(*rows.composed(table, side)):
+            since = np.where(runs[cur] == -1, since, runs[cur])
+            cur = maps[cur]
         out = {k: pa.array([t[k][0].as_py()], t.schema.field(k).type) for k in keys}
         out["_map"] = pa.array([cur.tolist()], pa.list_(pa.int64()))
         out["_since"] = pa.array([since.tolist()], pa.list_(pa.int64()))
@@ -103,23 +157,12 @@ def _replay(max_bars: int | None, tail: int):
         n = len(order)
         signal, since = np.zeros(n, dtype=np.int32), np.full(n, _NO_TS, dtype=np.int64)
         if first >= 0:
-            rows = table.tolist()
-            code = t["_code"].to_numpy()[order].tolist()
-            gate = t["_gate"].to_numpy(zero_copy_only=False)[order].tolist()
-            ts = t["_us"].to_numpy()[order].tolist()
-            cur, run_from = int(t["_start"][0].as_py() or 0), t["_from"][0].as_py()
-            shown = bool(side[cur] != 0 and begin and gate[begin - 1])
-            sides = side.tolist()
-            for i in range(begin, n):
-                cur = rows[code[i]][cur]
-                now = sides[cur] if gate[i] else 0
-                if now:
-                    if not shown:
-                        run_from = ts[i]
-                    signal[i], since[i] = now, run_from
-                else:
-                    run_from = _NO_TS
-                shown = bool(now)
+            code = t["_code"].to_numpy()[order]
+            gate = t["_gate"].to_numpy(zero_copy_only=False)[order]
+            rows = Blocks(code, gate, t["_us"].to_numpy()[order], begin, n)
+            run_from = t["_from"][0].as_py()
+            before = rows.starts(*rows.composed(table, side), int(t["_start"][0].as_py() or 0), _NO_TS if run_from is None else run_from)
+            signal[begin:], since[begin:] = rows.replayed(table, side, *before)
         back = np.empty(n, dtype=np.int64)
         back[order] = np.arange(n)
         since = since[back]

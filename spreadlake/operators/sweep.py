@@ -12,7 +12,7 @@ from spreadlake.functions import rolling as R
 from spreadlake.operators import backtest as B
 from spreadlake.operators import hidden_states, regime
 from spreadlake.operators import signals as S
-from spreadlake.series import OWN, PAIR, Frame, compound, position, running_sum, segment, trim, with_series_stats
+from spreadlake.series import OWN, PAIR, Frame, compound, position, segment, trim, with_series_stats
 from spreadlake.session import stage
 
 # The optimizer's threshold grid and the parallel runner's grid.
@@ -49,55 +49,6 @@ def with_grid(bars: DataFrame, combos: list[tuple[int, float, float, float]]) ->
     return bars.withColumn("_p", F.explode(grid)).select("*", "_p.*").drop("_p")
 
 
-GRID_FRAME = Frame(keys=("pair", "param_id", "seg"))
-
-
-def sweep_signals(z_bars: DataFrame, combos: list[tuple[int, float, float, float]], tail: int = 4) -> DataFrame:
-    """Signals of every parameter set over segmented z-scored bars."""
-    c = F.col
-    df = with_grid(z_bars.select("pair", "seg", OWN, "seg_off", "ts", "spread", "spread_z"), combos)
-    df = S.rule_flags(df, c("entry_z"), c("exit_z"), c("stop_z"), F.lit(True))
-    return S.positions(df, None, None, tail, GRID_FRAME).drop("long_profit", "short_profit")
-
-
-def sweep_metrics(signals: DataFrame, f: Frame = GRID_FRAME, params: tuple[str, ...] = ("entry_z", "exit_z", "stop_z")) -> DataFrame:
-    """Spread-return metrics per series and parameter set."""
-    c, o = F.col, f.ordered()
-    df = signals.withColumns(
-        {
-            "_ret": F.lag("signal").over(o) * R.diff(c("spread"), 1, f),
-            "_prev": F.lag("signal").over(o),
-        }
-    ).withColumn("_chg", R.holds(c("signal") != c("_prev")))
-    df = stage(df.select(*f.keys, *f.order, OWN, "seg_off", *params, "signal", "_ret", "_prev", "_chg"))
-    eq = compound(df, 1.0 + c("_ret"), f, "_eq", "_peak")
-    eq = running_sum(eq, {"_run": c("_chg").cast("int")}, f).filter(OWN)
-    keys = list(f.series_keys)
-    dd = F.when(c("_ret").isNotNull(), F.try_divide(c("_eq") - c("_peak"), c("_peak")))
-    counted = F.when(c("_chg") | (c("_prev").isNotNull() & (c("signal") != 0)), 1).otherwise(0)
-    # one pass by run, then by series: run lengths and all sums come from the same partial aggregate
-    runs = eq.groupBy(*keys, *params, "_run").agg(
-        F.sum(counted).alias("len"), F.count(F.lit(1)).alias("n"), F.count_if("_chg").alias("chg"),
-        F.count_if(c("_ret") > 0).alias("wins"), F.sum("_ret").alias("s"), F.count("_ret").alias("k"),
-        F.sum(c("_ret") * c("_ret")).alias("q"), F.min(dd).alias("dd"), F.count_if(c("signal") != 0).alias("act"),
-    )
-    t = runs.groupBy(*keys, *params).agg(
-        F.sum("n").alias("n"), F.sum("chg").alias("total_trades"), F.sum("wins").alias("wins"), F.sum("s").alias("s"),
-        F.sum("k").alias("k"), F.sum("q").alias("q"), F.min("dd").alias("max_drawdown"), F.sum("act").alias("act"),
-        F.coalesce(F.avg(F.when(c("len") > 0, c("len"))), F.lit(0.0)).alias("avg_signal_duration"),
-    )
-    annual = c("s") * 252 / c("n")
-    vol = F.sqrt(F.greatest(F.lit(0.0), (c("q") - c("s") * c("s") / c("k")) / (c("k") - 1))) * F.sqrt(F.lit(252.0))
-    t = t.withColumns({"annual_return": annual, "annual_vol": vol})
-    return t.select(
-        *keys, *params, "total_trades",
-        F.when(c("total_trades") > 0, c("wins") / c("total_trades")).otherwise(0.0).alias("win_rate"),
-        c("s").alias("total_return"), "annual_return", "annual_vol",
-        F.when(c("annual_vol") > 0, c("annual_return") / c("annual_vol")).otherwise(0.0).alias("sharpe_ratio"),
-        "max_drawdown", (c("act") / c("n")).alias("signal_activity"), "avg_signal_duration",
-    )
-
-
 def average_rank(df: DataFrame, col: str, keys: tuple[str, ...] = ("pair",), out: str = "rank") -> DataFrame:
     """Descending rank with ties sharing their mean (over result rows, one per parameter set)."""
     w = Window.partitionBy(*keys).orderBy(F.col(col).desc())
@@ -152,23 +103,6 @@ def purge_folds(df: DataFrame, keys: tuple[str, ...] = ("pair", "param_id"), pur
     return place.filter(keep).drop("_up", "_down")
 
 
-def fold_scores(df: DataFrame, keys: tuple[str, ...] = ("pair", "param_id")) -> DataFrame:
-    """Scores of each fold's part from bar returns ``r`` and position changes ``chg``.
-
-    The Sharpe ratio is annual, the drawdown that of the part's own compounded equity.
-    """
-    c = F.col
-    run = Window.partitionBy(*keys, "fold", "part").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    eq = df.withColumn("_eq", F.product(1.0 + F.coalesce("r", F.lit(0.0))).over(run)).withColumn("_peak", F.max("_eq").over(run))
-    gain, loss = F.sum(F.when(c("r") > 0, c("r"))), F.sum(F.when(c("r") < 0, c("r")))
-    t = eq.groupBy(*keys, "fold", "part").agg(
-        F.sum("r").alias("total_return"), (F.sum("r") * 252 / F.count(F.lit(1))).alias("annual_return"), (F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("_vol"),
-        F.coalesce(F.try_divide(gain, F.abs(loss)), F.lit(0.0)).alias("profit_factor"),
-        F.coalesce(F.min(F.try_divide(c("_eq") - c("_peak"), c("_peak"))), F.lit(0.0)).alias("max_drawdown"), F.count_if("chg").alias("num_trades"),
-    )
-    return t.withColumn("sharpe_ratio", F.when(c("_vol") > 0, c("annual_return") / c("_vol")).otherwise(0.0)).drop("_vol")
-
-
 def freeze_best(train: DataFrame, test: DataFrame, keys: tuple[str, ...] = ("pair", "fold")) -> DataFrame:
     """Test rows of the parameter set that was best in training (Sharpe, then profit factor, then drawdown)."""
     w = Window.partitionBy(*keys).orderBy(
@@ -241,9 +175,6 @@ def marked_parts(folds: DataFrame, f: Frame = FOLD_FRAME, purge_bars: int = 40,
     return df.withColumn("use", use).drop("_row", "_cut")
 
 
-KPIS = ("total_return", "annual_return", "sharpe_ratio", "max_drawdown", "win_rate", "profit_factor")
-
-
 def with_states(bars: DataFrame, rules: S.Rules, f: Frame = PAIR) -> DataFrame:
     """Bars with the ``hmm_state`` that ``rules`` ask for, fitted once for folds and plans that share it.
 

@@ -11,6 +11,7 @@ from spreadlake.operators import backtest as B
 from spreadlake.operators import metrics as M
 from spreadlake.operators import risk as K
 from spreadlake.operators import signals as S
+from spreadlake.operators import scan_sweep as SC
 from spreadlake.operators import sweep as X
 from spreadlake.plans import inputs as I
 from spreadlake.plans import strategy_sql as Q
@@ -185,7 +186,7 @@ for _name, _grid, _lists, _keep in (
 
 
 def sweep(s, d, grid=RUN_GRID):
-    return X.sweep_metrics(X.sweep_signals(stage(zbars(s, d)), grid))
+    return SC.table(zbars(s, d), grid)
 
 
 PK = "pair, param_id"
@@ -290,12 +291,8 @@ case(
 
 
 def _fold_scores(s, d):
-    df = X.sweep_signals(stage(zbars(s, d)), RUN_GRID)
-    before = F.lag("signal").over(X.GRID_FRAME.ordered())
-    df = trim(df.withColumns({"r": before * R.diff(F.col("spread"), 1, X.GRID_FRAME), "chg": F.coalesce(F.col("signal") != before, F.lit(False))}))
-    folds = X.assign_folds(df.select("pair", "param_id", "ts", "r", "chg"), **FOLDS)
     # drawdowns of spread returns reach powers of ten: kept as logarithms
-    return X.fold_scores(X.purge_folds(folds)).withColumn("log_drawdown", -F.ln(1 - F.col("max_drawdown")))
+    return SC.fold_table(zbars(s, d), RUN_GRID, FOLDS).withColumn("log_drawdown", -F.ln(1 - F.col("max_drawdown")))
 
 
 PFP = "OVER (PARTITION BY pair, param_id, fold, part ORDER BY ts"
