@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from spreadlake.session import stage
@@ -111,13 +111,30 @@ def segment(
     if reuse:
         df = stage(df)
     rows = rows or segment_rows(df)
-    tagged, counted = bucketed(df, keys, ts, rows, int(grain_days * 86_400 * 1_000_000))
+    width = int(grain_days * 86_400 * 1_000_000)
+    tagged = df.withColumn("_bucket", _start(ts, width))
+    counted = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    seen = Observation()
+    # the largest bucket is told by the job that writes the histogram
+    hist = stage(_histogram(counted.observe(seen, F.max("_cnt").alias("most")), keys, lookback, rows))
+    if (seen.get.get("most") or 0) > FULL_SHARE * rows and width > LEAST_MICROS:
+        tagged, counted = bucketed(df, keys, ts, rows, width)
+        hist = stage(_histogram(counted, keys, lookback, rows))
+    return (
+        tagged.join(hist, [*keys, "_bucket"])
+        .withColumn(SEG, F.explode("_segs"))
+        .withColumn(OWN, F.col(SEG) == F.col("_own"))
+        .drop("_bucket", "_own", "_segs")
+    )
+
+
+def _histogram(counted: DataFrame, keys: tuple[str, ...], lookback: int, rows: int) -> DataFrame:
+    """Each bucket's row offset in its series, its own segment and all segments that hold it."""
     w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(_UNBOUNDED, -1)
-    whole = Window.partitionBy(*keys)
-    hist = (
+    return (
         counted.withColumn(OFF, F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
         .withColumn("_own", F.floor(F.col(OFF) / rows))
-        .withColumn("_top", F.max("_own").over(whole))
+        .withColumn("_top", F.max("_own").over(Window.partitionBy(*keys)))
         .withColumn("_end", F.floor((F.col(OFF) + F.col("_cnt") + (lookback - 1)) / rows))
         .select(
             *keys,
@@ -127,12 +144,10 @@ def segment(
             F.sequence("_own", F.greatest("_own", F.least("_end", "_top"))).alias("_segs"),
         )
     )
-    return (
-        join_small(tagged, hist, [*keys, "_bucket"])
-        .withColumn(SEG, F.explode("_segs"))
-        .withColumn(OWN, F.col(SEG) == F.col("_own"))
-        .drop("_bucket", "_own", "_segs")
-    )
+
+
+def _start(ts: str, width: int) -> Column:
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(width)) * width
 
 
 def bucketed(df: DataFrame, keys: tuple[str, ...], ts: str, rows: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -142,9 +157,7 @@ def bucketed(df: DataFrame, keys: tuple[str, ...], ts: str, rows: int, width: in
     none is, or they are as short as ``LEAST_MICROS``.  The list of full buckets
     has at most ``1 / (FULL_SHARE * rows)`` of the rows' number of entries.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    start = lambda n: F.floor(micros / F.lit(n)) * n
-    tagged = df.withColumn("_bucket", start(width))
+    tagged = df.withColumn("_bucket", _start(ts, width))
     count = lambda d: stage(d.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_cnt")))
     counted = count(tagged)
     full = counted.filter(F.col("_cnt") > FULL_SHARE * rows)
@@ -152,7 +165,8 @@ def bucketed(df: DataFrame, keys: tuple[str, ...], ts: str, rows: int, width: in
         width = max(LEAST_MICROS, width // FINER)
         tagged = join_small(tagged, full.select(*keys, "_bucket", F.lit(True).alias("_full")), [*keys, "_bucket"], "left")
         # a finer bucket starts inside the one that it is cut from
-        tagged = tagged.withColumn("_bucket", F.when(F.col("_full"), F.greatest("_bucket", start(width))).otherwise(F.col("_bucket"))).withColumn("_cut", F.coalesce("_full", F.lit(False))).drop("_full")
+        finer_start = F.greatest("_bucket", _start(ts, width))
+        tagged = tagged.withColumn("_bucket", F.when(F.col("_full"), finer_start).otherwise(F.col("_bucket"))).withColumn("_cut", F.coalesce("_full", F.lit(False))).drop("_full")
         finer = count(tagged.filter("_cut"))
         counted = counted.join(full.select(*keys, "_bucket"), [*keys, "_bucket"], "left_anti").unionByName(finer)
         full = finer.filter(F.col("_cnt") > FULL_SHARE * rows)
