@@ -15,11 +15,12 @@ from spreadlake.operators import metrics as M
 from spreadlake.operators import models as L
 from spreadlake.operators import multiframe as T
 from spreadlake.operators import quality as V
+from spreadlake.operators import risk as K
 from spreadlake.operators import signals as S
 from spreadlake.plans import inputs as I
 from spreadlake.plans import strategy_sql as Q
 from spreadlake.plans.registry import CALENDAR, HOURLY, PAIRS, case, fold_sql, full, shared, spread_sql, w
-from spreadlake.plans.research_cases import backtested
+from spreadlake.plans.research_cases import BREACHES, RISK, backtested
 from spreadlake.plans.strategy_cases import DAY, H1, HPAIRS, RULES, seg, zbars
 from spreadlake.series import join_small, position, segment, trim
 from spreadlake.session import ensure_checkpoint_dir, stage
@@ -472,3 +473,40 @@ case(
     "z4_streaming_risk", _live_risk, f"{Q.BACKTEST}, rk AS (SELECT pair, ts, pnl AS daily_pnl, sum(pnl) OVER (PARTITION BY pair, date_trunc('week', ts) ORDER BY ts ROWS UNBOUNDED PRECEDING) AS weekly_pnl FROM bt)",
     "SELECT *, daily_pnl < -0.02 AS daily_breach, weekly_pnl < -0.05 AS weekly_breach FROM rk", **DAY, ints=["daily_breach", "weekly_breach"], floats=["daily_pnl", "weekly_pnl"],
 )
+
+
+# --- streams whose rows come out of order ---------------------------------------------------------
+LATE_DAYS = 30
+
+
+def _disordered(df: DataFrame) -> DataFrame:
+    """Rows with the time at which they arrive: up to three weeks after their own."""
+    lag = F.pmod(F.xxhash64("pair", "ts"), F.lit(21 * 24)) * F.expr("INTERVAL 1 HOUR")
+    return df.withColumn("arrives", F.col("ts") + lag)
+
+
+def _live_disordered(s, d):
+    bars = _disordered(I.pair_bars(s, d))
+    return _with_state_store(s, lambda: run_stream(s, lambda t: live.live_signals(t.drop("arrives"), late=f"{LATE_DAYS} days"), bars, "arrives", 3))
+
+
+case(
+    "z3_disordered_signals", _live_disordered, f"{FREE}, mx AS (SELECT max(ts) - INTERVAL {LATE_DAYS} DAY AS wm FROM pairs)",
+    "SELECT coded.*, pos AS signal FROM coded JOIN fold USING (pair, rn), mx WHERE coded.ts <= wm", **DAY, ints=["signal"], floats=["spread", "spread_z"],
+)
+STAKE = 5.0
+
+
+def _live_account(s, d):
+    rows = _disordered(backtested(s, d).select("pair", "ts", "pnl", "equity", "fx_position", "comd_position", "fx_price", "comd_price").withColumn("account", F.lit("main")))
+    limits = K.Limits(cooldown_days=2)
+    return _with_state_store(s, lambda: run_stream(s, lambda t: live.live_account_risk(t, limits, STAKE, f"{LATE_DAYS} days"), rows, "arrives", 3))
+
+
+_FLAGS = [*BREACHES, "breaker_active", "exposure_breach", "can_trade"]
+case(
+    "z4_account_risk", _live_account,
+    f"""{RISK}, mx AS (SELECT max(ts) - INTERVAL {LATE_DAYS} DAY AS wm FROM bt), ex AS (SELECT ts, sum(abs(fx_position * fx_price) + abs(comd_position * comd_price)) / {STAKE} AS e FROM bt GROUP BY ts),
+     rt AS (SELECT rc.*, coalesce(e, 0) AS exposure, coalesce(e > 0.5, false) AS exposure_breach, NOT (breaker_active OR drawdown_breach OR daily_breach OR weekly_breach OR account_daily_breach OR account_weekly_breach) AS can_trade FROM rc JOIN ex USING (ts))""",
+    "SELECT rt.* FROM rt, mx WHERE ts <= wm", **DAY, ints=_FLAGS, floats=["daily_pnl", "weekly_pnl", "account_daily", "account_weekly", "exposure"],
+)
