@@ -55,6 +55,8 @@ class WordIds:
         self.part_id, part = max(added.items())
         self.part = part.content
         self.known: dict[bytes, bytes] = {}
+        #: No special token's text can lie inside a word of letters that ends in a mark or not.
+        self.apart = not any(_LETTERS.fullmatch(t.rstrip(b".,")) for t in self.special)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -71,21 +73,28 @@ class WordIds:
     def _learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-        known, stems, tails = self.known, [], []
+        known, tails = self.known, []
+        plain: dict[bytes, None] = {}
+        other: dict[bytes, None] = {}
+        letters = _LETTERS.fullmatch
         for word in words - known.keys():
-            if any(s in word for s in self.special):
+            if self.apart and letters(word):
+                plain[word] = None
+                continue
+            marked = word[-1:] in b".," and word[-2:-1].isalpha()  # ends in a letter and one mark, which is a token of its own
+            stem = word[:-1] if marked else word
+            of_letters = letters(stem)
+            if not (self.apart and of_letters) and any(s in word for s in self.special):
                 known[word] = self._alone(word)
-            elif word[-1:] in b".," and word[-2:-1].isalpha():
-                tails.append(word)  # ends in a letter and one mark, which is a token of its own
-                stems.append(word[:-1])
-            else:
-                stems.append(word)
+                continue
+            if marked:
+                tails.append(word)
+            if stem not in known:
+                (plain if of_letters else other)[stem] = None
         for mark in (b".", b","):
             if mark not in known:
                 known[mark] = self._alone(mark)
-        stems = [w for w in dict.fromkeys(stems) if w not in known]
-        plain = [w for w in stems if _LETTERS.fullmatch(w)]
-        other = [w for w in stems if not _LETTERS.fullmatch(w)]
+        plain, other = list(plain), list(other)
         for at in range(0, len(plain), BATCH):
             some = plain[at : at + BATCH]
             ids = self._ids(" ".join(w.decode() for w in some))
