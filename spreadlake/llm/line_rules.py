@@ -13,8 +13,8 @@ from spreadlake.llm.hosts import WHITE, frequent, line_key, lines, with_common
 
 WINDOW = 8
 SYMBOLS = r"[^#*$%&|<>]+"
-#: A line in more than this share of its host's documents, and in at least so many, is above the limit.
-LIMIT, LEAST_DOCS = 0.1, 10
+#: A line (a long one) in more than this share of its host's documents, and in at least so many, is above the limit.
+LIMIT, LONG_LIMIT, LEAST_DOCS = 0.02, 0.004, 3
 #: A document that lost a line is depleted below this many words or this share of its words.
 LEFT_WORDS, LEFT_SHARE = 20, 0.2
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -66,11 +66,11 @@ def measured(docs: DataFrame, text: Column, prefix: str) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", limit: float = LIMIT, least: int = LEAST_DOCS) -> DataFrame:
+def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", limit: float = LIMIT, least: int = LEAST_DOCS, long_limit: float = LONG_LIMIT) -> DataFrame:
     """``docs`` with the measures, ``base_failed``, ``kept``, ``n_removed_lines`` and ``cleaned`` (existing columns of those names are replaced).
 
     ``cleaned`` is the text without the lines that more than ``limit`` of the
-    host's documents share (and at least ``least``).  ``kept`` is false if the
+    host's documents share (long lines: ``long_limit``; at least ``least``).  ``kept`` is false if the
     base rules fail, and if such lines were removed and what is left is fewer
     than ``LEFT_WORDS`` words or less than ``LEFT_SHARE`` of the words.  A null
     text has no words and fails; its ``cleaned`` is null.  A null host is a
@@ -79,7 +79,7 @@ def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text", lim
     added = [*MEASURES, "base_failed", "kept", "n_removed_lines", "cleaned"]
     base = docs.drop(*added)
     text, host = F.col(f"`{text_col}`"), F.col(f"`{host_col}`")
-    common = frequent(base, host, F.transform(lines(text), normal_key), limit, least)
+    common = frequent(base, host, F.transform(lines(text), normal_key), limit, long_limit, least)
     p = fresh(base, "rule_")
     while any(c.startswith(p) for c in base.columns):
         p += "_"

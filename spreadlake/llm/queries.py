@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadlake.llm import chat, decontaminate, hard_negatives, licenses, line_dedup, line_rules, merkle, ngram_join, packing, pii, quality, toxicity, wrappers
+from spreadlake.llm import chat, decontaminate, hard_negatives, hosts, licenses, line_dedup, line_rules, merkle, ngram_join, packing, pii, quality, toxicity, wrappers
 from spreadlake.llm.common import table
 
 #: Where the public tokenizer's file lies; a parameter of the packing operator.
@@ -99,7 +99,7 @@ OP3_SQL = f"""WITH docs AS (SELECT doc_id, source, text, list_filter(regexp_spli
  keyed AS (SELECT doc_id, source, unnest(list_distinct(list_transform(lines, lambda x: {_NORMAL.format(x="x")}))) AS line FROM docs),
  totals AS (SELECT source, count(*) AS total FROM docs GROUP BY source),
  common AS (SELECT k.source, k.line FROM keyed k JOIN totals t ON k.source IS NOT DISTINCT FROM t.source WHERE k.line <> ''
-  GROUP BY k.source, k.line, t.total HAVING count(*) >= {line_rules.LEAST_DOCS} AND count(*) > {line_rules.LIMIT} * t.total),
+  GROUP BY k.source, k.line, t.total HAVING count(*) >= {line_rules.LEAST_DOCS} AND count(*) > CAST(CASE WHEN length(k.line) >= {hosts.LONG} THEN {line_rules.LONG_LIMIT} ELSE {line_rules.LIMIT} END AS DOUBLE) * t.total),
  each_line AS (SELECT doc_id, source, unnest(lines) AS line FROM docs),
  kept AS (SELECT e.doc_id, count(c.line) AS removed, coalesce(sum(len(list_filter(regexp_split_to_array(e.line, '{_WHITE}+'), lambda w: w <> ''))) FILTER (c.line IS NULL), 0) AS left_words
   FROM each_line e LEFT JOIN common c ON c.source IS NOT DISTINCT FROM e.source AND c.line = {_NORMAL.format(x="e.line")} GROUP BY e.doc_id),
@@ -169,7 +169,7 @@ OP8_SQL = f"""WITH docs AS (SELECT doc_id, source, text, string_split(coalesce(t
  keyed AS (SELECT doc_id, source, unnest(list_distinct(list_transform(lines, lambda x: {_BARE.format(x="x")}))) AS line FROM docs),
  totals AS (SELECT source, count(*) AS total FROM docs GROUP BY source),
  common AS (SELECT k.source, k.line FROM keyed k JOIN totals t ON k.source IS NOT DISTINCT FROM t.source WHERE k.line <> ''
-  GROUP BY k.source, k.line, t.total HAVING count(*) >= {line_dedup.LEAST_PAGES} AND count(*) > {line_dedup.RATIO} * t.total),
+  GROUP BY k.source, k.line, t.total HAVING count(*) >= {line_dedup.LEAST_PAGES} AND count(*) > CAST(CASE WHEN length(k.line) >= {hosts.LONG} THEN {line_dedup.LONG_RATIO} ELSE {line_dedup.RATIO} END AS DOUBLE) * t.total),
  each_line AS (SELECT doc_id, source, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM docs),
  marked AS (SELECT e.doc_id, e.i, e.line, c.line IS NOT NULL AS dropped FROM each_line e
   LEFT JOIN common c ON c.source IS NOT DISTINCT FROM e.source AND c.line = {_BARE.format(x="e.line")}),

@@ -113,7 +113,7 @@ def near(rows):
     return [(len(s), min(ids[find(i)], default=None)) for i, s in enumerate(sets)]
 
 
-def site_lines(rows, ratio, least):
+def site_lines(rows, ratio, least, long_ratio=0.004, long=200):
     """(text, lines, dropped) of each (id, text, host) row."""
     bare = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x)
     pages, count = defaultdict(int), defaultdict(int)
@@ -124,6 +124,6 @@ def site_lines(rows, ratio, least):
     out = []
     for _, text, host in rows:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if not (count[host, bare(x)] >= least and count[host, bare(x)] > ratio * pages[host])]
+        kept = [x for x in lines if not (count[host, bare(x)] >= least and count[host, bare(x)] > (long_ratio if len(bare(x)) >= long else ratio) * pages[host])]
         out.append((None, 0, 0) if text is None else ("\n".join(kept), len(lines), len(lines) - len(kept)))
     return out

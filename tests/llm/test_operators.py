@@ -156,6 +156,18 @@ def test_line_dedup(spark, docs_of, extra):
     assert line_dedup.drop_boilerplate(docs_of([])).count() == 0
 
 
+def test_limits_hold_at_every_size(spark, docs_of):
+    """A repeated passage in a large source and a boilerplate line on a host of six pages go; what pages share by chance stays."""
+    passage = " ".join(f"passage{i}" for i in range(50))
+    big = [(i, prose(i, 30) + ("\n" + passage if i < 6 else "") + ("\nseldom shared line" if i < 20 else ""), "big") for i in range(1200)]
+    small = [(5000 + i, "All rights reserved here\n" + prose(9000 + i, 30), "small") for i in range(6)]
+    for done, text in ((line_dedup.drop_boilerplate(docs_of(big + small)), "text"), (line_rules.judge(docs_of(big + small)), "cleaned")):
+        got = {r["doc_id"]: r[text] for r in done.collect()}
+        assert not any("passage1 " in x or "All rights" in x for x in got.values())
+        assert all("seldom shared line" in got[i] for i in range(20))
+        assert got[5000] == prose(9000, 30) and got[700] == prose(700, 30)
+
+
 # --- op4 ---------------------------------------------------------------------------------------
 
 
