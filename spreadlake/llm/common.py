@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +52,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _STAGED: list[str] = []
+_SCOPES = threading.local()
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -61,12 +65,44 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    for scope in getattr(_SCOPES, "open", []):
+        scope[path] = table
+    return table
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables staged inside when the block ends, but for those passed to what it yields.
+
+    Nothing that is read later may be left unstaged: a kept table has to be a
+    staged one itself.
+    """
+    scope: dict[str, DataFrame] = {}
+    kept: list[DataFrame] = []
+    _SCOPES.open = [*getattr(_SCOPES, "open", []), scope]
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.open = _SCOPES.open[:-1]
+    for path, table in scope.items():
+        if not any(table is k for k in kept):
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _STAGED:
+        _STAGED.remove(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables staged so far, once nothing that reads them is needed."""
-    jvm = spark.sparkContext._jvm
     while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _STAGED[-1])

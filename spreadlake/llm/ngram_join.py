@@ -36,14 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spreadlake.llm.common import staged, text_bytes, words_of
+from spreadlake.llm.common import scratch, staged, text_bytes, words_of
 
 SHINGLE = 5
 PERCENT = 75
 #: The first prefix is longer by this share of the set.
 LONGER = 0.1
 #: Postings a task gathers before it deals them out, and shingles in a block of the verification.
-GATHERED, BLOCK = 4_000_000, 200_000
+GATHERED, BLOCK = 2_000_000, 200_000
 #: Pairs of classes up to which a bucket's are listed; larger buckets are compared in blocks.
 MANY = 1024
 #: Bits of the bitmap of texts that stay after step 1 (4 MB); more texts only make it less sharp.
@@ -417,6 +417,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``owner, comp`` after the links: components of the components that they join."""
+    with scratch(links.sparkSession) as keep:
+        return keep(_merged(labels, links))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.join(labels.select(F.col("owner").alias("a"), F.col("comp").alias("x")), "a").join(labels.select(F.col("owner").alias("b"), F.col("comp").alias("y")), "b")
     roots = components(ends.filter(F.col("x") != F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b")))
     found = labels.join(roots.select(F.col("node").alias("comp"), "root"), "comp", "left")
@@ -594,7 +599,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null id comes last.  Rows without words are linked with nothing and stay.
     Of rows that repeat both id and text one stays.
     """
-    found = staged(join(docs, id_col, text_col).filter(F.col("group").isNotNull()).select("key", "mark", "group"))
+    with scratch(docs.sparkSession) as keep:
+        found = keep(staged(join(docs, id_col, text_col).filter(F.col("group").isNotNull()).select("key", "mark", "group")))
     rank = F.struct(F.col("key").isNull().alias("none"), "key", "mark")
     first = found.groupBy("group").agg(F.min(rank).alias("first"))
     ranked = found.join(first, "group").withColumn("stays", F.col("key").eqNullSafe(F.col("first.key")) & (F.col("mark") == F.col("first.mark")))
