@@ -23,10 +23,10 @@ def assembled(df: DataFrame, features: list[str], fill: float | None = None) ->
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
 
 
-def fit_linear(df: DataFrame, features: list[str], label: str) -> PipelineModel:
+def fit_linear(df: DataFrame, features: list[str], label: str, pred: str = "ols_pred") -> PipelineModel:
     """Ordinary least squares by the normal equations."""
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    lr = LinearRegression(featuresCol="features", labelCol=label, solver="normal", regParam=0.0, predictionCol="ols_pred")
+    lr = LinearRegression(featuresCol="features", labelCol=label, solver="normal", regParam=0.0, predictionCol=pred)
     return Pipeline(stages=[va, lr]).fit(df)
 
 
@@ -122,6 +122,21 @@ def importance(model: PipelineModel, features: list[str], df: DataFrame, name: s
     return df.sparkSession.createDataFrame(rows, "model string, feature string, importance double")
 
 
+def mean_importance(models: list[PipelineModel], features: list[str], df: DataFrame, name: str) -> DataFrame:
+    """Importances averaged over the models of several folds."""
+    rows = reduce(DataFrame.unionByName, [importance(m, features, df, name) for m in models])
+    return rows.groupBy("model", "feature").agg(F.avg("importance").alias("importance"))
+
+
+def report(df: DataFrame, label: str, preds: list[str], importances: DataFrame, keys: tuple[str, ...] = ("pair",)) -> DataFrame:
+    """Scores of all models from one aggregate, beside each model's importances (``model, feature, importance``)."""
+    y = F.col(label)
+    errors = [F.struct(F.lit(p).alias("model"), F.avg((y - F.col(p)) * (y - F.col(p))).alias("mse"), F.avg(F.abs(y - F.col(p))).alias("mae")) for p in preds]
+    t = df.groupBy(*keys).agg(F.count(y).alias("n"), F.var_pop(y).alias("_v"), F.array(*errors).alias("_m")).select(*keys, "n", "_v", F.explode("_m").alias("_m"))
+    t = t.select(*keys, "n", "_m.*", (1 - F.try_divide(F.col("_m.mse"), F.col("_v"))).alias("r2"))
+    return t.join(importances, "model", "left")
+
+
 def regression_scores(df: DataFrame, label: str, pred: str, keys: tuple[str, ...] = ()) -> DataFrame:
     y, e = F.col(label), F.col(label) - F.col(pred)
     a = df.groupBy(*keys).agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spreadlake.functions import rolling as R
 from spreadlake.operators import backtest as B
+from spreadlake.operators import crossfit as CV
 from spreadlake.operators import features as E
 from spreadlake.operators import hedge as H
 from spreadlake.operators import metrics as M
@@ -175,7 +176,7 @@ XS = ["z_lag_1", "spread_mean_5", "spread_std_20", "fx_volatility", "comd_volati
 
 def training(s, d):
     def build(a, b):
-        y = labels(a, b).select("pair", F.col("label_ts").alias("ts"), F.col("label").cast("double").alias("label"), F.col("forward_change").alias("target"))
+        y = labels(a, b).select("pair", F.col("label_ts").alias("ts"), "label_end", F.col("label").cast("double").alias("label"), F.col("forward_change").alias("target"))
         # the target is a difference, defined for every bar with a future, also where the spread is near zero
         t = filter_table(a, b).join(y, ["pair", "ts"]).filter("label IS NOT NULL")
         return t.withColumn("row_id", F.xxhash64("pair", "ts")).withColumn("signal", F.when(F.col("spread_z") < 0, 1).otherwise(-1))
@@ -184,8 +185,8 @@ def training(s, d):
 
 
 def _filtered(s, d):
-    t = training(s, d)
-    out = L.apply_filter(L.fit_filter(t, XS), t)
+    """Every signal is filtered by a model of other times."""
+    out, _ = CV.cross_fit(training(s, d), lambda t: L.fit_filter(t, XS), L.apply_filter)
     return out.groupBy("pair", "filtered_signal").agg(F.count(F.lit(1)).alias("n"), F.avg("p_win").alias("p_win"))
 
 
@@ -248,10 +249,27 @@ def simple_predictions(s, d):
     return shared(s, d, "simple_predictions", build)
 
 
+def cross_fitted(s, d, name, fit):
+    """Out-of-fold predictions ``pair, ts, <name>`` and the mean importances of the folds' models, fitted once per session."""
+
+    def build(a, b):
+        out, models = CV.cross_fit(training(a, b), lambda t: fit(t, XS, "target"), lambda m, t: m.transform(t).drop("features"))
+        told = L.mean_importance(models, XS, out, name.removesuffix("_pred"))
+        return out.select("pair", "ts", name).withColumn("_importance", F.lit(None).cast("map<string,double>")).unionByName(
+            told.select(F.lit(None).cast("string").alias("pair"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("double").alias(name), F.create_map("feature", "importance").alias("_importance"))
+        )
+
+    rows = shared(s, d, f"cross_fitted_{name}", build)
+    told = rows.filter("_importance IS NOT NULL").select(F.explode("_importance").alias("feature", "importance"))
+    return rows.filter("_importance IS NULL").drop("_importance"), told
+
+
 def predictions(s, d):
+    """Predictions of all models; those of the boosted trees and of the linear model over all rows are out of fold."""
+
     def build(a, b):
-        out = L.fit_boosted(training(a, b), XS, "target").transform(simple_predictions(a, b)).drop("features")
-        return out.withColumn("ensemble_pred", L.weighted(ENSEMBLE))
+        trees, _ = cross_fitted(a, b, "gbt_pred", L.fit_boosted)
+        return simple_predictions(a, b).join(trees, ["pair", "ts"]).withColumn("ensemble_pred", L.weighted(ENSEMBLE))
 
     return shared(s, d, "predictions", build)
 
@@ -306,15 +324,15 @@ case("m11_permutation_importance", _permuted, strs=["feature"], floats=["importa
 
 
 def _model_report(s, d):
-    p = predictions(s, d)
-    out = None
-    for m in (*ENSEMBLE, "ensemble_pred"):
-        r = L.regression_scores(p, "target", m, ("pair",)).withColumn("model", F.lit(m))
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Scores of every model and, where it has any, its importances: a row per pair, model and feature."""
+    linear, linear_told = cross_fitted(s, d, "linear_pred", lambda t, x, y: L.fit_linear(t, x, y, "linear_pred"))
+    _, trees_told = cross_fitted(s, d, "gbt_pred", L.fit_boosted)
+    told = linear_told.withColumn("model", F.lit("linear_pred")).unionByName(trees_told.withColumn("model", F.lit("gbt_pred")))
+    p = predictions(s, d).join(linear, ["pair", "ts"])
+    return L.report(p, "target", [*ENSEMBLE, "linear_pred", "ensemble_pred"], told)
 
 
-case("m12_diagnostics_report", _model_report, strs=["pair", "model"], ints=["n"], floats=["mse", "mae", "r2"], dec=4)
+case("m12_diagnostics_report", _model_report, strs=["pair", "model", "feature"], ints=["n"], floats=["mse", "mae", "r2", "importance"], dec=4)
 
 # --- quality --------------------------------------------------------------------------------------
 case(

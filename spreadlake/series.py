@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from spreadlake.session import stage
@@ -114,14 +114,13 @@ def segment(
     width = int(grain_days * 86_400 * 1_000_000)
     tagged = df.withColumn("_bucket", _start(ts, width))
     counted = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-    seen = Observation()
-    # the largest bucket is told by the job that writes the histogram
-    hist = stage(_histogram(counted.observe(seen, F.max("_cnt").alias("most")), keys, lookback, rows))
-    if (seen.get.get("most") or 0) > FULL_SHARE * rows and width > LEAST_MICROS:
+    hist = stage(_histogram(counted, keys, lookback, rows))
+    # counts are staged only where a bucket turns out too full
+    if (hist.agg(F.max("_cnt")).first()[0] or 0) > FULL_SHARE * rows and width > LEAST_MICROS:
         tagged, counted = bucketed(df, keys, ts, rows, width)
         hist = stage(_histogram(counted, keys, lookback, rows))
     return (
-        tagged.join(hist, [*keys, "_bucket"])
+        tagged.join(hist.drop("_cnt"), [*keys, "_bucket"])
         .withColumn(SEG, F.explode("_segs"))
         .withColumn(OWN, F.col(SEG) == F.col("_own"))
         .drop("_bucket", "_own", "_segs")
@@ -139,6 +138,7 @@ def _histogram(counted: DataFrame, keys: tuple[str, ...], lookback: int, rows: i
         .select(
             *keys,
             "_bucket",
+            "_cnt",
             OFF,
             "_own",
             F.sequence("_own", F.greatest("_own", F.least("_end", "_top"))).alias("_segs"),
