@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadlake.llm.common import ALNUM, staged, text_bytes, words_of
+from spreadlake.llm.common import ALNUM, fresh, staged, text_bytes, words_of
 
 SPAN, GRAM = 13, 8
 WINDOW = SPAN - GRAM + 1
@@ -154,5 +154,6 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = verdicts(hits(docs, benchmark, id_col, text_col)).filter("contaminated").select(F.col("key").alias("bad_key"), F.col("print").alias("bad_print")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("bad_key")) & (F.xxhash64(text_bytes(f"`{text_col}`")) == F.col("bad_print")), "left_anti")
+    key, mark = fresh(docs, "bad_key"), fresh(docs, "bad_print")
+    bad = verdicts(hits(docs, benchmark, id_col, text_col)).filter("contaminated").select(F.col("key").alias(key), F.col("print").alias(mark)).distinct()
+    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (F.xxhash64(text_bytes(f"`{text_col}`")) == F.col(mark)), "left_anti")

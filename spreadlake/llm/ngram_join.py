@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spreadlake.llm.common import scratch, staged, text_bytes, words_of
+from spreadlake.llm.common import fresh, scratch, staged, text_bytes, words_of
 
 SHINGLE = 5
 PERCENT = 75
@@ -604,12 +604,13 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rank = F.struct(F.col("key").isNull().alias("none"), "key", "mark")
     first = found.groupBy("group").agg(F.min(rank).alias("first"))
     ranked = found.join(first, "group").withColumn("stays", F.col("key").eqNullSafe(F.col("first.key")) & (F.col("mark") == F.col("first.mark")))
-    gone = staged(ranked.filter(~F.col("stays")).select(F.col("key").alias("gone_key"), F.col("mark").alias("gone_mark")).distinct())
+    key, told = fresh(docs, "gone_key"), fresh(docs, "gone_mark")
+    gone = staged(ranked.filter(~F.col("stays")).select(F.col("key").alias(key), F.col("mark").alias(told)).distinct())
     mark = F.xxhash64(text_bytes(f"`{text_col}`"))
     same = lambda key, m: F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (mark == F.col(m))
-    kept = docs.join(gone, same("gone_key", "gone_mark"), "left_anti")
-    twice = staged(ranked.filter("stays").groupBy(F.col("key").alias("twice_key"), F.col("mark").alias("twice_mark")).count().filter("count > 1").drop("count"))
+    kept = docs.join(gone, same(key, told), "left_anti")
+    twice = staged(ranked.filter("stays").groupBy(F.col("key").alias(key), F.col("mark").alias(told)).count().filter("count > 1").drop("count"))
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, same("twice_key", "twice_mark"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(twice, same("twice_key", "twice_mark"), "left_anti").unionByName(once)
+    once = kept.join(twice, same(key, told), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(twice, same(key, told), "left_anti").unionByName(once)

@@ -354,7 +354,7 @@ def test_ngram_join(spark, docs_of, block, many, monkeypatch):
 
 def test_drop_duplicates(spark, docs_of):
     rows = ODD + copies()
-    kept = [(r["doc_id"], r["text"]) for r in ngram_join.drop_duplicates(docs_of(rows)).collect()]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.drop_duplicates(docs_of(rows, extra=True)).collect()]
     near = ref.near(rows)
     groups = {c for (k, t), (n, c) in zip(rows, near) if n}
     with_words = [k for k, t in kept if ref.spaced(t)]
