@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from spreadlake.plans import strategy_sql as Q
 from spreadlake.plans.registry import HOURLY, PAIRS, RETURNS, case, fold_sql, full, shared, w
 from spreadlake.plans.strategy_cases import DAY, HIDDEN, METRIC_COLS, bt, seg, with_vix, zbars
 from spreadlake.series import join_small, trim
-from spreadlake.session import stage
+from spreadlake.session import stage, staging_folder
 from spreadlake.sources import sinks
 
 
@@ -31,13 +33,23 @@ def metrics(s, d):
 
 
 # --- performance ----------------------------------------------------------------------------------
+REPORT_SQL = """SELECT pair, 'Backtest report: ' || pair || chr(10) || 'Total return (%): ' || printf('%.2f', round(total_return * 100, 2)) || chr(10) || 'Annual return (%): ' || printf('%.2f', round(annual_return * 100, 2)) || chr(10)
+       || 'Sharpe ratio: ' || printf('%.2f', sharpe_ratio) || chr(10) || 'Max drawdown (%): ' || printf('%.2f', round(max_drawdown * 100, 2)) || chr(10) || 'Trades: ' || num_trades || chr(10)
+       || 'Win rate (%): ' || printf('%.2f', round(win_rate * 100, 2)) || chr(10) || 'Profit factor: ' || printf('%.2f', profit_factor) || chr(10) || 'Days: ' || days_in_backtest AS report FROM metrics"""
 case(
     "s15_b10_report", lambda s, d: sinks.report_text(metrics(s, d)), Q.METRICS,
-    """SELECT pair, 'Backtest report: ' || pair || chr(10) || 'Total return (%): ' || printf('%.2f', round(total_return * 100, 2)) || chr(10) || 'Annual return (%): ' || printf('%.2f', round(annual_return * 100, 2)) || chr(10)
-       || 'Sharpe ratio: ' || printf('%.2f', sharpe_ratio) || chr(10) || 'Max drawdown (%): ' || printf('%.2f', round(max_drawdown * 100, 2)) || chr(10) || 'Trades: ' || num_trades || chr(10)
-       || 'Win rate (%): ' || printf('%.2f', round(win_rate * 100, 2)) || chr(10) || 'Profit factor: ' || printf('%.2f', profit_factor) || chr(10) || 'Days: ' || days_in_backtest AS report FROM metrics""",
+    REPORT_SQL,
     strs=["pair", "report"],
 )
+
+
+def _written_reports(s, d):
+    path = f"{staging_folder(s)}/reports-{uuid.uuid4().hex}"
+    sinks.write_reports(metrics(s, d), path)
+    return s.read.text(path, wholetext=True).select("pair", F.rtrim("value", F.lit("\n")).alias("report"))
+
+
+case("s15_written_reports", _written_reports, Q.METRICS, REPORT_SQL, strs=["pair", "report"])
 ER = f"{Q.BACKTEST}, er AS (SELECT pair, ts, equity, pnl AS ret FROM bt)"  # equal to the equity ratio less one, without its rounding noise
 
 
@@ -423,4 +435,9 @@ case(
     "SELECT *, abs(max_drawdown) <= CASE WHEN name = 'Daily Drawdown Stress' THEN 0.75 ELSE 0.45 END AND violations <= CASE WHEN name = 'High Volatility Regime' THEN 5 ELSE 2 END AND final_equity >= 0.5 AS passed FROM res",
     strs=["pair", "name"], ints=["passed"],
 )
+case(
+    "k15_stress_report", lambda s, d: K.stress_report(K.stress_results(_stressed(s, d))), STRESS,
+    "SELECT pair, name, name || ' | max drawdown ' || printf('%.2f', round(max_drawdown * 100, 2)) || '% | final equity ' || printf('%.2f', round(final_equity, 2)) || ' | violations ' || violations AS line FROM res",
+    strs=["pair", "name", "line"],
+)
 case("k13_stress_noise", lambda s, d: K.stress_results(K.stressed(backtested(s, d), noise_seed=7)), strs=["pair", "name"], ints=["violations"], floats=["max_drawdown", "final_equity"])

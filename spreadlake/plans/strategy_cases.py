@@ -358,6 +358,11 @@ case(
     f"WITH RECURSIVE {ADJ}, {Q.flags_sql('adjd', 'entry_threshold', 'exit_threshold', 'stop_threshold', 'true')}, {fold_sql('coded')}",
     "SELECT coded.*, pos AS signal FROM coded JOIN fold USING (pair, rn)", **DAY, ints=["signal"], floats=["spread_z"],
 )
+case(
+    "g6_static_signals", lambda s, d: trim(S.enhanced_signals(I.pair_bars(s, d), RULES, vol_adjusted=False)),
+    f"WITH RECURSIVE {Q.SPREAD}, {Q.flags_sql('zs', '1.5', '0.5', '3.5', 'true')}, {fold_sql('coded')}", "SELECT coded.*, pos AS signal FROM coded JOIN fold USING (pair, rn)",
+    **DAY, ints=["signal"], floats=["spread_z"],
+)
 case(
     "g7_adjusted_thresholds", lambda s, d: trim(S.adjusted_thresholds(zbars(s, d), 1.5, 0.5, 3.5)), f"WITH {ADJ}", "SELECT * FROM adjd",
     **DAY, floats=["entry_threshold", "exit_threshold", "stop_threshold"],

@@ -75,6 +75,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 _STAGED: list[str] = []
 
 
+def staging_folder(spark: SparkSession) -> str:
+    """The shared folder for tables of a job."""
+    ensure_checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 def stage(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
@@ -85,9 +91,7 @@ def stage(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     columns ``by`` reads only their folders.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark)}/stage-{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
