@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,19 +130,57 @@ def accept(test: DataFrame) -> DataFrame:
     return t.withColumn("accepted", R.holds(ok))
 
 
+# Cumulative Poisson(1) probabilities.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+#: Keys whose sums a task holds before it gives them on.
+HELD = 1024
+
+
+def replicate_weights(h: np.ndarray, replicates: int) -> np.ndarray:
+    """Unit-rate Poisson weights, one row per hash and one column per replicate: a mix of both numbers' bits."""
+    x = h.astype(np.uint64)[:, None] + (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    return np.searchsorted(POISSON, u, side="right")
+
+
 def bootstrap(df: DataFrame, value: str, order: list[str], replicates: int = 200, seed: int = 42, keys: tuple[str, ...] = ("pair",)) -> DataFrame:
     """Bootstrap distribution of a mean: unit-rate Poisson weights from a hash of row and replicate.
 
     Weights are a function of the row, so the result does not depend on
-    partitioning or on a lost task being run again.
+    partitioning or on a lost task being run again.  A task adds up all
+    replicates of its rows as arrays; only sums leave it, no copies of rows.
+    Missing values are left out.
     """
-    rep = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
-    d = df.select(*keys, *order, F.col(value).alias("_v"), rep)
-    u = (F.pmod(F.xxhash64(*[F.col(k) for k in (*keys, *order, "rep")], F.lit(seed)), F.lit(1 << 53)) / float(1 << 53))
-    # Cumulative Poisson(1) probabilities.
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    means = d.withColumn("_w", weight).groupBy(*keys, "rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("m"))
+    names = [f"k{i}" for i in range(len(keys))]
+    given = df.filter(F.col(value).isNotNull()).select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(value).cast("double").alias("v"), F.xxhash64(*[F.col(k) for k in (*keys, *order)], F.lit(seed)).alias("h")
+    )
+
+    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush() -> pd.DataFrame:
+            rows = [(*k, r + 1, *x) for k, sums in held.items() for r, x in enumerate(sums.T.tolist())]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*names, "rep", "w", "wv"])
+
+        for frame in frames:
+            for key, part in frame.groupby(names, dropna=False, sort=False):
+                for at in range(0, len(part), 4096):
+                    some = part.iloc[at : at + 4096]
+                    weights = replicate_weights(some["h"].to_numpy(), replicates)
+                    sums = np.stack([weights.sum(axis=0).astype(float), some["v"].to_numpy() @ weights])
+                    held[key] = held[key] + sums if key in held else sums
+            if len(held) > HELD:
+                yield flush()
+        if held:
+            yield flush()
+
+    fields = ", ".join(f"{n} {df.schema[k].dataType.simpleString()}" for k, n in zip(keys, names))
+    sums = given.mapInPandas(added, f"{fields}, rep int, w double, wv double")
+    means = sums.groupBy(*[F.col(n).alias(k) for k, n in zip(keys, names)], "rep").agg(F.try_divide(F.sum("wv"), F.sum("w")).alias("m"))
     return means.groupBy(*keys).agg(
         F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"),
         F.avg((F.col("m") <= 0).cast("double")).alias("p_value"),

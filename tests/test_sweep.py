@@ -124,3 +124,23 @@ def test_sections_from_a_file(spark, tmp_path):
 
     (tmp_path / "pairs.json").write_text(json.dumps(SECTIONS))
     assert config.read_sections(spark, str(tmp_path / "pairs.json")) == SECTIONS
+
+
+def test_bootstrap_is_a_resampling(spark):
+    """The interval is that of a plain bootstrap to sampling error, the same however rows are dealt out; nulls are left out."""
+    from spreadlake.operators import sweep
+
+    rng = np.random.default_rng(6)
+    rows = [("a" if i % 3 else "b", i, float(rng.normal(0.1, 1.0)) if i % 50 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "pair string, trade_id long, r double")
+    got = {r.pair: r for r in sweep.bootstrap(df, "r", ["trade_id"], replicates=400).collect()}
+    again = {r.pair: r for r in sweep.bootstrap(df.repartition(7, "trade_id"), "r", ["trade_id"], replicates=400).collect()}
+    for pair in ("a", "b"):
+        x = np.array([v for p, _, v in rows if p == pair and v is not None])
+        means = [rng.choice(x, len(x)).mean() for _ in range(2000)]
+        error = x.std() / np.sqrt(len(x))
+        assert abs(got[pair].lo - np.quantile(means, 0.025)) < 0.5 * error and abs(got[pair].hi - np.quantile(means, 0.975)) < 0.5 * error
+        assert np.allclose([got[pair].lo, got[pair].hi], [again[pair].lo, again[pair].hi])
+    weights = sweep.replicate_weights(np.arange(5000, dtype=np.int64), 100)
+    assert abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02
+    assert sweep.bootstrap(df.limit(0), "r", ["trade_id"]).count() == 0
