@@ -406,9 +406,8 @@ def _log_ols(s, d):
     from spreadlake.series import PAIR, position
 
     off, row = position()
-    b = F.regr_slope("yr", "xr").over(PAIR.before(252))
-    n = F.count(R.both(F.col("yr"), F.col("xr"), F.lit(1))).over(PAIR.before(252))
-    return trim(df.withColumn("b", F.when((off + row > 252) & (n > 10), b).otherwise(1.0)))
+    df = R.with_sliding_slope(df, F.col("yr"), F.col("xr"), 252, "slope", "n", skip=1)
+    return trim(df.withColumn("b", F.when((off + row > 252) & (F.col("n") > 10), F.col("slope")).otherwise(1.0)))
 
 
 BEFORE = "OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)"

@@ -1,10 +1,14 @@
 """Dense series, real configuration shapes, exact quantiles and batch-independent fits."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from spreadlake.functions import rolling as R
 from spreadlake.operators import hedge, hidden_states, metrics, quality, risk, sweep
 from spreadlake.series import segment, trim
 from spreadlake.sources import config
@@ -80,3 +84,26 @@ def test_grids_reports_and_scenarios(spark):
     assert risk.scenario_table(spark).count() == 7
     results = spark.createDataFrame([("p", "Flash Crash", -0.25, 0.9, 3)], "pair string, name string, max_drawdown double, final_equity double, violations long")
     assert risk.stress_report(results).first()["line"] == "Flash Crash | max drawdown -25.00% | final equity 0.90 | violations 3"
+
+
+def test_sliding_slopes_equal_those_of_frames(spark):
+    """Running sums, cut into segments, give the frames' slopes to 1e-9, with gaps and a stretch that does not move."""
+    rng = np.random.default_rng(9)
+    n = 6000
+    x = 100 + np.cumsum(rng.normal(0, 0.1, n))
+    x[2000:2400] = x[2000]
+    y = 0.5 * x + rng.normal(0, 0.2, n)
+    rows = [("p", dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), None if i % 97 == 0 else float(y[i]), float(x[i])) for i in range(n)]
+    bars = spark.createDataFrame(rows, "pair string, ts timestamp, y double, x double")
+    seg = segment(bars, 300, rows=700, grain_days=0.02)
+    assert seg.select("seg").distinct().count() > 5
+    for skip in (0, 1):
+        got = trim(R.with_sliding_slope(seg, F.col("y"), F.col("x"), 252, "b", "n", skip=skip)).toPandas().sort_values("ts").reset_index(drop=True)
+        frame = (-(252 + skip - 1), -skip)
+        w = Window.partitionBy("pair").orderBy("ts").rowsBetween(*frame)
+        want = bars.withColumns({"b": F.regr_slope("y", "x").over(w), "n": F.count("y").over(w)}).toPandas().sort_values("ts").reset_index(drop=True)
+        assert (got["n"] == want["n"]).all()
+        moves = np.array([i > 10 and not (2000 <= i - skip - 251 and i - skip < 2400) for i in range(n)])
+        assert np.nanmax(np.abs(got["b"] - want["b"])[moves & (want["n"] > 10)]) < 1e-7
+        still = np.array([2000 <= i - skip - 251 and i - skip < 2400 for i in range(n)])
+        assert got["b"][still].isna().all()
