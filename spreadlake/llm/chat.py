@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spreadlake.llm.common import fresh
+
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -85,55 +87,93 @@ def fingerprint(schema: T.StructType, ignore: Sequence[str] = ()) -> Column:
     return F.sha2(F.array_join(present, "\n"), 256)
 
 
-def canonical_turns(records: DataFrame, id_col: str, layouts: Sequence[Layout] = LAYOUTS, ignore: Sequence[str] = (), constant: Sequence[str] = ()) -> DataFrame:
-    """``id_col``, ``layout`` and ``turns`` (role, text) of each record or conversation.
+def canonical_turns(records: DataFrame, id_col: str, layouts: Sequence[Layout] = LAYOUTS, ignore: Sequence[str] = ()) -> DataFrame:
+    """``id_col``, ``layout`` and ``turns`` (role, text) of each record or conversation, from typed columns.
 
     The fields that make up a row's fingerprint are all but ``id_col`` and
-    ``ignore``.  Fields in ``constant`` count as present even where they are
-    null (a null text is an empty text, not another layout).  Rows whose
-    fingerprint no layout has keep their id with ``layout`` null and no turns.
-    Turn rows are gathered by id and ordered by turn, then role and text (ties
-    and repeated rows stay, in that order; a null turn comes first); they are
-    the only rows that are shuffled.  Null roles and texts become empty; rows
-    with a null id form one conversation in turn rows and stay single elsewhere.
+    ``ignore`` that are not null in it.  Rows whose fingerprint no layout has
+    keep their id with ``layout`` null and no turns.  Turn rows are gathered by
+    id and ordered by turn, then role and text (ties and repeated rows stay, in
+    that order; a null turn comes first); they are the only rows that are
+    shuffled.  Null roles and texts become empty; rows with a null id form one
+    conversation in turn rows and stay single elsewhere.  An empty table gives
+    no rows; a conversation is one row and its texts, of any length, stay whole.
     """
     schema = T.StructType([f for f in records.schema.fields if f.name != id_col and f.name not in ignore])
-    if constant:
-        always = [p for f in schema.fields if f.name in constant for p in schema_paths(T.StructType([f]))]
-        if len(constant) == len(schema.fields):
-            print_of = F.lit(fingerprint_of(always))
-        else:
-            rest = T.StructType([f for f in schema.fields if f.name not in constant])
-            lists = [F.array(*map(F.lit, always))] + [F.when(F.col(f"`{f.name}`").isNotNull(), F.array(*map(F.lit, schema_paths(T.StructType([f]))))) for f in rest.fields]
-            print_of = F.sha2(F.array_join(F.array_sort(F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))), "\n"), 256)
-    else:
-        print_of = fingerprint(schema)
     known = set(schema_paths(schema))
     usable = [x for x in layouts if set(x.paths) <= known]
-    marked = records.select(F.col(f"`{id_col}`").alias("id"), print_of.alias("print"), F.struct(*[F.col(f"`{f.name}`") for f in schema.fields]).alias("rec") if schema.fields else F.lit(None).alias("rec"))
-    layout = turns = F.lit(None).cast("string")
-    turns = F.array().cast(TURNS)
-    for x in reversed(usable):
-        is_x = F.col("print") == x.fingerprint
+    rec = F.struct(*[F.col(f"`{f.name}`") for f in schema.fields]) if schema.fields else F.lit(None)
+    marked = records.select(F.col(f"`{id_col}`").alias("id"), fingerprint(schema).alias("print"), rec.alias("rec"))
+
+    def at(path: str, kind: str) -> Column:
+        out = F.col("rec")
+        for step in path.split("."):
+            out = out.getField(step)
+        return out
+
+    return _routed(marked, usable, at, Layout.fingerprint.fget).withColumnRenamed("id", id_col)
+
+
+def record_turns(records: DataFrame, id_col: str, record: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
+    """As :func:`canonical_turns`, of records of any layouts in one VARIANT column (parsed JSON, or rows by ``to_variant_object``).
+
+    Here the fingerprint is that of the record itself: the hash of the nested
+    field paths it holds, whatever types they have.  A field that is there and
+    null is one of its paths, so a null text is an empty text and not another
+    layout.  A list without elements names no paths below it; such a record, a
+    null one and one of unknown paths keep their id with ``layout`` null.
+    """
+    marked = records.select(F.col(f"`{id_col}`").alias("id"), record_fingerprint(F.col(f"`{record}`")).alias("print"), F.col(f"`{record}`").alias("rec"))
+    at = lambda path, kind: F.try_variant_get("rec", "$." + path, kind)
+    return _routed(marked, layouts, at, lambda x: hashlib.sha256(record_shape(x.paths).encode()).hexdigest()).withColumnRenamed("id", id_col)
+
+
+# Types in the text of a record's schema: those of a field, and those of a list's elements.
+_FIELD_TYPE, _ELEMENT_TYPE = r": [A-Z_]+(?:\([0-9, ]+\))?(?=[,>])", r"(ARRAY<)[A-Z_]+(?:\([0-9, ]+\))?(?=>)"
+
+
+def record_fingerprint(record: Column) -> Column:
+    """The hash of a VARIANT record's nested field paths; equals that of :func:`record_shape` of the same paths."""
+    return F.sha2(F.regexp_replace(F.regexp_replace(F.schema_of_variant(record), _FIELD_TYPE, ": "), _ELEMENT_TYPE, "$1"), 256)
+
+
+def record_shape(paths: Sequence[str]) -> str:
+    """Paths as the text of a schema without types: fields by name, lists around what they hold."""
+    below: dict[str, list[str]] = {}
+    for path in paths:
+        head, _, rest = path.partition(".")
+        below.setdefault(head.replace("[]", ""), []).append("[]" * head.count("[]") + ("." + rest if rest else ""))
+
+    def shape(rests: list[str]) -> str:
+        inner = [r for r in rests if r]
+        if any(r.startswith("[]") for r in inner):
+            return "ARRAY<" + shape([r[2:] for r in inner]) + ">"
+        return record_shape([r[1:] for r in inner]) if inner else ""
+
+    return "OBJECT<" + ", ".join(f"{name}: {shape(rests)}" for name, rests in sorted(below.items())) + ">"
+
+
+def _routed(marked: DataFrame, layouts: Sequence[Layout], at, print_of) -> DataFrame:
+    """Each row (id, print, rec) through the mapping of the layout whose fingerprint it has."""
+    layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
+    for x in reversed(layouts):
+        is_x = F.col("print") == print_of(x)
         layout = F.when(is_x, F.lit(x.name)).otherwise(layout)
         if x.row is None:
-            turns = F.when(is_x, _mapped(x)).otherwise(turns)
-    rows = next((x for x in usable if x.row), None)
-    single = marked.select("id", layout.alias("layout"), turns.alias("turns"))
+            turns = F.when(is_x, _mapped(x, at)).otherwise(turns)
+    rows = next((x for x in layouts if x.row), None)
     if rows is None:
-        return single.withColumnRenamed("id", id_col)
-    order, role, text = (F.col("rec").getField(f) for f in rows.row)
-    is_row = F.col("print") == rows.fingerprint
-    item = F.struct(order.alias("turn"), _text(role).alias("role"), _text(text).alias("text"))
+        return marked.select("id", layout.alias("layout"), turns.alias("turns"))
+    order, role, text = rows.row
+    is_row = F.coalesce(F.col("print") == print_of(rows), F.lit(False))
+    item = F.struct(at(order, "bigint").alias("turn"), _text(at(role, "string")).alias("role"), _text(at(text, "string")).alias("text"))
     gathered = (
         marked.filter(is_row)
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(item)).alias("items"))
         .select("id", F.lit(rows.name).alias("layout"), F.transform("items", lambda i: F.struct(i["role"].alias("role"), i["text"].alias("text"))).cast(TURNS).alias("turns"))
     )
-    if len(usable) == 1 and set(constant) >= {f.name for f in schema.fields}:
-        return gathered.withColumnRenamed("id", id_col)
-    return single.filter(~F.coalesce(F.col("layout") == rows.name, F.lit(False))).unionByName(gathered).withColumnRenamed("id", id_col)
+    return marked.filter(~is_row).select("id", layout.alias("layout"), turns.alias("turns")).unionByName(gathered)
 
 
 def _role(role: Column) -> Column:
@@ -149,17 +189,13 @@ def _text(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def _mapped(x: Layout) -> Column:
-    """The turns of a record by its layout's mapping."""
+def _mapped(x: Layout, at) -> Column:
+    """The turns of a record by its layout's mapping; ``at(path, type)`` reads the record."""
     if x.messages:
         name, role, text = x.messages
-        return F.transform(F.filter(F.col("rec").getField(name), lambda m: m.isNotNull()), lambda m: F.struct(_role(m[role]).alias("role"), _text(m[text]).alias("text"))).cast(TURNS)
-    turns = []
-    for role, path in x.fields:
-        at = F.col("rec")
-        for step in path.split("."):
-            at = at.getField(step)
-        turns.append(F.struct(F.lit(role).alias("role"), _text(at).alias("text")))
+        said = at(name, f"array<struct<`{role}`:string,`{text}`:string>>")
+        return F.transform(F.filter(said, lambda m: m.isNotNull()), lambda m: F.struct(_role(m[role]).alias("role"), _text(m[text]).alias("text"))).cast(TURNS)
+    turns = [F.struct(F.lit(role).alias("role"), _text(at(path, "string")).alias("text")) for role, path in x.fields]
     # an empty optional field (the input of an instruction) is no turn of its own
     return F.filter(F.array(*turns), lambda t: (t["text"] != "") | (t["role"] == "assistant")).cast(TURNS)
 
@@ -201,15 +237,16 @@ def format_turns(df: DataFrame, turns: str = "turns") -> DataFrame:
         F.concat(F.lit(OPEN), _escape_role(t["role"]), F.lit(SHUT), escape(t["text"]), F.lit(END)).alias("piece"),
     ))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    walked = F.aggregate("pieces", start, lambda acc, p: F.struct(
+    cut = fresh(df, "pieces")
+    walked = F.aggregate(cut, start, lambda acc, p: F.struct(
         (acc["at"] + lengths(p)).alias("at"),
         F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["head"]).alias("start"), p["body"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
     ), lambda acc: acc["spans"])
     return (
-        df.withColumn("pieces", pieces)
-        .withColumn("formatted", F.array_join(F.transform("pieces", lambda p: p["piece"]), ""))
+        df.withColumn(cut, pieces)
+        .withColumn("formatted", F.array_join(F.transform(cut, lambda p: p["piece"]), ""))
         .withColumn("loss_spans", walked)
-        .drop("pieces")
+        .drop(cut)
     )
 
 

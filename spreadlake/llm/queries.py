@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +29,16 @@ def op1_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation and conversation -7, formatted and read back."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.range(2, numPartitions=1).select(
-        F.lit(-7).cast(rows.schema["conv_id"].dataType).alias("conv_id"),
-        F.col("id").cast(rows.schema["turn"].dataType).alias("turn"),
-        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
-        F.lit(CONTROL_TEXT).alias("text"),
-    )
-    turns = chat.canonical_turns(rows.unionByName(extra), "conv_id", constant=("turn", "role", "text"))
+    """Every conversation and conversation -7, formatted and read back.
+
+    The table's rows are records of one turn each; conversation -7 comes as one
+    record with a list of messages.  The fingerprint of each record selects its mapping.
+    """
+    rows = table(spark, sf_dir, "conversations")
+    records = rows.select("conv_id", F.to_variant_object(F.struct("turn", "role", "text")).alias("record"))
+    said = json.dumps({"messages": [{"role": role, "content": CONTROL_TEXT} for role in ("user", "assistant")]})
+    control = spark.range(1, numPartitions=1).select(F.lit(-7).cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.parse_json(F.lit(said)).alias("record"))
+    turns = chat.record_turns(records.unionByName(control), "conv_id")
     return chat_digest(chat.format_turns(turns), "conv_id")
 
 

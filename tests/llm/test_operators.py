@@ -1,6 +1,7 @@
 """Each operator against its plain version: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -69,6 +70,10 @@ def test_skip_chain_carries_labels(spark):
 # --- op2 ---------------------------------------------------------------------------------------
 
 
+def turn_records(df):
+    return chat.record_turns(df.select("conv_id", F.to_variant_object(F.struct("turn", "role", "text")).alias("record")), "conv_id")
+
+
 def read_back(df, id_col="id"):
     done = chat.format_turns(df).select(id_col, "layout", "formatted", chat.read_turns(F.col("formatted")).alias("read"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     return {r[id_col]: (r["layout"], [(t["role"], t["text"]) for t in r["read"]], list(r["loss"]), r["formatted"]) for r in done.collect()}
@@ -96,7 +101,7 @@ def test_chat_layouts(spark):
 def test_chat_round_trip(spark, text):
     rows = [(1, 0, text[:7], "q" + text), (1, 1, "assistant", text), (1, 2, None, None), (1, 3, "assistant", text + "z"), (None, 0, "user", "u")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = read_back(chat.canonical_turns(df, "conv_id", constant=("turn", "role", "text")), "conv_id")
+    got = read_back(turn_records(df), "conv_id")
     assert got[1][1] == [(r or "", t or "") for c, _, r, t in rows if c]
     assert got[1][2] == [text, text + "z"] + ([] if text[:7] != "assistant" else ["q" + text])
     assert got[1][3].count("<|end|>\n") == 4 and "[INST]" not in got[1][3]
@@ -104,9 +109,37 @@ def test_chat_round_trip(spark, text):
 
 def test_chat_ties_and_empty(spark):
     df = spark.createDataFrame([(1, 1, "user", "b"), (1, 1, "user", "a"), (1, None, "user", "c"), (1, 1, "user", "a")], "conv_id long, turn long, role string, text string")
-    got = read_back(chat.canonical_turns(df, "conv_id", constant=("turn", "role", "text")), "conv_id")
+    got = read_back(turn_records(df), "conv_id")
     assert [t for _, t in got[1][1]] == ["c", "a", "a", "b"]
-    assert chat.format_turns(chat.canonical_turns(df.limit(0), "conv_id", constant=("turn", "role", "text"))).count() == 0
+    assert chat.format_turns(turn_records(df.limit(0))).count() == 0
+
+
+def test_chat_records_of_any_layout(spark):
+    """One column holds records of many layouts; a null field is there, a missing one is not."""
+    said = [
+        {"prompt": "p", "response": None}, {"prompt": "p"}, {"messages": [{"role": "user", "content": "a"}, {"content": "b", "role": None}]}, {"messages": []},
+        {"conversations": [{"from": "human", "value": 3}, {"from": "gpt", "value": "w"}]}, {"instruction": "i", "output": "o", "input": ""}, {"output": 1.5, "instruction": "i"}, {"text": "t", "role": "bot", "turn": 1}, [1, 2], "x",
+    ]
+    rows = [(i, json.dumps(x)) for i, x in enumerate(said)] + [(10, None), (None, json.dumps(said[0])), (7, json.dumps({"turn": 0, "role": None, "text": "u"}))]
+    df = spark.createDataFrame(rows, "id int, said string").select("id", F.parse_json("said").alias("record"), F.lit("x").alias("pieces"), F.lit("x").alias("print"))
+    got = read_back(chat.record_turns(df, "id"))
+    assert got[0][:3] == ("prompt_response", [("user", "p"), ("assistant", "")], [""]) and got[None][:3] == got[0][:3]
+    assert got[2][:2] == ("messages", [("user", "a"), ("", "b")])
+    assert got[4][:2] == ("from_value", [("user", "3"), ("assistant", "w")])
+    assert got[5][:2] == ("instruction_input", [("user", "i"), ("assistant", "o")]) and got[6][:2] == ("instruction", [("user", "i"), ("assistant", "1.5")])
+    assert got[7][:2] == ("turn_rows", [("", "u"), ("bot", "t")])
+    assert all(got[i][:2] == (None, []) for i in (1, 3, 8, 9, 10))
+    shapes = df.select("id", chat.record_fingerprint(F.col("record")).alias("print")).filter("id = 2").first()["print"]
+    assert shapes == hashlib.sha256(chat.record_shape(chat.LAYOUTS[1].paths).encode()).hexdigest()
+
+
+def test_chat_long_and_hot(spark):
+    """A conversation of many turns, one with a very long text; a column of the caller named like a helper stays."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"<|end|>\n{i}") for i in range(3000)] + [(2, 0, "assistant", "<|x " * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = read_back(turn_records(df), "conv_id")
+    assert got[1][1] == [(r, t) for c, _, r, t in rows if c == 1] and got[2][2] == [rows[-1][3]]
+    assert "pieces" in chat.format_turns(turn_records(df).withColumn("pieces", F.lit(1))).columns
 
 
 # --- op3, op8 ----------------------------------------------------------------------------------
@@ -292,6 +325,18 @@ def test_licenses(spark, docs_of, extra):
     assert licenses.scan(docs_of([])).count() == 0
 
 
+def test_license_long_text(spark, docs_of):
+    """One very long text: the grams leave it without the whole text beside each, so twice the words is about twice the work."""
+    notice = " Released under the MIT License. "
+    text = "some other words of no licence at all " * 20_000 + notice + "under the " * 20_000 + "licensed under cc by nc 4 0"
+    (r,) = licenses.scan(docs_of([(1, text)])).collect()
+    at = len(ref.alnum(text.split(notice)[0]))
+    assert (r["n_base"], r["first_word"], r["labels"]) == (1, at + 3, "cc-by-nc,mit")
+    assert sorted((s["label"], s["first"]) for s in r["spans"]) == [("cc-by-nc", r["n_words"] - 7), ("mit", at)]
+    plan = licenses.scan(docs_of([(1, text)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "said" not in next(line for line in plan.splitlines() if "Generate" in line).split("[", 1)[1].split("]", 1)[0]
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(4)
     for n in (13, 14, 40, 200):
