@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spreadlake.llm.common import fresh
-
 K = 3
 #: Diagonals at most this far apart, and this share of a template's words, make a verified span.
 SLACK, COVERED = 3, 0.7
@@ -61,9 +59,10 @@ def spans(docs: DataFrame, key: list[str], said: str) -> DataFrame:
     ``said`` names the array of words.  A gram counts where its words, not only
     its hash, equal the template's.
     """
-    at = F.sequence(F.lit(1), F.size(said) - (K - 1))
-    grams = docs.filter(F.size(said) >= K).select(*key, said, F.posexplode(F.transform(at, lambda i: F.xxhash64(F.slice(said, i, K)))).alias("dpos", "hash"))
-    hits = grams.join(F.broadcast(template_grams(docs)), "hash").filter(F.slice(said, F.col("dpos") + 1, K) == F.col("gram"))
+    # only a gram's own words go with it: the whole array beside each would be a text's length squared
+    grams = F.transform(F.sequence(F.lit(1), F.size(said) - (K - 1)), lambda i: F.slice(said, i, K))
+    rolled = docs.filter(F.size(said) >= K).select(*key, F.posexplode(grams).alias("dpos", "words")).withColumn("hash", F.xxhash64("words"))
+    hits = rolled.join(F.broadcast(template_grams(docs)), "hash").filter(F.col("words") == F.col("gram"))
     voted = (
         hits.groupBy(*key, "template", "label", "size", (F.col("dpos") - F.col("tpos")).alias("diagonal"))
         .agg(F.collect_set("tpos").alias("at"), F.min("dpos").alias("first"), F.max("dpos").alias("last"))
