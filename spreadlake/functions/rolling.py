@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from spreadlake.functions import order_stats
 from spreadlake.series import PAIR, Frame
 
 
@@ -165,8 +166,14 @@ def median(x: Column, n: int, f: Frame = PAIR, least: int | None = None) -> Colu
 
 
 def with_robust_z(df: DataFrame, col: str, n: int, out: str, f: Frame = PAIR) -> DataFrame:
-    """Robust z-score: distance to the median in units of the scaled MAD of the same frame."""
+    """Robust z-score: distance to the median in units of the scaled MAD of the same frame.
+
+    Long frames are read off one ranked copy of the segment, short ones sorted.
+    """
     x = F.col(col)
+    if n >= order_stats.LONG:
+        df = order_stats.with_median_and_spread(df, col, n, "_med", "_mad", f)
+        return df.withColumn(out, order_stats.robust_score(x, F.col("_med"), F.col("_mad"))).drop("_med", "_mad")
     df = df.withColumn("_frame", window_list(x, n, f))
 
     def score(med: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spreadlake.functions import order_stats
 from spreadlake.functions import rolling as R
 from spreadlake.series import PAIR, Frame
 
@@ -85,8 +86,7 @@ def volatility_percentile(df: DataFrame, price: str, window: int = 20, history:
     df = df.withColumn("_ret", R.pct_change(F.col(price), 1, f))
     df = df.withColumn("feat_volatility_value", R.std(F.col("_ret"), window, f))
     v = F.col("feat_volatility_value")
-    q = lambda p: R.full(f.last(history), history, v, F.percentile(v, F.lit(p)))
-    df = df.withColumns({"_q1": q(1 / 3), "_q2": q(2 / 3)})
+    df = order_stats.with_quantiles(df, "feat_volatility_value", history, {"_q1": 1 / 3, "_q2": 2 / 3}, f)
     label = F.when(v <= F.col("_q1"), "low").when(v > F.col("_q2"), "high").when(F.col("_q1").isNotNull(), "normal")
     return df.withColumn("feat_volatility_regime", label).drop("_ret", "_q1", "_q2")
 

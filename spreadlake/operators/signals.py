@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spreadlake.functions import order_stats
 from spreadlake.functions import rolling as R
 from spreadlake.operators import hedge, hidden_states, regime, structure
 from spreadlake.operators.states import position_states
@@ -67,7 +68,7 @@ def dynamic_thresholds(
 ) -> DataFrame:
     """Thresholds scaled by recent spread volatility and by the structural flag; a scale switched off is 1."""
     df = df.withColumn("_v", R.std(F.col("spread"), 20, f))
-    df = df.withColumn("_m", R.median(F.col("_v"), 252, f, least=20))
+    df = order_stats.with_median(df, "_v", 252, "_m", f, least=20)
     scale = F.coalesce(R.clip(F.try_divide(F.col("_v"), F.nullif(F.col("_m"), F.lit(0.0))), 0.7, 1.5), F.lit(1.0)) if vol_scale else F.lit(1.0)
     structural = F.when(coint_ok, 0.9).otherwise(1.1) if structural_scale else F.lit(1.0)
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
