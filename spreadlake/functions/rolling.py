@@ -44,8 +44,14 @@ def total(x: Column, n: int, f: Frame = PAIR) -> Column:
     return full(f.last(n), n, x, F.sum(x))
 
 
-def pct_change(x: Column, k: int = 1, f: Frame = PAIR) -> Column:
-    return F.try_divide(x, F.lag(x, k).over(f.ordered())) - 1
+def ratio(x: Column, y: Column) -> Column:
+    """``x / y`` as floating point defines it: over zero an infinity, or NaN for ``0 / 0``; NULL only where a side is missing."""
+    return let(y, lambda v: F.coalesce(F.try_divide(x, v), x * F.pow(v, F.lit(-1.0))))
+
+
+def pct_change(x: Column, k: int = 1, f: Frame = PAIR, ieee: bool = False) -> Column:
+    """Change over ``k`` bars; from a zero it is NULL, or with ``ieee`` what :func:`ratio` gives."""
+    return (ratio if ieee else F.try_divide)(x, F.lag(x, k).over(f.ordered())) - 1
 
 
 def log_return(x: Column, f: Frame = PAIR) -> Column:
