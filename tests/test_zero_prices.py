@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["p1_pct_change"]
+NAMES = ["p1_pct_change", "p4_clip"]
 
 
 @pytest.fixture(scope="module")
