@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["p1_pct_change", "p4_clip"]
+NAMES = ["p1_pct_change", "p4_clip", "p11_value_shares", "p12_transition_matrix"]
 
 
 @pytest.fixture(scope="module")
