@@ -54,8 +54,12 @@ def pct_change(x: Column, k: int = 1, f: Frame = PAIR, ieee: bool = False) -> Co
     return (ratio if ieee else F.try_divide)(x, F.lag(x, k).over(f.ordered())) - 1
 
 
-def log_return(x: Column, f: Frame = PAIR) -> Column:
-    return F.ln(F.try_divide(x, F.lag(x, 1).over(f.ordered())))
+def log_return(x: Column, f: Frame = PAIR, ieee: bool = False) -> Column:
+    """Logarithm of the ratio to the bar before; from or to a zero it is NULL, or with ``ieee`` an infinity (NaN for ``0 / 0`` or a change of sign)."""
+    before = F.lag(x, 1).over(f.ordered())
+    if not ieee:
+        return F.ln(F.try_divide(x, before))
+    return let(ratio(x, before), lambda q: F.when(q > 0, F.ln(q)).when(q == 0, F.lit(float("-inf"))).when(q < 0, F.lit(float("nan"))))
 
 
 def diff(x: Column, k: int = 1, f: Frame = PAIR) -> Column:

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["p1_pct_change", "p4_clip", "p5_replace_fill", "p11_value_shares", "p12_transition_matrix"]
+NAMES = ["p1_pct_change", "p2_log_return", "p4_clip", "p5_replace_fill", "p11_value_shares", "p12_transition_matrix"]
 
 
 @pytest.fixture(scope="module")
