@@ -51,6 +51,20 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Spark deletes the shuffle files of a query when it ends, instead of when the driver collects garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    was = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLES, was)
+
+
 _STAGED: list[str] = []
 _SCOPES = threading.local()
 
@@ -60,10 +74,12 @@ def staged(df: DataFrame) -> DataFrame:
 
     Cuts the lineage: a lost executor's tasks reread files.  The optimizer sees
     the true size of the files, so a later join broadcasts only what is small.
+    Nothing reads the shuffles behind it any more, so their files go at once.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     _STAGED.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     for scope in getattr(_SCOPES, "open", []):

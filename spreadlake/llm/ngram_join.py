@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -46,7 +47,7 @@ LONGER = 0.1
 GATHERED, BLOCK = 2_000_000, 200_000
 #: Pairs of classes up to which a bucket's are listed; larger buckets are compared in blocks.
 MANY = 1024
-#: Bits of the bitmap of texts that stay after step 1 (4 MB); more texts only make it less sharp.
+#: Bits of the bitmaps of texts that stay after step 1 and of classes to verify (4 MB); more entries only make them less sharp.
 BITS = 25
 #: Further pivot rounds while one links at least this share of what it tried.
 PAYS, ROUNDS = 0.02, 4
@@ -199,6 +200,34 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
+def bitmap_of(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the low ``BITS`` bits of a column of hashes, in 64-bit words."""
+    bit = hashes.select(F.pmod(F.col(hashes.columns[0]), F.lit(1 << BITS)).alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")).toPandas()
+    table = np.zeros(1 << (BITS - 6), np.int64)
+    table[words["at"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64)
+    return table
+
+
+def in_bitmap(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = hashes & ((1 << BITS) - 1)
+    return (table[bit >> 6] >> (bit & 63) & 1).astype(bool)
+
+
+def pruned(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """Rows whose ``owner`` may be among the owners: none of those is lost, and few others come along.
+
+    Before a join that shuffles the rows: whole sets are the widest rows there are.
+    """
+    bitmap = rows.sparkSession.sparkContext.broadcast(bitmap_of(owners))
+
+    @F.pandas_udf("boolean")
+    def wanted(owner: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(bitmap.value, owner.to_numpy()))
+
+    return rows.filter(wanted("owner"))
+
+
 # --- step 1: which classes can have a partner ---------------------------------------------------
 
 #: In place of an owner: the shingle has several owners in one task, which has counted them.
@@ -291,18 +320,14 @@ def surviving(docs: DataFrame, seen: DataFrame, text_col: str) -> DataFrame:
         yield batch_of(picked, n=n[stays], mark=mark[stays])
 
     marks = staged(both.repartition(homes // 4, "home").mapInArrow(pick, "n bigint, mark bigint"))
-    bits = marks.select(F.pmod("mark", F.lit(1 << BITS)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")).toPandas()
-    table = np.zeros(1 << (BITS - 6), np.int64)
-    table[bits["at"].to_numpy(np.int64)] = bits["set"].to_numpy(np.int64)
-    bitmap = docs.sparkSession.sparkContext.broadcast(table)
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(marks.select("mark")))
     schema = pa.schema([("owner", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = bitmap.value, set()
         for batch in batches:
-            bit = batch.column("mark").to_numpy() & ((1 << BITS) - 1)
             owners, sets, held = [], [], 0
-            for i in np.flatnonzero(known[bit >> 6] >> (bit & 63) & 1):
+            for i in np.flatnonzero(in_bitmap(known, batch.column("mark").to_numpy())):
                 found = shingles(batch.column("raw")[int(i)].as_py())
                 owner = owner_of(found)
                 if not len(found) or owner in met:
@@ -394,11 +419,13 @@ def is_link(shared: Column, n: Column, m: Column) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b`` of the pairs whose sets are similar enough."""
-    left = sets.select(F.col("owner").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("s_a"))
-    right = sets.select(F.col("owner").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("s_b"))
+    """``a, b`` of the pairs whose sets are similar enough; only sets of pairs of able sizes are shuffled."""
+    size = lambda name: sets.select(F.col("owner").alias(name), F.col("n").alias(f"n_{name}"))
     able = is_link(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"))
-    return pairs.join(left, "a").join(right, "b").filter(able).filter(is_link(F.size(F.array_intersect("s_a", "s_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    tried = staged(pairs.join(size("a"), "a").join(size("b"), "b").filter(able))
+    whole = lambda name: pruned(sets, tried.select(name)).select(F.col("owner").alias(name), F.col("tokens").alias(f"s_{name}"))
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    return tried.join(whole("a"), "a").join(whole("b"), "b").filter(is_link(shared, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -474,8 +501,9 @@ def block_links(held: DataFrame, labels: DataFrame, core: DataFrame, sets: DataF
     distinct = buckets.groupBy("rows", "size", "h1", "h2").agg(F.min("token").alias("token"))
     plan = staged(distinct.select("token", F.ceil(F.col("size") / BLOCK).alias("parts")))
     members = held.join(plan, "token").select("token", "owner", F.pmod(F.xxhash64("owner"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    placed = members.select("token", "owner", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"), "part")
-    whole = labels.join(core.select("owner", "need", "prefix"), "owner").join(sets.select("owner", "tokens"), "owner")
+    placed = staged(members.select("token", "owner", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"), "part"))
+    here = lambda rows: pruned(rows, placed.select("owner"))
+    whole = here(labels).join(here(core.select("owner", "need", "prefix")), "owner").join(here(sets.select("owner", "tokens")), "owner")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
