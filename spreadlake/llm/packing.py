@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from spreadlake.llm.common import fresh, text_bytes
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers (about 200 bytes each); beyond it the memory starts anew.
-REMEMBERED = 800_000
+#: Words whose ids a worker remembers (about 270 bytes each); of them those met in the latest half stay.
+REMEMBERED = 400_000
 #: Unknown words encoded in one call.
 BATCH = 2000
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -55,6 +55,7 @@ class WordIds:
         self.part_id, part = max(added.items())
         self.part = part.content
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         #: No special token's text can lie inside a word of letters that ends in a mark or not.
         self.apart = not any(_LETTERS.fullmatch(t.rstrip(b".,")) for t in self.special)
         vocabulary = self.tokenizer.get_vocab()
@@ -71,13 +72,16 @@ class WordIds:
         return self._ids(word.decode()).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        known, tails = self.known, []
+        if len(self.known) + len(words) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older, tails = self.known, self.older, []
         plain: dict[bytes, None] = {}
         other: dict[bytes, None] = {}
         letters = _LETTERS.fullmatch
         for word in words - known.keys():
+            if word in older:
+                known[word] = older[word]
+                continue
             if self.apart and letters(word):
                 plain[word] = None
                 continue
