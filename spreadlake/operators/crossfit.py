@@ -11,7 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,18 +61,23 @@ def cross_fit(
 ) -> tuple[DataFrame, list[PipelineModel]]:
     """Each row of ``df`` once, as ``apply`` scores it with the model of its block; and the models.
 
-    Blocks whose model has nothing to learn from are an error: there are too few
+    The blocks' models are fitted at the same time: a fit is many short jobs,
+    and while one waits for its driver the others use the cores.  Blocks whose model has nothing to learn from are an error: there are too few
     days for so many folds.
     """
     df = stage(df)
     starts = boundaries(df, folds, ts)
     if not starts:
         raise ValueError("cross-fitting needs rows of at least two days")
-    parts, models = [], []
-    for k in range(len(starts) + 1):
+    blocks = range(len(starts) + 1)
+
+    def learn(k: int) -> PipelineModel:
         train = training_rows(df, starts, k, ts, label_end, embargo_days)
         if train.isEmpty():
-            raise ValueError(f"nothing is left to learn from outside block {k} of {len(starts) + 1}")
-        models.append(fit(train))
-        parts.append(apply(models[-1], df.filter(block_of(starts, F.col(ts)) == k)).withColumn("fold", F.lit(k)))
+            raise ValueError(f"nothing is left to learn from outside block {k} of {len(blocks)}")
+        return fit(train)
+
+    with ThreadPool(len(blocks)) as pool:
+        models = pool.map(inheritable_thread_target(df.sparkSession)(learn), blocks, chunksize=1)
+    parts = [apply(models[k], df.filter(block_of(starts, F.col(ts)) == k)).withColumn("fold", F.lit(k)) for k in blocks]
     return reduce(DataFrame.unionByName, parts), models
