@@ -14,6 +14,7 @@ document.  Reading a partition again gives the same pieces.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -31,6 +32,16 @@ REMEMBERED = 400_000
 #: Unknown words encoded in one call.
 BATCH = 2000
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?: [a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)*")
+#: Steps before the model by which a word of letters is one piece, lower-cased and spelt in byte characters.
+_STEPS = [
+    ("normalizer", {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}),
+    ("pre_tokenizer", {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}),
+]
+#: Byte characters of the bytes that are not their own, but for the space.
+_SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)) if b != 32}
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 _TOKENIZERS: dict[str, "WordIds"] = {}
@@ -41,7 +52,8 @@ class WordIds:
 
     Words are looked up as bytes and the unknown ones of a batch are encoded in
     one call.  Words of Latin letters alone are parted by a space: each ends
-    with the only token of its own that ends a word.  Others are parted by a
+    with the only token of its own that ends a word.  Where all that the other
+    steps do to them is known (``_STEPS``), they go to the model as they are.  Others are parted by a
     special token, which also parts their ids, and a word that holds a special
     token's text itself is encoded alone.
     """
@@ -61,8 +73,15 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        told = json.loads(self.tokenizer.to_str())
+        bare = all(told.get(name) == step for name, step in _STEPS) and told["model"].get("dropout") is None
+        self.model = self.tokenizer.model if bare and self.apart else None
 
     def _ids(self, text: str) -> np.ndarray:
+        if self.model is not None and _PLAIN.fullmatch(text):
+            spelt = text if text.isascii() else text.lower().encode().decode("latin-1").translate(_SPELT)
+            tokenize = self.model.tokenize
+            return np.array([token.id for word in spelt.split(" ") for token in tokenize(word)], "<u4")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _put(self, words: list[bytes], raw: bytes, starts: list[int], ends: list[int]) -> None:
