@@ -44,11 +44,13 @@ PERCENT = 75
 #: The first prefix is longer by this share of the set.
 LONGER = 0.1
 #: Postings a task gathers before it deals them out, and shingles in a block of the verification.
-GATHERED, BLOCK = 2_000_000, 200_000
+GATHERED, BLOCK = 500_000, 200_000
 #: Pairs of classes up to which a bucket's are listed; larger buckets are compared in blocks.
 MANY = 1024
 #: Bits of the bitmaps of texts that stay after step 1 and of classes to verify (4 MB); more entries only make them less sharp.
 BITS = 25
+#: Bits of a set's sketch of odd counts (16 longs).
+ODD_BITS = 1024
 #: Further pivot rounds while one links at least this share of what it tried.
 PAYS, ROUNDS = 0.02, 4
 
@@ -77,6 +79,12 @@ def owner_of(found: np.ndarray) -> int:
     return max(1, xxhash.xxh3_64_intdigest(found.tobytes()) >> 1)
 
 
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """Which of ``ODD_BITS`` hash values an odd number of a set's shingles has; each shingle that only one of two sets holds changes one bit."""
+    odd = np.bincount(found.astype(np.uint64) & np.uint64(ODD_BITS - 1), minlength=ODD_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def least_overlap(n):
     """Shingles that a linked partner shares at least: ``ceil(PERCENT n / 100)``."""
     return -(-PERCENT * n // 100)
@@ -171,7 +179,7 @@ def owner_buckets(df: DataFrame) -> int:
 def by_owner(owners: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple]:
     """(owner's bucket, owners, columns) as bytes, one row per bucket: a task's rows grow with the partitions only."""
     bucket = owners % n
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((owners, bucket))  # an owner's entries side by side, which compresses well
     bucket, owners, columns = bucket[order], owners[order], [c[order] for c in columns]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(owners)], strict=True):
@@ -302,7 +310,7 @@ def survey(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def surviving(docs: DataFrame, seen: DataFrame, text_col: str) -> DataFrame:
-    """Staged: ``owner, n, tokens`` of the classes that pass the first bar, each once."""
+    """Staged: ``owner, n, odd, tokens`` of the classes that pass the first bar, each once."""
     homes = owner_buckets(docs)
     class_rows = seen.filter("n > 0").groupBy("owner").agg(F.max("n").alias("n"), F.min("mark").alias("mark")).select(F.pmod("owner", F.lit(homes)).alias("home"), "owner", "n", "mark")
     both = class_rows.unionByName(seen.filter(F.col("home").isNotNull()).select("home", "owners", "times"), allowMissingColumns=True)
@@ -321,7 +329,10 @@ def surviving(docs: DataFrame, seen: DataFrame, text_col: str) -> DataFrame:
 
     marks = staged(both.repartition(homes // 4, "home").mapInArrow(pick, "n bigint, mark bigint"))
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(marks.select("mark")))
-    schema = pa.schema([("owner", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("owner", pa.int64()), ("n", pa.int64()), ("odd", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+
+    def sets_of(owners: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        return batch_of(schema, owner=owners, n=[len(s) for s in sets], odd=[odd_sketch(s) for s in sets], tokens=sets)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = bitmap.value, set()
@@ -336,14 +347,14 @@ def surviving(docs: DataFrame, seen: DataFrame, text_col: str) -> DataFrame:
                 owners.append(owner)
                 sets.append(found.view(np.int64))
                 held += len(found)
-                if held >= GATHERED // 4:
-                    yield batch_of(schema, owner=owners, n=[len(s) for s in sets], tokens=sets)
+                if held >= GATHERED:
+                    yield sets_of(owners, sets)
                     owners, sets, held = [], [], 0
             if owners:
-                yield batch_of(schema, owner=owners, n=[len(s) for s in sets], tokens=sets)
+                yield sets_of(owners, sets)
 
     raw = docs.select(text_bytes(f"`{text_col}`").alias("raw")).withColumn("mark", F.xxhash64("raw"))
-    return staged(raw.mapInArrow(look, "owner bigint, n bigint, tokens array<bigint>").dropDuplicates(["owner"]))
+    return staged(raw.mapInArrow(look, "owner bigint, n bigint, odd array<bigint>, tokens array<bigint>").dropDuplicates(["owner"]))
 
 
 # --- step 2: prefixes by frequency --------------------------------------------------------------
@@ -419,10 +430,16 @@ def is_link(shared: Column, n: Column, m: Column) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b`` of the pairs whose sets are similar enough; only sets of pairs of able sizes are shuffled."""
-    size = lambda name: sets.select(F.col("owner").alias(name), F.col("n").alias(f"n_{name}"))
-    able = is_link(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b"))
-    tried = staged(pairs.join(size("a"), "a").join(size("b"), "b").filter(able))
+    """``a, b`` of the pairs whose sets are similar enough.
+
+    Only sets of able pairs are shuffled: by their sizes, and by their sketches,
+    which differ in no more bits than shingles are in one of the two sets only.
+    """
+    size = lambda name: sets.select(F.col("owner").alias(name), F.col("n").alias(f"n_{name}"), F.col("odd").alias(f"odd_{name}"))
+    differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits)
+    most = F.least(F.col("n_a"), F.col("n_b"), (F.col("n_a") + F.col("n_b") - differ) / 2)
+    able = is_link(most, F.col("n_a"), F.col("n_b"))
+    tried = staged(pairs.join(size("a"), "a").join(size("b"), "b").filter(able).drop("odd_a", "odd_b"))
     whole = lambda name: pruned(sets, tried.select(name)).select(F.col("owner").alias(name), F.col("tokens").alias(f"s_{name}"))
     shared = F.size(F.array_intersect("s_a", "s_b"))
     return tried.join(whole("a"), "a").join(whole("b"), "b").filter(is_link(shared, F.col("n_a"), F.col("n_b"))).select("a", "b")
