@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from spreadlake.llm.common import fresh, text_bytes
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers (about 270 bytes each); of them those met in the latest half stay.
+#: Words whose ids a task remembers (about 270 bytes each); of them those met in the latest half stay.
 REMEMBERED = 400_000
 #: Unknown words encoded in one call.
 BATCH = 2000
@@ -134,6 +134,10 @@ class WordIds:
         for word in tails:
             known[word] = known[word[:-1]] + known[word[-1:]]
 
+    def forget(self) -> None:
+        """Give the words' memory back: the worker goes on with other steps."""
+        self.known, self.older = {}, {}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.lower().split() for t in texts]  # bytes.lower() is A-Z only; the tokenizer lower-cases too
@@ -236,6 +240,7 @@ def pack(
                     close()
                 if sum(r[2] for r in rows) >= group_tokens // 4:
                     yield flush()
+        words.forget()
         if pool:
             close()
         if rows:
