@@ -211,6 +211,6 @@ def stress_verdict(results: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def stress_report(results: DataFrame) -> DataFrame:
     line = F.format_string(
         "%s | max drawdown %.2f%% | final equity %.2f | violations %d",
-        "name", F.round(F.col("max_drawdown") * 100, 2), F.round("final_equity", 2), "violations",
+        "name", R.rounded(F.col("max_drawdown") * 100, 2), R.rounded(F.col("final_equity"), 2), "violations",
     )
     return results.select("pair", "name", line.alias("line"))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spreadlake.functions.rolling import rounded
 from spreadlake.session import release_staged, stage
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +26,8 @@ def shape(df: DataFrame, strs=(), ints=(), floats=(), fine=(), day=None, second=
     if second:
         cols.append(F.date_format(second, "yyyy-MM-dd HH:mm:ss").alias("second"))
     cols += [F.col(c).cast("bigint").alias(c) for c in ints]
-    cols += [(F.round(F.col(c).cast("double"), dec) + F.lit(0.0)).alias(c) for c in floats]
-    cols += [(F.round(F.col(c).cast("double"), 10) + F.lit(0.0)).alias(c) for c in fine]
+    cols += [(rounded(F.col(c).cast("double"), dec) + F.lit(0.0)).alias(c) for c in floats]
+    cols += [(rounded(F.col(c).cast("double"), 10) + F.lit(0.0)).alias(c) for c in fine]
     return df.select(*cols)
 
 

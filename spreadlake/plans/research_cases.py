@@ -223,12 +223,12 @@ def shared_sweep(s, d):
 # spread returns are not bounded by the stake, so drawdowns reach powers of ten: compared as logarithms
 case("x3_x4_parameter_sweep", lambda s, d: sweep(s, d).withColumn("max_drawdown", -F.ln(1 - F.col("max_drawdown"))), SWEEP, "SELECT * REPLACE (-ln(1 - max_drawdown) AS max_drawdown) FROM sw", strs=["pair"], ints=["param_id", "total_trades"], floats=SWEEP_COLS, dec=5)
 case(
-    "x3_sweep_ranks", lambda s, d: X.average_rank(shared_sweep(s, d).withColumn("key", F.round("sharpe_ratio", 6)), "key"), SWEEP,
+    "x3_sweep_ranks", lambda s, d: X.average_rank(shared_sweep(s, d).withColumn("key", R.rounded(F.col("sharpe_ratio"), 6)), "key"), SWEEP,
     "SELECT *, rank() OVER (PARTITION BY pair ORDER BY round(sharpe_ratio, 6) DESC) + (count(*) OVER (PARTITION BY pair, round(sharpe_ratio, 6)) - 1) / 2 AS rank FROM sw",
     strs=["pair"], ints=["param_id"], floats=["rank"],
 )
 case(
-    "x6_best_results", lambda s, d: X.best(shared_sweep(s, d).withColumn("sharpe_ratio", F.round("sharpe_ratio", 6)), "sharpe_ratio", 5), SWEEP,
+    "x6_best_results", lambda s, d: X.best(shared_sweep(s, d).withColumn("sharpe_ratio", R.rounded(F.col("sharpe_ratio"), 6)), "sharpe_ratio", 5), SWEEP,
     "SELECT *, row_number() OVER (PARTITION BY pair ORDER BY round(sharpe_ratio, 6) DESC, param_id) AS place FROM sw WHERE sharpe_ratio IS NOT NULL QUALIFY place <= 5",
     strs=["pair"], ints=["param_id", "place"], floats=["sharpe_ratio"],
 )
@@ -320,7 +320,7 @@ FSCORE = f"""{SWEEP}, {FOLD_SQL.format(src='s2')},
 
 def _oos(s, d):
     sc = shared(s, d, "fold_scores", _fold_scores)
-    keyed = sc.filter("part = 'train'").select("pair", "param_id", "fold", F.round("sharpe_ratio", 6).alias("sharpe_ratio"), F.round("profit_factor", 6).alias("profit_factor"), F.round("log_drawdown", 6).alias("max_drawdown"))
+    keyed = sc.filter("part = 'train'").select("pair", "param_id", "fold", R.rounded(F.col("sharpe_ratio"), 6).alias("sharpe_ratio"), R.rounded(F.col("profit_factor"), 6).alias("profit_factor"), R.rounded(F.col("log_drawdown"), 6).alias("max_drawdown"))
     return X.freeze_best(keyed, sc.filter("part = 'test'"))
 
 

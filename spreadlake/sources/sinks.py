@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spreadlake.functions.rolling import rounded
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", by: tuple[str, ...] = ("pair",), mode: str = "errorifexists") -> None:
     """Partitioned by pair; rows of a hot pair stay spread over as many files as tasks hold them."""
@@ -24,7 +26,7 @@ def _line(label: str, pattern: str, col: str) -> Column:
 
 def report_text(metrics: DataFrame) -> DataFrame:
     """One formatted report per metrics row."""
-    pct = lambda c: F.round(F.col(c) * 100, 2)
+    pct = lambda c: rounded(F.col(c) * 100, 2)
     m = metrics.select("*", *[pct(c).alias(f"_{c}") for c in ("total_return", "annual_return", "max_drawdown", "win_rate")])
     lines = [
         F.concat(F.lit("Backtest report: "), F.col("pair")),
