@@ -39,3 +39,15 @@ def test_rounded_on_odd_values(spark):
         got = [r.x for r in df.select("i", R.rounded(df.v, places).alias("x")).orderBy("i").collect()]
         assert got == [duckdb.execute(f"SELECT round(CAST(? AS DOUBLE), {places})", [v]).fetchone()[0] for v in odd]
     assert np.isnan(spark.range(1).select(R.rounded(R.F.lit(float("nan")), 6).alias("x")).first().x)
+
+
+def test_share_beside_a_half(spark, tmp_path):
+    price = [1.0] * 60 + [100.0, 1.0] * 290  # 41 of 640 rows are quiet
+    at = pd.date_range("2024-01-01", periods=len(price), freq="min").astype("datetime64[us]")
+    pd.DataFrame({"event_id": range(len(price)), "ts": at, "user_id": 1, "event_type": "a", "value": price}).to_parquet(tmp_path / "events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = duck.execute(f"SELECT pair, state, n, share FROM ({entry.oracle_sql()['p11_value_shares']}) ORDER BY state").fetchall()
+    assert [r[2] for r in want] == [41, 19, 580]
+    got = entry.queries()["p11_value_shares"](spark, str(tmp_path)).select("pair", "state", "n", "share").collect()
+    assert sorted(map(tuple, got)) == want
