@@ -14,9 +14,11 @@ document.  Reading a partition again gives the same pieces.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,12 @@ from spreadlake.llm.common import fresh, text_bytes
 
 CAPACITY = 2048
 #: Words whose ids a task remembers (about 270 bytes each); of them those met in the latest half stay.
-REMEMBERED = 400_000
+REMEMBERED = 320_000
 #: Unknown words encoded in one call.
 BATCH = 2000
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Words, one a line: letters and a run of symbols after them (no apostrophe, which may begin a piece of letters), or any other.
+_PARTS = re.compile(rb"^(?:((?:[a-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!-&(-/:-@\[-`{-~]*+)|(.+))$", re.MULTILINE)
 _PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+(?: [a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)*")
 #: Steps before the model by which a word of letters is one piece, lower-cased and spelt in byte characters.
 _STEPS = [
@@ -41,7 +45,9 @@ _STEPS = [
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}),
 ]
 #: Byte characters of the bytes that are not their own, but for the space.
-_SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)) if b != 32}
+_OWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)) if b != 32}
+#: Byte characters of the bytes of ``_PLAIN`` texts, lower-cased: a capital's second byte is 32 below its small letter's.
+_SPELT = "".join(chr(_OWN.get(small, small)) for small in (b + 32 if 0x80 <= b < 0x9F else b for b in range(256)))
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 _TOKENIZERS: dict[str, "WordIds"] = {}
@@ -53,7 +59,8 @@ class WordIds:
     Words are looked up as bytes and the unknown ones of a batch are encoded in
     one call.  Words of Latin letters alone are parted by a space: each ends
     with the only token of its own that ends a word.  Where all that the other
-    steps do to them is known (``_STEPS``), they go to the model as they are.  Others are parted by a
+    steps do to them is known (``_STEPS``), they go to the model as they are, and a run of symbols
+    that follows is a word of its own.  Others are parted by a
     special token, which also parts their ids, and a word that holds a special
     token's text itself is encoded alone.
     """
@@ -76,10 +83,12 @@ class WordIds:
         told = json.loads(self.tokenizer.to_str())
         bare = all(told.get(name) == step for name, step in _STEPS) and told["model"].get("dropout") is None
         self.model = self.tokenizer.model if bare and self.apart else None
+        #: A run of symbols after letters is a piece of its own, and no special token's text can lie in the two.
+        self.runs = self.model is not None and not any((m := _PARTS.fullmatch(b"a" + t)) and m[1] for t in self.special)
 
     def _ids(self, text: str) -> np.ndarray:
         if self.model is not None and _PLAIN.fullmatch(text):
-            spelt = text if text.isascii() else text.lower().encode().decode("latin-1").translate(_SPELT)
+            spelt = text if text.isascii() else codecs.charmap_decode(text.encode(), "strict", _SPELT)[0]
             tokenize = self.model.tokenize
             return np.array([token.id for word in spelt.split(" ") for token in tokenize(word)], "<u4")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -90,37 +99,46 @@ class WordIds:
     def _alone(self, word: bytes) -> bytes:
         return self._ids(word.decode()).tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, split: list[list[bytes]]) -> None:
+        words = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
         if len(self.known) + len(words) > REMEMBERED // 2:
             self.known, self.older = {}, self.known
-        known, older, tails = self.known, self.older, []
+            words = set().union(*split)
+        known, older = self.known, self.older
+        met = words & older.keys()
+        known.update(zip(met, map(older.__getitem__, met), strict=True))
+        words -= met
+        tails: list[tuple[bytes, bytes]] = []
         plain: dict[bytes, None] = {}
         other: dict[bytes, None] = {}
-        letters = _LETTERS.fullmatch
-        for word in words - known.keys():
+
+        def want(word: bytes, kind: dict[bytes, None]) -> None:
             if word in older:
                 known[word] = older[word]
-                continue
-            if self.apart and letters(word):
-                plain[word] = None
-                continue
-            marked = word[-1:] in b".," and word[-2:-1].isalpha()  # ends in a letter and one mark, which is a token of its own
-            stem = word[:-1] if marked else word
-            of_letters = letters(stem)
-            if not (self.apart and of_letters) and any(s in word for s in self.special):
-                known[word] = self._alone(word)
-                continue
-            if marked:
-                tails.append(word)
-            if stem not in known:
-                (plain if of_letters else other)[stem] = None
-        for mark in (b".", b","):
-            if mark not in known:
-                known[mark] = self._alone(mark)
+            elif word not in known:
+                kind[word] = None
+
+        for stem, run, rest in _PARTS.findall(b"\n".join(words)) if words else ():  # no word holds white space
+            if stem and self.apart and not run:
+                plain[stem] = None
+            elif stem and (self.runs or self.apart and run in (b".", b",") and stem[-1:].isalpha()):
+                tails.append((stem, run))
+                want(stem, plain)
+                want(run, other)
+            else:
+                word = rest or stem + run
+                if any(s in word for s in self.special):
+                    known[word] = self._alone(word)
+                elif word[-1:] in b".," and word[-2:-1].isalpha():  # ends in a letter and one mark, which is a token of its own
+                    tails.append((word[:-1], word[-1:]))
+                    want(word[:-1], other)
+                    want(word[-1:], other)
+                else:
+                    other[word] = None
         plain, other = list(plain), list(other)
         for at in range(0, len(plain), BATCH):
             some = plain[at : at + BATCH]
-            ids = self._ids(" ".join(w.decode() for w in some))
+            ids = self._ids(b" ".join(some).decode())
             ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) == len(some):
                 self._put(some, ids.tobytes(), [0, *ends[:-1]], ends)
@@ -128,11 +146,11 @@ class WordIds:
                 other += some
         for at in range(0, len(other), BATCH):
             some = other[at : at + BATCH]
-            ids = self._ids(self.part.join(w.decode() for w in some))
+            ids = self._ids(self.part.encode().join(some).decode())
             cuts = np.flatnonzero(ids == self.part_id)
             self._put(some, ids.tobytes(), [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])
-        for word in tails:
-            known[word] = known[word[:-1]] + known[word[-1:]]
+        for stem, run in tails:
+            known[stem + run] = known[stem] + known[run]
 
     def forget(self) -> None:
         """Give the words' memory back: the worker goes on with other steps."""
@@ -141,7 +159,7 @@ class WordIds:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.lower().split() for t in texts]  # bytes.lower() is A-Z only; the tokenizer lower-cases too
-        self._learn(set().union(*split))
+        self._learn(split)
         look = self.known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
