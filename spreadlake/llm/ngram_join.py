@@ -33,6 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -208,13 +209,13 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def bitmap_of(hashes: DataFrame) -> np.ndarray:
+def bitmap_of(hashes: DataFrame) -> Broadcast:
     """A bitmap of the low ``BITS`` bits of a column of hashes, in 64-bit words."""
     bit = hashes.select(F.pmod(F.col(hashes.columns[0]), F.lit(1 << BITS)).alias("bit"))
     words = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")).toPandas()
     table = np.zeros(1 << (BITS - 6), np.int64)
     table[words["at"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64)
-    return table
+    return hashes.sparkSession.sparkContext.broadcast(table)
 
 
 def in_bitmap(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -227,8 +228,10 @@ def pruned(rows: DataFrame, owners: DataFrame) -> DataFrame:
 
     Before a join that shuffles the rows: whole sets are the widest rows there are.
     """
-    bitmap = rows.sparkSession.sparkContext.broadcast(bitmap_of(owners))
+    return in_bitmap_only(rows, bitmap_of(owners))
 
+
+def in_bitmap_only(rows: DataFrame, bitmap: Broadcast) -> DataFrame:
     @F.pandas_udf("boolean")
     def wanted(owner: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(bitmap.value, owner.to_numpy()))
@@ -328,7 +331,7 @@ def surviving(docs: DataFrame, seen: DataFrame, text_col: str) -> DataFrame:
         yield batch_of(picked, n=n[stays], mark=mark[stays])
 
     marks = staged(both.repartition(homes // 4, "home").mapInArrow(pick, "n bigint, mark bigint"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(marks.select("mark")))
+    bitmap = bitmap_of(marks.select("mark"))
     schema = pa.schema([("owner", pa.int64()), ("n", pa.int64()), ("odd", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 
     def sets_of(owners: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -447,11 +450,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node reachable, by least labels and pointer jumping; staged each round."""
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    a, b = F.col("a"), F.col("b")
+    ends = F.explode(F.array(*[F.struct(x.alias("a"), y.alias("b")) for x, y in ((a, b), (b, a), (a, a), (b, b))])).alias("end")
+    both = staged(edges.select(ends).select("end.*").distinct())  # each node is its own neighbour too
+    labels = staged(both.groupBy(a.alias("node")).agg(F.min("b").alias("root")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b")
+        lower = near.groupBy(a.alias("node")).agg(F.max(F.when(a == b, F.col("root"))).alias("was"), F.min("root").alias("root"))
         jump = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
         moved = staged(lower.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")))
         labels = moved.select("node", "root")
@@ -472,16 +477,15 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(found.select("owner", F.coalesce("root", "comp").alias("comp")))
 
 
-def pivots(posted: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+def pivots(held: DataFrame, turn: int) -> DataFrame:
     """For each class the pivot of other components with which it shares most prefix shingles: ``a, b``."""
-    here = posted.join(labels, "owner")
     rank = F.struct(F.xxhash64("owner", F.lit(turn)).alias("h"), "owner", "comp")
-    best = here.groupBy("token").agg(F.min(rank).alias("pivot"))
-    met = here.join(best, "token").filter(F.col("comp") != F.col("pivot.comp")).groupBy("owner", F.col("pivot.owner").alias("pivot")).agg(F.count(F.lit(1)).alias("times"))
+    best = held.groupBy("token").agg(F.min(rank).alias("pivot"))
+    met = held.join(best, "token").filter(F.col("comp") != F.col("pivot.comp")).groupBy("owner", F.col("pivot.owner").alias("pivot")).agg(F.count(F.lit(1)).alias("times"))
     return met.groupBy("owner").agg(F.max(F.struct("times", "pivot")).alias("best")).select(F.col("owner").alias("a"), F.col("best.pivot").alias("b"))
 
 
-def rest_links(posted: DataFrame, labels: DataFrame, core: DataFrame, sets: DataFrame) -> DataFrame:
+def rest_links(held: DataFrame, labels: DataFrame, core: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components, enough to join all that any link joins.
 
     Linked classes share a shingle of their shortest prefixes.  Where the bucket
@@ -490,17 +494,21 @@ def rest_links(posted: DataFrame, labels: DataFrame, core: DataFrame, sets: Data
     (those in larger buckets count as shared) are verified.  Larger buckets are
     compared as they are, not as pairs.
     """
-    held = posted.join(labels, "owner")
     each = held.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     pairs_in = each.groupBy("token").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).filter("pairs > 0")
     kinds = staged(pairs_in.select("token", (F.col("pairs") > MANY).alias("large")))
+    any_large = not kinds.filter("large").isEmpty()
     listed = held.join(kinds.filter("NOT large").select("token"), "token").select("token", "owner", "comp")
     met = listed.alias("x").join(listed.alias("y"), "token").filter("x.owner < y.owner AND x.comp <> y.comp")
     met = met.groupBy(F.col("x.owner").alias("a"), F.col("y.owner").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-    in_large = held.join(kinds.filter("large").select("token"), "token").groupBy("owner").agg(F.count(F.lit(1)).alias("more"))
-    bar = core.select("owner", "need").join(in_large, "owner", "left").select("owner", "need", F.coalesce("more", F.lit(0)).alias("more"))
+    bar = core.select("owner", "need", F.lit(0).alias("more"))
+    if any_large:
+        in_large = held.join(kinds.filter("large").select("token"), "token").groupBy("owner").agg(F.count(F.lit(1)).alias("more"))
+        bar = core.select("owner", "need").join(in_large, "owner", "left").select("owner", "need", F.coalesce("more", F.lit(0)).alias("more"))
     of = lambda name: bar.select(F.col("owner").alias(name), F.col("need").alias(f"need_{name}"), F.col("more").alias(f"more_{name}"))
     enough = met.join(of("a"), "a").join(of("b"), "b").filter(F.col("times") + F.least("more_a", "more_b") >= F.least("need_a", "need_b")).select("a", "b")
+    if not any_large:
+        return verified(enough, sets)
     large = held.filter("shortest").join(kinds.filter("large").select("token"), "token").select("token", "owner")
     return verified(enough, sets).union(block_links(large, labels, core, sets))
 
@@ -519,7 +527,8 @@ def block_links(held: DataFrame, labels: DataFrame, core: DataFrame, sets: DataF
     plan = staged(distinct.select("token", F.ceil(F.col("size") / BLOCK).alias("parts")))
     members = held.join(plan, "token").select("token", "owner", F.pmod(F.xxhash64("owner"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     placed = staged(members.select("token", "owner", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"), "part"))
-    here = lambda rows: pruned(rows, placed.select("owner"))
+    bitmap = bitmap_of(placed.select("owner"))
+    here = lambda rows: in_bitmap_only(rows, bitmap)
     whole = here(labels).join(here(core.select("owner", "need", "prefix")), "owner").join(here(sets.select("owner", "tokens")), "owner")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -617,16 +626,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     core = prefixes(sets)
     at = core.select("owner", F.posexplode("prefix").alias("at", "token"), (F.size("prefix") - F.col("need")).alias("last"))
     posted = staged(at.select("owner", "token", (F.col("at") <= F.col("last")).alias("shortest")))
-    labels = staged(core.select("owner", F.col("owner").alias("comp")))
+    # at first each class is a component of its own
+    labels, held = core.select("owner", F.col("owner").alias("comp")), posted.withColumn("comp", F.col("owner"))
     for turn in range(ROUNDS):
-        tried = staged(pivots(posted, labels, turn))
+        tried = staged(pivots(held, turn))
         links = staged(verified(tried, sets))
-        n_tried, n_links = tried.count(), links.count()
+        both = tried.select(F.lit(False).alias("link")).union(links.select(F.lit(True).alias("link")))
+        n_tried, n_links = both.agg(F.count_if(~F.col("link")), F.count_if(F.col("link"))).first()
         if n_links:
             labels = merged(labels, links)
+            held = posted.join(labels, "owner")
         if n_links <= PAYS * n_tried:
             break
-    links = staged(rest_links(posted, labels, core, sets))
+    links = staged(rest_links(held, labels, core, sets))
     if not links.isEmpty():
         labels = merged(labels, links)
     every = seen.filter(F.col("n").isNotNull()).select("key", "mark", "n", "owner")
